@@ -53,7 +53,7 @@ def sample_chunks(chunks: DataFrame, order: Sequence[str], text: str, n: int = 3
 def value_counts(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     """(dimension, value, n) for several dimensions in one pass; null is a value of its own.
 
-    The grouping sets run as one Expand plus a partial aggregate, not one scan each.
+    Rows become one (dimension, value) pair each and are counted with a map-side partial.
     """
     columns = {f"_d{i}": c.cast("string") for i, c in enumerate(dimensions.values())}
     names = list(dimensions)

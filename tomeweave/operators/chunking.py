@@ -33,6 +33,11 @@ def stride_starts(length: Column, size: int, overlap: int) -> Column:
     )
 
 
+def stride_count(length: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """How many chunks a text of that length has, without making them."""
+    return F.ceil(length / (size - overlap)).cast("bigint")
+
+
 def fixed_stride_chunks(
     docs: DataFrame,
     text: str = "text",
@@ -128,30 +133,39 @@ def recursive_chunks(
 
 
 # ----------------------------------------------------- numbering and chapters
-def number_chunks(
-    chunks: DataFrame,
-    series: Column,
-    group: Sequence[str],
-    order: Sequence[str],
-    counts: DataFrame | None = None,
-    blocks: OrderBlocks | None = None,
+def first_positions(
+    counts: DataFrame, group: Sequence[str], document: str, blocks: OrderBlocks | None = None
 ) -> DataFrame:
-    """Add ``chunk_id`` = ``{series}_rag_{position:05d}``, the position counted in scan order.
+    """(group, document, ``first_position``): where each document's chunks start in scan order.
 
-    ``order`` is (document key, ``chunk_index``). Positions come from running
-    sums over one narrow row per document, so no chunk text is sorted. Pass
-    ``counts`` (group, document, ``_n``) where it is known without the chunks.
+    ``counts`` has one narrow row per document with its chunk count ``n_chunks``;
+    no chunk text is sorted or moved to number the chunks.
     """
-    document, within = order
-    if counts is None:
-        counts = chunks.groupBy(*group, document).agg((F.max(within) + 1).cast("bigint").alias("_n"))
-    ends = running_sums(counts, group, [document], {"_end": F.col("_n")}, blocks)
-    starts = ends.select(*group, document, (F.col("_end") - F.col("_n")).alias("_first"))
-    return (
-        chunks.join(starts, [*group, document])
-        .withColumn("chunk_id", padded_id("%s_rag_%05d", slugify(series), F.col("_first") + F.col(within)))
-        .drop("_first")
-    )
+    ends = running_sums(counts, group, [document], {"_end": F.col("n_chunks")}, blocks)
+    return ends.select(*group, document, (F.col("_end") - F.col("n_chunks")).alias("first_position"))
+
+
+def chunk_name(series: Column, position: Column) -> Column:
+    """``{series}_rag_{position:05d}``"""
+    return padded_id("%s_rag_%05d", slugify(series), position)
+
+
+def stride_rag_chunks(
+    docs: DataFrame,
+    series: str,
+    document: str,
+    text: str = "text",
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    blocks: OrderBlocks | None = None,
+) -> DataFrame:
+    """Numbered fixed-stride chunks per series; whole documents are numbered before they are cut."""
+    counts = docs.select(series, document, stride_count(F.length(text), size, overlap).alias("n_chunks"))
+    starts = first_positions(counts, [series], document, blocks)
+    placed = docs.join(starts, [series, document])
+    return fixed_stride_chunks(placed, text, size, overlap).withColumn(
+        "chunk_id", chunk_name(F.col(series), F.col("first_position") + F.col("chunk_index"))
+    ).drop("first_position")
 
 
 def fill_chapters(
@@ -183,7 +197,10 @@ def rag_chunks(books: DataFrame, universe: str, size: int = CHUNK_SIZE, overlap:
     found = detect_chapter(F.col("chunk_text"), universe)
     # The block key is the chunk position: a single huge book is cut into blocks too.
     filled = fill_chapters(split, found, ["book_order", "book_name"], ["chunk_index"])
-    numbered = number_chunks(filled, F.lit(universe), [], ["book_order", "chunk_index"])
+    counts = split.groupBy("book_order").agg((F.max("chunk_index") + 1).cast("bigint").alias("n_chunks"))
+    numbered = filled.join(first_positions(counts, [], "book_order"), "book_order").withColumn(
+        "chunk_id", chunk_name(F.lit(universe), F.col("first_position") + F.col("chunk_index"))
+    )
     return numbered.select(
         "chunk_id",
         slugify(F.lit(universe)).alias("series"),

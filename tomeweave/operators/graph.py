@@ -187,7 +187,7 @@ def components(edges_df: DataFrame, src: str = "src", dst: str = "dst", max_roun
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: every larger neighbour of a vertex points to the vertex's minimum.
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut_lineage(large.where("a <> b").distinct(), "pairs")
+        large = large.where("a <> b").distinct()
         # Small star: of the smaller neighbours, all point to the smallest one.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         floor = down.groupBy("a").agg(F.min("b").alias("m"))

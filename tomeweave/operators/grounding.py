@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tomeweave.scale import broadcast_if_small
 
 ANCHOR_WORDS = 6
+LISTED_KEYS = 5_000
 
 
 def quotes_in_sources(qa: DataFrame, chunks: DataFrame, qa_id: str, quote: str, source_ids: str, chunk_id: str, text: str) -> DataFrame:
@@ -51,26 +52,17 @@ def find_quotes(docs: DataFrame, quotes: DataFrame, doc_id: str, text: str, quot
     pairs = None
     for n in sorted(lengths):
         if n > 0:
-            keyed = sized.where(F.col("_n") == n).select(
-                quote_id, F.xxhash64(F.array_join(F.slice(_tokens(F.col("_quote")), 2, n), " ")).alias("_key")
-            )
+            anchor = F.array_join(F.slice(_tokens(F.col("_quote")), 2, n), " ")
+            keyed = sized.where(F.col("_n") == n).select(quote_id, F.xxhash64(anchor).alias("_key"))
             # The token list is its own column: inside a lambda it would be split anew per word.
             tokens = docs.select(doc_id, _tokens(F.col(text)).alias("_t"))
-            grams = tokens.select(doc_id, F.explode(F.array_distinct(_grams(F.col("_t"), n))).alias("_key"))
+            keys = tokens.select(doc_id, _grams(F.col("_t"), n).alias("_keys"))
         else:
             short = sized.where(F.col("_n") <= 0)
             width = short.agg(F.min(F.length("_quote"))).first()[0]
             keyed = short.select(quote_id, F.xxhash64(F.substring("_quote", 1, width)).alias("_key"))
-            body = F.col(text)
-            windows = F.when(
-                F.length(body) >= width,
-                F.transform(
-                    F.sequence(F.lit(1), F.length(body) - width + 1),
-                    lambda i: F.xxhash64(F.substring(body, i, F.lit(width))),
-                ),
-            )
-            grams = docs.select(doc_id, F.explode(F.array_distinct(windows)).alias("_key"))
-        met = grams.join(broadcast_if_small(keyed), "_key").select(quote_id, doc_id)
+            keys = docs.select(doc_id, _windows(F.col(text), width).alias("_keys"))
+        met = _meet(keys, keyed, quote_id, doc_id)
         pairs = met if pairs is None else pairs.unionByName(met)
     if pairs is None:
         none = T.StructType([quotes.schema[quote_id], docs.schema[doc_id]])
@@ -82,3 +74,29 @@ def find_quotes(docs: DataFrame, quotes: DataFrame, doc_id: str, text: str, quot
         .where(F.contains(F.col("_text"), F.col("_quote")))
         .select(quote_id, doc_id)
     )
+
+
+def _windows(text: Column, width: int) -> Column:
+    return F.when(
+        F.length(text) >= width,
+        F.transform(
+            F.sequence(F.lit(1), F.length(text) - width + 1),
+            lambda i: F.xxhash64(F.substring(text, i, F.lit(width))),
+        ),
+    )
+
+
+def _meet(keys: DataFrame, keyed: DataFrame, quote_id: str, doc_id: str) -> DataFrame:
+    """(quote, doc) candidates by equal key.
+
+    Up to ``LISTED_KEYS`` quote keys become a hash set inside the scan, so only
+    keys that do meet a quote turn into rows. Beyond that all keys are rows and
+    the join decides; the result is the same.
+    """
+    listed = [r[0] for r in keyed.select("_key").distinct().limit(LISTED_KEYS + 1).collect()]
+    if len(listed) <= LISTED_KEYS:
+        kept = F.filter("_keys", lambda k: k.isin(listed))
+    else:
+        kept = F.col("_keys")
+    rows = keys.select(doc_id, F.explode_outer(F.array_distinct(kept)).alias("_key"))
+    return rows.where(F.col("_key").isNotNull()).join(broadcast_if_small(keyed), "_key").select(quote_id, doc_id)

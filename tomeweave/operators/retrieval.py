@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tomeweave.constants import BM25_B, BM25_K1, DENSE_WEIGHT, RRF_K, SPARSE_WEIGHT, TOP_K
 from tomeweave.functions.text import terms
 from tomeweave.scale import plan_blocks
-from tomeweave.session import scratch_path
+from tomeweave.session import cut_lineage, scratch_path
 
 QUERIES_PER_SCAN = 1_024
 
@@ -166,7 +166,7 @@ def inverse_frequency(n_docs: float, doc_freq: float) -> float:
     return float(np.log1p((n_docs - doc_freq + 0.5) / (doc_freq + 0.5)))
 
 
-def _occurrences(tokens: Column, term: str) -> Column:
+def _occurrences(tokens: Column, term: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t == term)).cast("double")
 
 
@@ -183,43 +183,47 @@ def bm25_search(
     id_col: str = "chunk_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The ``top_k`` rows for a text query, with collection-wide statistics.
+    """(id, score) of the ``top_k`` rows for a text query, with collection-wide statistics.
 
-    Two scans and no shuffle of rows: one aggregate for document count, mean
-    length and the query terms' document frequencies (one row comes to the
-    driver), then a projection that scores within the row.
+    The texts are read and tokenised once, into a narrow table of (id, length,
+    query terms found); statistics and scores both come from that table. The
+    predicate restricts what is returned, not what the statistics count.
     """
-    wanted = query_terms(docs.sparkSession, query)
-    empty = docs.select(*[c for c in docs.columns if c != text_col], F.lit(0.0).alias("score")).limit(0)
+    spark = docs.sparkSession
+    wanted = query_terms(spark, query)
+    shape = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
     if not wanted:
-        return empty
-    hits = lambda toks: F.filter(toks, lambda t: t.isin(wanted))
-    tokenised = docs.select(F.col(text_col)).select(terms(F.col(text_col)).alias("_t"))
-    stats = (
-        tokenised.select(F.size("_t").alias("_len"), hits(F.col("_t")).alias("_h"))
-        .agg(
-            F.count("*").alias("n"),
-            F.avg("_len").alias("mean"),
-            *[F.count_if(F.array_contains("_h", F.lit(t))).alias(f"df{i}") for i, t in enumerate(wanted)],
-        )
-        .first()
+        return spark.createDataFrame([], shape)
+    allowed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    tokens = docs.select(id_col, allowed.alias("_keep"), terms(F.col(text_col)).alias("_t"))
+    hits = cut_lineage(
+        tokens.select(
+            id_col, "_keep", F.size("_t").alias("_len"), F.filter("_t", lambda t: t.isin(wanted)).alias("_h")
+        ),
+        "hits",
     )
+    stats = hits.agg(
+        F.count("*").alias("n"),
+        F.avg("_len").alias("mean"),
+        *[F.count_if(F.array_contains("_h", F.lit(t))).alias(f"df{i}") for i, t in enumerate(wanted)],
+    ).first()
     if not stats["n"] or not stats["mean"]:
-        return empty
-    rows = docs if where is None else docs.where(where)
-    found = (
-        rows.withColumn("_t", terms(F.col(text_col)))
-        .withColumns({"_len": F.size("_t"), "_h": hits(F.col("_t"))})
-        .drop("_t", text_col)
-        .where(F.size("_h") > 0)
+        return spark.createDataFrame([], shape)
+    idf = F.create_map(
+        *[
+            x
+            for i, t in enumerate(wanted)
+            for x in (F.lit(t), F.lit(inverse_frequency(stats["n"], stats[f"df{i}"])))
+        ]
+    )
+    found = hits.where(F.col("_keep") & (F.size("_h") > 0))
+    score = F.aggregate(
+        F.array_distinct("_h"),
+        F.lit(0.0),
+        lambda total, t: total
+        + F.element_at(idf, t) * _saturation(_occurrences(F.col("_h"), t), F.col("_len"), stats["mean"]),
     )
-    parts = []
-    for i, term in enumerate(wanted):
-        tf = _occurrences(F.col("_h"), term)
-        idf = inverse_frequency(stats["n"], stats[f"df{i}"])
-        parts.append(F.lit(idf) * _saturation(tf, F.col("_len"), stats["mean"]))
-    scored = found.withColumn("score", reduce(lambda a, b: a + b, parts)).drop("_h", "_len")
-    return scored.orderBy(F.desc("score"), id_col).limit(top_k)
+    return found.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(top_k)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, buckets: int = 8) -> DataFrame:
@@ -347,12 +351,9 @@ def hybrid_search(
     """Both legs with the same predicate over one table, fused to ``top_k`` rows."""
     dense = dense_search(corpus.select(*_needed(corpus, where, id_col, vector_col)), query_vector, top_k, where, id_col, vector_col)
     sparse = bm25_search(corpus.drop(vector_col), query_text, top_k, where, id_col, text_col)
-    fused = (
-        fuse_ranks(dense, sparse, id_col, top_k)
-        if mode == "rrf"
-        else fuse_weighted(dense, sparse, id_col, top_k, **weights)
-    )
-    return fused
+    if mode == "rrf":
+        return fuse_ranks(dense, sparse, id_col, top_k)
+    return fuse_weighted(dense, sparse, id_col, top_k, **weights)
 
 
 def _needed(corpus: DataFrame, where: Column | None, *names: str) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.operators import grounding, retrieval
 from tomeweave.plans.base import Catalogue, table
+from tomeweave.scale import spread
 from tomeweave.session import cut_lineage
 
 catalogue = Catalogue()
@@ -98,14 +99,14 @@ def knn_batch(spark, sf):
     f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 20",
 )
 def bm25_topk(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return _rounded(retrieval.bm25_search(docs, _query_text(spark, sf), id_col="doc_id"))
 
 
 def _legs(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     dense = retrieval.dense_search(vectors, _query_vector(spark, sf), id_col="doc_id")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return dense, retrieval.bm25_search(docs, _query_text(spark, sf), id_col="doc_id")
 
 
@@ -161,7 +162,7 @@ def recall_precision_at_k(spark, sf):
     "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 )
 def evidence_grounding(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
     return grounding.find_quotes(docs, quotes, "doc_id", "text", "item_id", "quote")
 
@@ -171,7 +172,7 @@ def evidence_grounding(spark, sf):
     f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 20",
 )
 def bm25_postings(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     size = docs.select(F.size(retrieval.terms(F.col("text"))).alias("n")).agg(F.count("*"), F.avg("n")).first()
     buckets, shards = retrieval.index_layout(size[0])
     index = retrieval.write_postings(retrieval.postings(docs, "doc_id", "text", buckets), "postings", shards)

@@ -9,6 +9,7 @@ from tomeweave.models.boundary import HashedEmbedder
 from tomeweave.models.udfs import embed_column
 from tomeweave.operators import incremental, tables
 from tomeweave.plans.base import Catalogue, table
+from tomeweave.scale import spread
 
 catalogue = Catalogue()
 
@@ -131,7 +132,9 @@ FROM documents
 """,
 )
 def embed_texts(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", embed_column(F.col("text"), HashedEmbedder()).alias("_e"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
+        "doc_id", embed_column(F.col("text"), HashedEmbedder()).alias("_e")
+    )
     squares = F.aggregate(
         "_e.embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")
     )

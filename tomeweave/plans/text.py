@@ -9,7 +9,7 @@ from tomeweave.functions import chapters, jsonfields
 from tomeweave.functions import text as tx
 from tomeweave.operators import analyze, chunking, packing
 from tomeweave.plans.base import Catalogue, first_line, table
-from tomeweave.scale import row_index
+from tomeweave.scale import row_index, spread
 
 catalogue = Catalogue()
 
@@ -73,12 +73,8 @@ FROM n
 """,
 )
 def fixed_stride_chunks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    counts = docs.select(
-        "lang", "doc_id", F.size(chunking.stride_starts(F.length("text"), 4000, 800)).cast("bigint").alias("_n")
-    )
-    chunks = chunking.fixed_stride_chunks(docs)
-    numbered = chunking.number_chunks(chunks, F.col("lang"), ["lang"], ["doc_id", "chunk_index"], counts)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    numbered = chunking.stride_rag_chunks(docs, "lang", "doc_id")
     return numbered.select(
         "chunk_id",
         "doc_id",
@@ -100,7 +96,7 @@ FROM p WHERE length(part) > 0
 """,
 )
 def paragraph_split(spark, sf):
-    parts = chunking.paragraphs(table(spark, sf, "documents").select("doc_id", "text"))
+    parts = chunking.paragraphs(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
     return parts.select(
         "doc_id", "part_index", F.length("part").cast("bigint").alias("n_chars"), F.md5("part").alias("part_hash")
     )
@@ -153,7 +149,7 @@ SELECT page_id, length(t) AS n_chars, md5(t) AS text_hash FROM f
 """,
 )
 def html_text_extract(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
     return pages.select("page_id", tx.html_to_text(F.col("html")).alias("t")).select(
         "page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_hash")
     )
@@ -264,8 +260,8 @@ FROM u WHERE length(trim(x, ' ' || chr(9) || chr(10) || chr(13))) > 0
 """,
 )
 def budget_pack_splitter(spark, sf):
-    docs = table(spark, sf, "documents").select(
-        "source", "doc_id", F.col("doc_id").cast("string").alias("book"), "text"
+    docs = spread(table(spark, sf, "documents").select("source", "doc_id", "text"), "doc_id").withColumn(
+        "book", F.col("doc_id").cast("string")
     )
     packed = packing.sections(docs, "source", "doc_id", "book", 1_500, separator="\n")
     return packed.select(
@@ -279,7 +275,7 @@ def budget_pack_splitter(spark, sf):
 
 @catalogue.add("q12_recursive_split")
 def recursive_split(spark, sf):
-    chunks = chunking.recursive_chunks(table(spark, sf, "documents").select("doc_id", "text"))
+    chunks = chunking.recursive_chunks(spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
     return chunks.select(
         "doc_id",
         "chunk_index",
@@ -301,7 +297,7 @@ FROM documents GROUP BY source
 def word_token_estimates(spark, sf):
     text = F.col("text")
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
         .groupBy("source")
         .agg(
             F.count("*").alias("n_docs"),
@@ -387,7 +383,7 @@ FROM documents
 """,
 )
 def chapter_headers(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     lang, text = F.col("lang"), F.col("text")
     number = F.col("doc_id").cast("string")
     headed = docs.select(

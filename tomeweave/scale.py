@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 ROWS_PER_BLOCK = 250_000
 MAX_BLOCKS = 8_192
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+USUAL_SPLIT_BYTES = 128 * 1024 * 1024
 BLOCK = "_block"
 
 
@@ -181,6 +182,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a part of a small, badly split input before heavy per-row work.
+
+    A file with one row group is one task however many cores wait. Only inputs
+    below one usual split per core, in fewer files than cores, are moved; larger
+    ones have splits enough and are left alone. ``key`` should be unique.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if estimated_bytes(df) >= cores * USUAL_SPLIT_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
     """Bring a result that must be small to the driver, and refuse when it is not."""
     rows = df.limit(limit + 1).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,26 +94,33 @@ def admit(times: np.ndarray, tokens: np.ndarray, log: np.ndarray, quota: Quota):
     holds more than a day, and never more than the daily quota.
     """
     whats, waits = [], []
-    log = [tuple(x) for x in log]
+    day = deque(tuple(x) for x in log.tolist())
+    minute = deque()
+    minute_tokens = 0
+    for entry in day:
+        minute.append(entry)
+        minute_tokens += entry[1]
     for now, cost in zip(times.tolist(), tokens.tolist()):
-        log = [x for x in log if x[0] > now - DAY_US]
-        recent = [x for x in log if x[0] > now - MINUTE_US]
-        wait = 0.0
-        what = "admit"
-        if len(recent) >= quota.rpm:
-            what = "wait_requests"
-            wait += max(60 - (now - recent[0][0]) / 1e6, 1.0) if recent else 1.0
-        if len(log) >= quota.rpd:
-            whats.append("refuse")
-            waits.append(wait)
-            continue
-        if sum(x[1] for x in recent) + cost > quota.tpm:
+        while day and day[0][0] <= now - DAY_US:
+            day.popleft()
+        while minute and minute[0][0] <= now - MINUTE_US:
+            minute_tokens -= minute.popleft()[1]
+        until_free = max(60 - (now - minute[0][0]) / 1e6, 1.0) if minute else 1.0
+        what, wait = "admit", 0.0
+        if len(minute) >= quota.rpm:
+            what, wait = "wait_requests", until_free
+        if len(day) >= quota.rpd:
+            what = "refuse"
+        elif minute_tokens + cost > quota.tpm:
             what = "wait_tokens" if what == "admit" else what
-            wait += max(60 - (now - recent[0][0]) / 1e6, 1.0) if recent else 1.0
-        log.append((now, cost))
+            wait += until_free
+        if what != "refuse":
+            day.append((now, cost))
+            minute.append((now, cost))
+            minute_tokens += cost
         whats.append(what)
         waits.append(wait)
-    return whats, waits, np.array(log, dtype=np.int64).reshape(-1, 2)
+    return whats, waits, np.array(day, dtype=np.int64).reshape(-1, 2)
 
 
 def limit_requests(stream: DataFrame, key: str, unique_id: str, micros: str, tokens: str, quota: Quota = Quota()) -> DataFrame:
