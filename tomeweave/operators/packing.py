@@ -24,11 +24,17 @@ from tomeweave.scale import BLOCK, ROWS_PER_BLOCK, OrderBlocks, plan_blocks
 NORMAL = -1  # burst value of a text that fits the budget
 
 
+def _check(costs, bursts, limit: int) -> None:
+    if ((costs > limit) & (bursts == NORMAL)).any():
+        raise ValueError("a text above the budget needs a burst")
+
+
 def label_run(costs, bursts, limit: int, filled: int, number: int):
     """Section number of each text of a run, given the state that enters it.
 
     ``bursts[i]`` is NORMAL, or the count of numbers an oversized text uses up by itself.
     """
+    _check(costs, bursts, limit)
     n = len(costs)
     prefix = np.concatenate([[0], np.cumsum(costs)])
     oversized = np.flatnonzero(bursts != NORMAL)
@@ -63,6 +69,7 @@ def transfer_table(costs, bursts, limit: int) -> dict:
     join the entering section. ``fresh_*`` answers for an empty entering section.
     Its length is bounded by the texts one section can hold.
     """
+    _check(costs, bursts, limit)
     n = len(costs)
     prefix = np.concatenate([[0], np.cumsum(costs)])
     oversized = np.flatnonzero(bursts != NORMAL)
