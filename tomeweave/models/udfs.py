@@ -67,7 +67,8 @@ def generate_column(prompt: Column, model: Generator, retry: Retry | None = None
                     rows.append({"model": model.name, "error": None, **reply})
                 except Exception as error:
                     rows.append({"model": model.name, "error": str(error)[:500]})
-            yield pd.DataFrame(rows, columns=[f.name for f in GENERATED.fields])
+            # Object columns keep the integers of good replies next to the nulls of failed ones.
+            yield pd.DataFrame({f.name: [r.get(f.name) for r in rows] for f in GENERATED.fields}, dtype=object)
 
     return call(prompt)
 

@@ -145,7 +145,7 @@ def ordered_books(files: DataFrame, nested: bool = False) -> DataFrame:
 # --------------------------------------------------------- sections and extracts
 def section_texts(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
     """(path, section_id, text) of ``{prefix}_section_*.txt``, whole files, by path."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", f"{prefix}_section_*.txt").text(folder)
+    rows = spark.read.option("pathGlobFilter", f"{prefix}_section_*.txt").text(folder, wholetext=True)
     return rows.select(
         F.col("_metadata.file_path").alias("path"),
         F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("section_id"),
