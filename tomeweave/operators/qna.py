@@ -135,14 +135,14 @@ def validate_source_ids(qa: DataFrame, members: DataFrame, qa_key: Sequence[str]
     ``members`` lists (batch..., chunk id) rows. Ids are exploded and met by an
     equi-join; testing an array against a list would plan a nested loop.
     """
-    cited = qa.select(*qa_key, *[b for b in batch if b not in qa_key], F.posexplode(source_ids).alias("_pos", chunk_id))
+    cited = qa.select(*qa_key, *[b for b in batch if b not in qa_key], F.posexplode(source_ids).alias("_cited_at", chunk_id))
     known = members.select(*batch, chunk_id).distinct()
     valid = (
         cited.join(known, [*batch, chunk_id])
         .groupBy(*qa_key)
         .agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("_pos", chunk_id))), lambda s: s[chunk_id]
+                F.array_sort(F.collect_list(F.struct("_cited_at", chunk_id))), lambda s: s[chunk_id]
             ).alias(source_ids)
         )
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,24 @@ def build_session(app: str = "tomeweave", master: str | None = None, **extra: st
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they run; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_tomeweave_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # not when the package itself runs from a shipped archive
+        folder = tempfile.mkdtemp(prefix="tomeweave-code-")
+        archive = shutil.make_archive(
+            os.path.join(folder, "tomeweave"), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        context.addPyFile(archive)
+    context._tomeweave_shipped = True
 
 
 def scratch_root(spark: SparkSession) -> str:
