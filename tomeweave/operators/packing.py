@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.functions.text import is_blank, padded_id, token_estimate
+from tomeweave.functions.text import is_blank, padded_id
+from tomeweave.functions.tokens import FourCharacters, TokenCounter
 from tomeweave.scale import BLOCK, ROWS_PER_BLOCK, OrderBlocks, plan_blocks
 
 NORMAL = -1  # burst value of a text that fits the budget
@@ -211,11 +212,12 @@ def pack(
     return keyed.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(label_from, labelled)
 
 
-def split_oversized(docs: DataFrame, limit: int, separator: str = "\n\n", text: str = "text", tokens=token_estimate) -> DataFrame:
+def split_oversized(
+    docs: DataFrame, limit: int, separator: str = "\n\n", text: str = "text", tokens: TokenCounter = FourCharacters()
+) -> DataFrame:
     """Replace a document by ``parts``: array<struct(part, text)> of its own sections.
 
-    Paragraph costs are computed in the JVM; only a document's cost list goes to
-    Python. A first paragraph above the budget closes an empty part, which emits
+    Only a document's list of paragraph costs goes to Python. A first paragraph above the budget closes an empty part, which emits
     nothing but uses a number, and no paragraph is ever cut.
     """
 
@@ -233,7 +235,7 @@ def split_oversized(docs: DataFrame, limit: int, separator: str = "\n\n", text:
         return costs.map(one)
 
     pieces = docs.withColumn("_pieces", F.split(F.col(text), separator))
-    costed = pieces.withColumn("_parts", part_numbers(F.transform("_pieces", lambda p: tokens(p) + 1)))
+    costed = pieces.withColumn("_parts", part_numbers(F.transform(tokens.each(F.col("_pieces")), lambda c: c + 1)))
     last = F.element_at("_parts", -1)
     return costed.withColumns(
         {
@@ -266,7 +268,7 @@ def sections(
     limit: int,
     text: str = "text",
     separator: str = "\n\n",
-    tokens=token_estimate,
+    tokens: TokenCounter = FourCharacters(),
     blocks: OrderBlocks | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
@@ -276,7 +278,7 @@ def sections(
     ``character_count`` and ``included_books``.
     """
     base = docs.select(group, order, book, F.col(text).alias("_text")).where(F.length("_text") > 0)
-    costed = base.withColumn("_tokens", tokens(F.col("_text")))
+    costed = base.withColumn("_tokens", tokens.of(F.col("_text")))
     big = split_oversized(costed.where(F.col("_tokens") > limit), limit, separator, "_text", tokens)
     bursts = big.select(group, order, "burst")
     narrow = costed.select(group, order, "_tokens").join(bursts, [group, order], "left")
@@ -310,7 +312,7 @@ def sections(
             "section",
             padded_id("%s_section_%02d", F.col(group), F.col("section")).alias("chunk_id"),
             "text_content",
-            tokens(F.col("text_content")).alias("token_count"),
+            tokens.of(F.col("text_content")).alias("token_count"),
             F.length("text_content").cast("bigint").alias("character_count"),
             "included_books",
         )

@@ -3,8 +3,9 @@
 A window partitioned by book, series or API key sends that key's every row to
 one task. Here each group is cut into *order blocks* first: contiguous ranges of
 the ordering key whose bounds come from a bounded statistic (approximate
-quantiles or a bounded sample). The heavy window then runs per (group, block), a
-tiny per-block total is carried across the blocks of a group, and both are added.
+quantiles or a bounded sample). One small total per (group, block) is carried
+across the blocks of its group and placed in front of each block, and the heavy
+window then runs per (group, block) with that start.
 Bounds steer only the balance of the work, never the result, and since they are
 plain literals in the plan a recomputed task always produces the same rows.
 """
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ MAX_BLOCKS = 8_192
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 USUAL_SPLIT_BYTES = 128 * 1024 * 1024
 BLOCK = "_block"
+LEAD = "_lead"
 
 
 @dataclass(frozen=True)
@@ -85,14 +86,19 @@ def plan_blocks(
     return OrderBlocks(tuple(sorted(set(cuts))))
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def _lead_window(keys: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(LEAD, *order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _attach_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = carry.withColumnsRenamed({k: f"_carry_{k}" for k in keys})
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_carry_{k}")) for k in keys])
-    return rows.join(renamed, match, "left").drop(*[f"_carry_{k}" for k in keys])
+def _with_lead_rows(tagged: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows of every (group, block) behind one extra row that brings in the carry of the blocks before.
+
+    The carry thus enters the window through a union: the rows are shuffled once,
+    for the window, and never joined.
+    """
+    return tagged.withColumn(LEAD, F.lit(1)).unionByName(
+        carry.withColumn(LEAD, F.lit(0)), allowMissingColumns=True
+    )
 
 
 def running_sums(
@@ -110,17 +116,17 @@ def running_sums(
         return df.withColumns({n: F.sum(c).over(span) for n, c in sums.items()})
 
     keys = [*group, BLOCK]
-    tagged = df.withColumn(BLOCK, blocks.of(F.col(order[0])))
-    span = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumns({n: F.sum(c).over(span) for n, c in sums.items()})
-    totals = tagged.groupBy(*keys).agg(*[F.sum(c).alias(f"_total_{n}") for n, c in sums.items()])
+    values = {f"_part_{n}": c for n, c in sums.items()}
+    tagged = df.withColumns({BLOCK: blocks.of(F.col(order[0])), **values})
+    totals = tagged.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums]
-    )
-    joined = _attach_carry(local, carry, keys)
-    return joined.withColumns({n: F.col(n) + F.col(f"_base_{n}") for n in sums}).drop(
-        BLOCK, *[f"_base_{n}" for n in sums]
+    carry = totals.select(*keys, *[F.sum(v).over(before).alias(v) for v in values])
+    span = _lead_window(keys, order)
+    return (
+        _with_lead_rows(tagged, carry)
+        .withColumns({n: F.sum(f"_part_{n}").over(span) for n in sums})
+        .where(F.col(LEAD) == 1)
+        .drop(BLOCK, LEAD, *values)
     )
 
 
@@ -153,22 +159,18 @@ def forward_fill(
         return df.withColumn(name, F.last(value, ignorenulls=True).over(span))
 
     keys = [*group, BLOCK]
-    tagged = df.withColumn(BLOCK, blocks.of(F.col(order[0]))).withColumn("_value", value)
-    span = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumn(name, F.last("_value", ignorenulls=True).over(span))
-    latest = (
-        tagged.where(F.col("_value").isNotNull())
-        .groupBy(*keys)
-        .agg(F.max_by("_value", F.struct(*order)).alias("_latest"))
+    tagged = df.withColumns({BLOCK: blocks.of(F.col(order[0])), "_value": value})
+    # Blocks without a value of their own still hand on what came before them.
+    totals = tagged.groupBy(*keys).agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_value")
     )
-    # Every (group, block) needs a carry row, also those without a value of their own.
-    seen = tagged.select(*keys).distinct()
-    totals = _attach_carry(seen, latest, keys)
     before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, F.last("_latest", ignorenulls=True).over(before).alias("_before"))
-    joined = _attach_carry(local, carry, keys)
-    return joined.withColumn(name, F.coalesce(F.col(name), F.col("_before"))).drop(
-        BLOCK, "_value", "_before"
+    carry = totals.select(*keys, F.last("_value", ignorenulls=True).over(before).alias("_value"))
+    return (
+        _with_lead_rows(tagged, carry)
+        .withColumn(name, F.last("_value", ignorenulls=True).over(_lead_window(keys, order)))
+        .where(F.col(LEAD) == 1)
+        .drop(BLOCK, LEAD, "_value")
     )
 
 
