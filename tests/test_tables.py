@@ -74,6 +74,9 @@ def test_store_round_trip(spark, tmp_path):
     assert [r.chunk_id for r in store.read("rag_chunks").collect()] == ["c3"]
     assert {r.table_name: r.n_rows for r in store.counts().collect()}["rag_chunks"] == 1
     assert store.bulk_upsert("rag_chunks", chunks.limit(0)) == 0
+    before = store._versions("rag_chunks")
+    assert store.bulk_upsert("rag_chunks", chunks.where("chunk_id = 'c1'")) == 1  # a new key is appended
+    assert store._versions("rag_chunks") == before and store.read("rag_chunks").count() == 2
 
 
 def test_cache_and_pending(spark, tmp_path):

@@ -93,7 +93,7 @@ SECTION_SEPARATORS = {
 CHUNK_SIZE = 4_000
 CHUNK_OVERLAP = 800
 
-# Series names, their folders and their ontology files.
+# Series names and their folders; the ontology a series uses and its section prefix.
 SERIES_FOLDERS = {
     "harry_potter": "harry_potter",
     "wheel_of_time": "wheel_of_time",
@@ -101,11 +101,11 @@ SERIES_FOLDERS = {
     "asoiaf": "song_of_ice_and_fire",
 }
 SERIES_ONTOLOGY = {
-    "Harry Potter": ("harry_potter_schema.json", "harry_potter"),
-    "A Song of Ice and Fire": ("a_song_of_ice_and_fire_schema.json", "asoiaf"),
-    "asoiaf": ("a_song_of_ice_and_fire_schema.json", "asoiaf"),
-    "The Wheel of Time": ("the_wheel_of_time_schema.json", "wheel_of_time"),
-    "wheel_of_time": ("the_wheel_of_time_schema.json", "wheel_of_time"),
+    "Harry Potter": ("Harry Potter", "harry_potter"),
+    "A Song of Ice and Fire": ("A Song of Ice and Fire", "asoiaf"),
+    "asoiaf": ("A Song of Ice and Fire", "asoiaf"),
+    "The Wheel of Time": ("The Wheel of Time", "wheel_of_time"),
+    "wheel_of_time": ("The Wheel of Time", "wheel_of_time"),
 }
 
 # Question categories (id, display name) and complexity levels.

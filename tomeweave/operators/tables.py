@@ -144,9 +144,9 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 class TableStore:
     """Named Parquet tables under one folder, replaced version by version.
 
-    A write goes to a new ``v=N`` folder and counts from the moment Spark's commit
+    A rewrite goes to a new ``v=N`` folder and counts from the moment Spark's commit
     marker is there, so a lost job leaves the last good version in place and a
-    running reader is never disturbed.
+    running reader is never disturbed. Updates with new keys only are appended.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -174,16 +174,22 @@ class TableStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={versions[-1]}")
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        version = (self._versions(name) or [0])[-1] + 1
-        wanted = schemas.struct_of(name)
-        full = df.select(
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select(
             *[
                 (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in wanted.fields
+                for f in schemas.struct_of(name).fields
             ]
         )
-        full.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        version = (self._versions(name) or [0])[-1] + 1
+        self._shaped(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows whose keys the table does not hold; its stored files are not touched."""
+        version = (self._versions(name) or [1])[-1]
+        self._shaped(name, df).write.mode("append").parquet(f"{self.root}/{name}/v={version}")
 
     def bulk_upsert(self, name: str, updates: DataFrame, keep_created_at: bool = True) -> int:
         """Merge updates by the table's key; returns how many keys were inserted or modified."""
@@ -195,10 +201,17 @@ class TableStore:
             stamped = stamped.withColumn("created_at", F.current_timestamp())
             if SUPPLIED in stamped.columns:
                 stamped = stamped.withColumn(SUPPLIED, F.array_append(SUPPLIED, F.lit("created_at")))
-        touched = stamped.select(*keys).distinct().count()
-        if touched:
-            self.replace(name, upsert(self.read(name), stamped, keys, keep_created_at))
-        return touched
+        touched = stamped.select(*keys).distinct()
+        n_touched = touched.count()
+        if not n_touched:
+            return 0
+        stored = self.read(name)
+        if stored.select(*keys).join(touched, keys, "left_semi").limit(1).count():
+            self.replace(name, upsert(stored, stamped, keys, keep_created_at))
+        else:
+            # Only new keys, the usual case of an incremental run: nothing stored is rewritten.
+            self.append(name, collapse_updates(stamped, keys))
+        return n_touched
 
     def delete_where(self, name: str, predicate: Column) -> int:
         table = self.read(name)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tomeweave import schemas
 from tomeweave.constants import SERIES_FOLDERS, SERIES_ONTOLOGY
+from tomeweave.functions.text import slugify
 from tomeweave.scale import broadcast_if_small, row_index
 
 BOOK_FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -181,20 +182,20 @@ def ontologies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def series_settings(spark: SparkSession) -> DataFrame:
-    """(series, ontology_file, prefix): fixed rows."""
+    """(series, ontology, prefix): fixed rows."""
     rows = [(k, *v) for k, v in SERIES_ONTOLOGY.items()]
-    return spark.createDataFrame(rows, "series string, ontology_file string, prefix string")
+    return spark.createDataFrame(rows, "series string, ontology string, prefix string")
 
 
 def with_settings(df: DataFrame, series: str) -> DataFrame:
-    """Ontology file and prefix of each row's series; unlisted series get names made from their own."""
-    slug = F.replace(F.lower(F.col(series)), F.lit(" "), F.lit("_"))
+    """Ontology file and section prefix of each row's series; unlisted series get both from their own name."""
     known = series_settings(df.sparkSession).withColumnRenamed("series", "_series")
+    own = F.col(series)
     return (
-        df.join(F.broadcast(known), F.col(series) == F.col("_series"), "left")
-        .withColumn("ontology_file", F.coalesce("ontology_file", F.concat(slug, F.lit("_schema.json"))))
-        .withColumn("prefix", F.coalesce("prefix", slug))
-        .drop("_series")
+        df.join(F.broadcast(known), own == F.col("_series"), "left")
+        .withColumn("ontology_file", F.concat(slugify(F.coalesce("ontology", own)), F.lit("_schema.json")))
+        .withColumn("prefix", F.coalesce("prefix", slugify(own)))
+        .drop("_series", "ontology")
     )
 
 
