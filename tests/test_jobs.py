@@ -71,7 +71,12 @@ def test_sections_and_extraction(spark, world):
         F.col("chunk_id").alias("section_id"), "series", F.concat("chunk_id", F.lit(".txt")).alias("file_name"), F.col("text_content").alias("text")
     )
     model = TemplateGenerator(extraction)
-    assert jobs.extract_entities(store, sections, "{}", model) == len(rows)
+    onto = TemplateGenerator(lambda p: '{"entity_types": [{"name": "t"}], "canonical_renaming_rules": {"x": "A"}}')
+    with pytest.raises(ValueError):
+        jobs.extract_series(store, "wheel_of_time", model)
+    assert jobs.generate_ontology(store, ["wheel_of_time"], onto) == 1
+    assert store.read("schemas").first().canonical_renaming_rules == {"x": "A"}
+    assert jobs.extract_series(store, "wheel_of_time", model) == len(rows)
     assert jobs.extract_entities(store, sections, "{}", model) == 0
     one = store.read("extraction_results").first()
     assert one.entities[0].confidence.score == 1.0 and one.entities[0].mentions[0].chunk_id == one.chunk_id
@@ -95,6 +100,12 @@ def test_pairs(world):
     assert report[("category", "rag_evaluation")] == 2 * batches and report[("total", "total_qa_pairs")] == 2 * batches + n
 
 
+def test_judge(world):
+    root, store, _ = world
+    seen = jobs.judge_quality(store, "template", "absent", TemplateGenerator(lambda p: p), 3)
+    assert seen.count("\nQ: ") == 3 and "[Chunk ID: wheel_of_time_rag_" in seen and "Model absent" in seen
+
+
 def test_cli(world, capsys):
     root, store, summary = world
     assert cli.main(["stats", "--store", store.root]) == 0

@@ -68,6 +68,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--start-batch", type=int, default=0)
     p.add_argument("--max-batches", type=int)
     p.add_argument("--no-skip-processed", action="store_true")
+    p = job("ontology")
+    p.add_argument("--series", nargs="+", required=True)
+    p.add_argument("--model")
+    p = job("extract")
+    p.add_argument("--series", required=True)
+    p.add_argument("--model")
     p = job("stats")
     p.add_argument("--series")
     return top
@@ -102,6 +108,10 @@ def main(argv: list[str] | None = None) -> int:
                     args.max_batches, not args.no_skip_processed,
                 )
             )
+        elif args.job == "ontology":
+            print(jobs.generate_ontology(store, args.series, _load(args.model), CATEGORY_RETRY))
+        elif args.job == "extract":
+            print(jobs.extract_series(store, args.series, _load(args.model), CATEGORY_RETRY))
         elif args.series:
             jobs.qa_report(store, args.series).show(100, truncate=False)
         else:

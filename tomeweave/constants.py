@@ -141,3 +141,13 @@ REQUESTS_PER_DAY = 10_000
 TOKENS_PER_MINUTE = 1_000_000
 QA_BATCH, QA_OVERLAP, EVAL_BATCH = 10, 2, 100
 ABORT_AFTER = 3
+
+# How chunk texts are labelled and what an audit says without a text.
+CATEGORY_BLOCK = "\n\n[Chunk ID: {id}]\n{text}"
+EVALUATION_BLOCK = "=== CHUNK_ID: {id} ===\n[Book: {book} | Chapter: {chapter}]\n{text}\n=== END {id} ===\n"
+AUDIT_BLOCK = "[Chunk ID: {id}]\n{text}"
+NO_SOURCES = "No source chunk IDs provided in metadata."
+MISSING_SOURCES = "WARNING: Chunks with IDs [{ids}] not found in rag_chunks collection."
+UNNAMED = "Unknown"
+FREE_FORM_DESCRIPTION = "Key-value pairs"
+FREE_FORM_HINT = " (Provide as JSON string with key-value pairs)"

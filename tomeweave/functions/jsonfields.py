@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tomeweave.constants import FREE_FORM_DESCRIPTION, FREE_FORM_HINT
 from tomeweave.functions.text import strip
 
 
@@ -38,8 +39,7 @@ def portable_schema(node: Any) -> Any:
         return node
     kept = {k: v for k, v in node.items() if k not in ("additionalProperties", "title")}
     if kept.get("type") == "object" and not kept.get("properties"):
-        hint = kept.get("description", "Key-value pairs")
-        return {"type": "string", "description": f"{hint} (Provide as JSON string with key-value pairs)"}
+        return {"type": "string", "description": kept.get("description", FREE_FORM_DESCRIPTION) + FREE_FORM_HINT}
     for name in ("properties", "$defs"):
         if name in kept:
             kept[name] = {k: portable_schema(v) for k, v in kept[name].items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def padded_id(pattern: str, *parts: Column) -> Column:
     return F.format_string(pattern, *parts)
 
 
+def filled(template: str, **parts: Column) -> Column:
+    """A text with ``{name}`` places taken by columns; what a column holds is never read as a place."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
 def preview(text: Column, length: int = 200) -> Column:
     return F.translate(F.substring(text, 1, length), "\n", " ")
 

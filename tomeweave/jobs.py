@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tomeweave import schemas
 from tomeweave.constants import CATEGORIES, EVAL_BATCH, QA_BATCH, QA_OVERLAP
 from tomeweave.functions.policy import safe_limit
-from tomeweave.functions.text import slugify
+from tomeweave.functions.text import filled, slugify
 from tomeweave.models.boundary import Embedder, Generator, Retry
 from tomeweave.models.udfs import generate_column
 from tomeweave.operators import analyze, chunking, graph, incremental, packing, qna, tables
@@ -27,6 +27,8 @@ EVALUATION_PROMPT = (
     "Write question-answer pairs from the chunks below. Only these chunk ids may be named: {ids}. Reply as JSON with "
     "a list qa_pairs.\n\n{text}"
 )
+ONTOLOGY_PROMPT = "Write the entity and relationship types of the series {series} as a JSON ontology."
+JUDGE_PROMPT = "Compare the two samples of question-answer pairs and report which is better grounded.\n\n{a}\n\n{b}"
 EXTRACTION_PROMPT = (
     "Extract the entities and relationships of the text as JSON under this ontology:\n{ontology}\n\nText:\n{text}"
 )
@@ -36,13 +38,6 @@ def _series_id(name: str) -> str:
     return name.lower().replace(" ", "_")
 
 
-def _filled(template: str, **parts: Column) -> Column:
-    out = F.lit(template)
-    for name, value in parts.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
-
-
 # ---------------------------------------------------------------------- ingest
 def ingest(
     spark: SparkSession,
@@ -133,7 +128,7 @@ def extract_entities(
     """
     done = store.read("extraction_results").select(F.col("chunk_id").alias("section_id"))
     todo = files.pending_sections(sections, done)
-    prompt = _filled(EXTRACTION_PROMPT, ontology=F.lit(ontology), text=F.col("text"))
+    prompt = filled(EXTRACTION_PROMPT, ontology=F.lit(ontology), text=F.col("text"))
     replies = todo.withColumn("_r", generate_column(prompt, model, retry))
     parsed = replies.withColumn("_x", F.from_json("_r.content", schemas.EXTRACTION_FILE)).where(
         F.col("_r.error").isNull() & F.col("_x.entities").isNotNull()
@@ -145,6 +140,40 @@ def extract_entities(
     )
 
 
+def extract_series(store: TableStore, series: str, model: Generator, retry: Retry | None = None) -> int:
+    """Extract from the stored sections of a series under its stored ontology."""
+    found = tables.find_one(store.read("schemas"), {"series": series}).select(F.to_json(F.struct("*"))).first()
+    if found is None:
+        raise ValueError(f"no ontology for series {series}")
+    sections = tables.find(store.read("graph_chunks"), {"series": series}).select(
+        F.col("chunk_id").alias("section_id"),
+        "series",
+        F.concat("chunk_id", F.lit(".txt")).alias("file_name"),
+        F.col("text_content").alias("text"),
+    )
+    return extract_entities(store, sections, found[0], model, retry)
+
+
+def generate_ontology(store: TableStore, series: list[str], model: Generator, retry: Retry | None = None) -> int:
+    """An ontology per series from the model, stored by series; replies that do not parse leave none."""
+    rows = store.spark.createDataFrame([(s,) for s in series], "series string")
+    asked = rows.withColumn("_r", generate_column(filled(ONTOLOGY_PROMPT, series=F.col("series")), model, retry))
+    parsed = asked.withColumn("_o", F.from_json("_r.content", schemas.ONTOLOGY_FILE)).where(
+        F.col("_o.entity_types").isNotNull()
+    )
+    kept = cut_lineage(
+        parsed.select(
+            "series",
+            *[
+                F.col(f"_o.{c}").alias(c)
+                for c in ("version_info", "entity_types", "relationship_types", "canonical_renaming_rules")
+            ],
+        ),
+        "ontologies",
+    )
+    return store.bulk_upsert("schemas", kept)
+
+
 # ----------------------------------------------------------------- QA datasets
 def _ask(texts: DataFrame, keys: list[str], prompt: Column, model: Generator, retry: Retry | None) -> DataFrame:
     """One row per parsed pair. Replies are written once, so no model call is ever repeated by a later stage."""
@@ -189,7 +218,7 @@ def generate_category_pairs(
     batches = cut_lineage(batches, "batches")
     wanted = members.join(batches.select("series", "batch_index"), ["series", "batch_index"], "left_semi")
     texts = qna.batch_text(wanted, ["series"], "chunk_id", "text_content")
-    prompt = _filled(CATEGORY_PROMPT, name=F.lit(name), text=F.col("batch_text"))
+    prompt = filled(CATEGORY_PROMPT, name=F.lit(name), text=F.col("batch_text"))
     pairs = _ask(texts, ["series", "batch_index"], prompt, model, retry).join(batches, ["series", "batch_index"])
     faults = qna.constraint_faults(
         F.col("question"), F.col("answer"), F.col("evidence_quote"), F.col("complexity"), F.col("source_chunk_ids")
@@ -241,7 +270,7 @@ def generate_evaluation_pairs(
     texts = qna.batch_text(
         members, ["series"], "chunk_id", "text_content", "evaluation", F.col("book_name"), F.col("chapter_title")
     )
-    prompt = _filled(EVALUATION_PROMPT, ids=F.col("chunk_ids"), text=F.col("batch_text"))
+    prompt = filled(EVALUATION_PROMPT, ids=F.col("chunk_ids"), text=F.col("batch_text"))
     pairs = _ask(texts, ["series", "batch_index"], prompt, model, retry)
     faults = qna.constraint_faults(
         F.col("question"), F.col("answer"), F.col("evidence_quote"), None, F.col("source_chunk_ids")
@@ -309,3 +338,15 @@ def qa_report(store: TableStore, series: str) -> DataFrame:
     ).select("_t.*")
     by = analyze.value_counts(pairs, {"category": F.col("category"), "complexity": F.col("complexity")})
     return stacked.unionByName(by)
+
+
+def judge_quality(store: TableStore, first: str, second: str, judge: Generator, size: int = 5, seed: str = "0") -> str:
+    """A model's verdict on samples of pairs generated by two models, each with its source text."""
+    chunks = store.read("rag_chunks").select("chunk_id", "text_content")
+    parts = []
+    for name in (first, second):
+        pairs = store.read("qa_pairs").where(F.col("metadata.generation_model") == name)
+        flat = pairs.select("qa_id", "question", "answer", F.col("metadata.source_chunk_ids").alias("ids"))
+        audit = qna.sample_with_sources(flat, chunks, "qa_id", "ids", "chunk_id", "text_content", size, seed)
+        parts.append(f"Model {name}\n" + qna.judge_text(audit, "qa_id", "ids"))
+    return judge.generate([JUDGE_PROMPT.replace("{a}", parts[0]).replace("{b}", parts[1])])[0]["content"]

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tomeweave.scale import broadcast_if_small
 from tomeweave.session import cut_lineage
@@ -169,6 +168,16 @@ def graph_stats(vertices_df: DataFrame, edges_df: DataFrame, vtype: str = "type"
     return counts.unionByName(density)
 
 
+def coverage(sections: DataFrame, processed: DataFrame, book: str, section: str) -> DataFrame:
+    """Sections, processed sections and their share per book."""
+    marked = sections.join(processed.select(section).distinct().withColumn("_done", F.lit(1)), section, "left")
+    return marked.groupBy(book).agg(
+        F.count("*").alias("sections"),
+        F.count("_done").alias("processed"),
+        F.round(F.count("_done") * 100.0 / F.count("*"), 1).alias("percentage"),
+    )
+
+
 def components(edges_df: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest vertex id each vertex is connected to.
 
@@ -244,7 +253,3 @@ def graph_context(reached: DataFrame, mentions: DataFrame, chunks: DataFrame, en
     near = mentions.join(broadcast_if_small(reached.select(F.col("id").alias(entity), "hop")), entity)
     ranked = near.groupBy(chunk_id).agg(F.min("hop").alias("hop"), F.count_distinct(entity).alias("n_entities"))
     return ranked.join(chunks, chunk_id).orderBy("hop", F.desc("n_entities"), chunk_id)
-
-
-def empty_edges(spark) -> DataFrame:
-    return spark.createDataFrame([], T.StructType.fromDDL("src STRING, type STRING, dst STRING"))

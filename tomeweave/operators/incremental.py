@@ -11,7 +11,7 @@ from tomeweave.constants import MAX_VECTOR_TEXT
 from tomeweave.functions.text import content_hash, slugify
 from tomeweave.models.boundary import Embedder, Retry
 from tomeweave.models.udfs import embed_column
-from tomeweave.scale import broadcast_if_small
+from tomeweave.scale import broadcast_if_small, row_index
 
 
 def with_cache(texts: DataFrame, cache: DataFrame, text: str, model: str | None = None) -> DataFrame:
@@ -93,6 +93,12 @@ def embed_pending(chunks: DataFrame, path: str, model: Embedder, retry: Retry |
     embed_chunks(todo, model, retry).write.mode("append").parquet(path)
 
 
+def zip_rows(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+    """The n-th row of one table beside the n-th row of the other; both must have the same length to lose nothing."""
+    numbered = row_index(left, [], left_order, "_at"), row_index(right, [], right_order, "_at")
+    return numbered[0].join(numbered[1], "_at").drop("_at")
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

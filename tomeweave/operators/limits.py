@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.constants import REQUESTS_PER_DAY, REQUESTS_PER_MINUTE, TOKENS_PER_MINUTE
@@ -25,19 +25,12 @@ def trailing_totals(
 ) -> DataFrame:
     """Add, per entry ``name: (seconds, value)``, the sum of ``value`` over (t - seconds, t].
 
-    A key small enough is one range window. Otherwise a trailing total is the
-    difference of two running totals: every request also asks for the running
-    total at its own time and at the start of each window, events and questions
-    are put in one order, and the running sums are taken block by block.
+    A trailing total is the difference of two running totals: every request also
+    asks for the running total at its own time and at the start of each window;
+    events and questions are put in one order and summed block by block. A range
+    window would add up every frame anew and keep a key in one task.
     """
     blocks = plan_blocks(requests, micros, rows_per_block) if blocks is None else blocks
-    if blocks.single:
-        out = {}
-        for name, (seconds, value) in totals.items():
-            span = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-            out[name] = F.sum(value).over(span)
-        return requests.withColumns(out)
-
     names = list(totals)
     spans = sorted({0, *[seconds for seconds, _ in totals.values()]})
     lag = F.col("_span").cast("bigint") * 1_000_000

@@ -9,15 +9,28 @@ from pyspark.sql import functions as F
 
 from tomeweave.constants import (
     ABORT_AFTER,
+    AUDIT_BLOCK,
     CATEGORIES,
+    CATEGORY_BLOCK,
     COMPLEXITIES,
     EVAL_BATCH,
+    EVALUATION_BLOCK,
+    MISSING_SOURCES,
+    NO_SOURCES,
     QA_BATCH,
     QA_OVERLAP,
+    UNNAMED,
 )
-from tomeweave.functions.text import or_default, padded_id, word_count
+from tomeweave.functions.text import filled, or_default, padded_id, word_count
 from tomeweave.operators.tables import sample_by_hash
-from tomeweave.scale import ROWS_PER_BLOCK, OrderBlocks, broadcast_if_small, row_index, running_sums
+from tomeweave.scale import (
+    ROWS_PER_BLOCK,
+    OrderBlocks,
+    broadcast_if_small,
+    collect_bounded,
+    row_index,
+    running_sums,
+)
 
 
 # --------------------------------------------------------------------- batches
@@ -94,16 +107,11 @@ def describe_batches(
 def batch_text(members: DataFrame, group: Sequence[str], chunk_id: str, text: str, style: str = "category", book: Column | None = None, chapter: Column | None = None) -> DataFrame:
     """The ordered text of each batch with a header per chunk, as the prompt builders need it."""
     cid = F.col(chunk_id).cast("string")
+    named = lambda c: F.lit(UNNAMED) if c is None else F.coalesce(c, F.lit(UNNAMED))
     if style == "category":
-        block = F.concat(F.lit("\n\n[Chunk ID: "), cid, F.lit("]\n"), F.col(text))
-        glue = ""
+        block, glue = filled(CATEGORY_BLOCK, id=cid, text=F.col(text)), ""
     else:
-        shown_book = F.coalesce(book, F.lit("Unknown")) if book is not None else F.lit("Unknown")
-        shown_chapter = F.coalesce(chapter, F.lit("Unknown")) if chapter is not None else F.lit("Unknown")
-        block = F.concat(
-            F.lit("=== CHUNK_ID: "), cid, F.lit(" ===\n[Book: "), shown_book, F.lit(" | Chapter: "), shown_chapter,
-            F.lit("]\n"), F.col(text), F.lit("\n=== END "), cid, F.lit(" ===\n"),
-        )
+        block = filled(EVALUATION_BLOCK, id=cid, book=named(book), chapter=named(chapter), text=F.col(text))
         glue = "\n"
     parts = members.groupBy(*group, "batch_index").agg(
         F.array_sort(F.collect_list(F.struct("row_index", cid.alias("cid"), block.alias("block")))).alias("_p")
@@ -217,22 +225,32 @@ def sample_with_sources(qa: DataFrame, chunks: DataFrame, qa_id: str, source_ids
     )
     shown = F.array_join(
         F.transform(
-            "_found", lambda c: F.concat(F.lit("[Chunk ID: "), c[chunk_id].cast("string"), F.lit("]\n"), c[text])
+            "_found", lambda c: filled(AUDIT_BLOCK, id=c[chunk_id].cast("string"), text=c[text])
         ),
         "\n\n",
     )
     cited_list = F.array_join(F.transform(source_ids, lambda i: i.cast("string")), ", ")
     return sample.join(found, qa_id, "left").withColumn(
         "source_text",
-        F.when(F.coalesce(F.size(source_ids), F.lit(0)) < 1, F.lit("No source chunk IDs provided in metadata."))
-        .when(
-            F.col("_found").isNull(),
-            F.concat(F.lit("WARNING: Chunks with IDs ["), cited_list, F.lit("] not found in rag_chunks collection.")),
-        )
+        F.when(F.coalesce(F.size(source_ids), F.lit(0)) < 1, F.lit(NO_SOURCES))
+        .when(F.col("_found").isNull(), filled(MISSING_SOURCES, ids=cited_list))
         .otherwise(shown),
     ).drop("_found")
 
 
+def judge_text(sample: DataFrame, qa_id: str, source_ids: str, limit: int = 1_000) -> str:
+    """A sampled audit as one prompt part, pair by pair; a sample is small by definition."""
+    rows = collect_bounded(sample.orderBy(qa_id), limit, "audit sample")
+    blocks = []
+    for number, row in enumerate(rows, 1):
+        cited = ", ".join(str(i) for i in row[source_ids] or [])
+        blocks.append(
+            f"Pair {number} cites {cited or 'nothing'}\nQ: {row['question']}\nA: {row['answer']}\n"
+            f"Sources:\n{row['source_text']}\n"
+        )
+    return "\n".join(blocks)
+
+
 # ------------------------------------------------------------------ statistics
 def qa_totals(qa: DataFrame, source_ids: str, batch: str | None = None) -> DataFrame:
     """One row: pairs, distinct source chunks and, if asked, distinct batches.

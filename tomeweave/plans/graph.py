@@ -271,3 +271,15 @@ def graph_context(spark, sf):
     return graph.graph_context(
         reached, orders.select("chunk_id", "entity"), orders.select("chunk_id", "o_orderpriority"), "entity", "chunk_id"
     )
+
+
+@catalogue.add(
+    "q77_extraction_coverage",
+    """
+SELECT source, count(*) AS sections, count(l.doc_id) AS processed, round(count(l.doc_id) * 100.0 / count(*), 1) AS percentage
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
+""",
+)
+def extraction_coverage(spark, sf):
+    sections = table(spark, sf, "documents").select("doc_id", "source")
+    return graph.coverage(sections, table(spark, sf, "labels"), "source", "doc_id")

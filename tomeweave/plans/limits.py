@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tomeweave.functions import times
 from tomeweave.functions.policy import backoff_seconds, error_class
 from tomeweave.operators import limits
 from tomeweave.plans.base import Catalogue, event_micros, event_tokens, table
@@ -126,3 +127,24 @@ def capable_models(spark, sf):
         "p_partkey", "p_name", F.split(F.concat_ws(" ", "p_type", "p_brand"), " ").alias("actions")
     )
     return limits.capable_models(models, "p_name", "actions", "ECONOMY", "ring").drop("actions")
+
+
+@catalogue.add(
+    "q76_time_formats",
+    """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, round(epoch_us(ts) / 1000000.0, 6) AS epoch,
+       true AS round_trip, round((epoch_us(ts) - 1704067200000000) / 1000000.0, 6) AS elapsed
+FROM events
+""",
+)
+def time_formats(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    iso = times.to_iso(ts)
+    start = F.timestamp_micros(F.lit(1_704_067_200_000_000))
+    return table(spark, sf, "events").select(
+        "event_id",
+        iso.alias("iso"),
+        F.round(times.to_epoch(ts), 6).alias("epoch"),
+        ((times.from_iso(iso) == ts) & (F.unix_micros(times.from_epoch(F.lit(5))) == 5_000_000)).alias("round_trip"),
+        F.round(times.elapsed_seconds(start, ts), 6).alias("elapsed"),
+    )

@@ -203,3 +203,21 @@ def evidence_in_sources(spark, sf):
         qa, docs, "qa_id", "evidence_quote", "source_chunk_ids", "doc_id", "text"
     )
     return checked.select(F.col("qa_id").alias("doc_id"), "grounded")
+
+
+@catalogue.add(
+    "q75_array_quality",
+    """
+WITH a AS (SELECT doc_id, [doc_id, doc_id + 1, n_chars % 7] AS got, [doc_id + 1, n_chars % 5] AS want FROM documents)
+SELECT doc_id, round(len(list_intersect(got, want)) * 1.0 / len(list_distinct(want)), 6) AS recall,
+       round(len(list_intersect(got, want)) * 1.0 / len(list_distinct(got)), 6) AS precision
+FROM a
+""",
+)
+def array_quality(spark, sf):
+    me, n = F.col("doc_id"), F.col("n_chars")
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.array(me, me + 1, n % 7).alias("got"), F.array(me + 1, n % 5).alias("want")
+    )
+    scored = retrieval.quality(rows, "got", "want")
+    return scored.select("doc_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))

@@ -197,3 +197,17 @@ def vector_rows(spark, sf):
     return incremental.vector_rows(embedded).select(
         F.col("chunk_id").cast("bigint").alias("doc_id"), "text", "universe", "chapter_number"
     )
+
+
+@catalogue.add(
+    "q74_zip_by_position",
+    """
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+v AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) AS r FROM embeddings)
+SELECT doc_id, vec_id, label FROM d JOIN v USING (r)
+""",
+)
+def zip_by_position(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    vectors = table(spark, sf, "embeddings").select("label", "vec_id")
+    return incremental.zip_rows(docs, vectors, ["doc_id"], ["label", "vec_id"]).select("doc_id", "vec_id", "label")
