@@ -13,6 +13,7 @@ from tomeweave.models.boundary import Embedder, Generator, Retry
 from tomeweave.models.udfs import generate_column
 from tomeweave.operators import analyze, chunking, graph, incremental, packing, qna, tables
 from tomeweave.operators.tables import TableStore
+from tomeweave.scale import once
 from tomeweave.session import cut_lineage
 from tomeweave.sources import files
 
@@ -180,7 +181,7 @@ def _ask(texts: DataFrame, keys: list[str], prompt: Column, model: Generator, re
     asked = texts.withColumn("_r", generate_column(prompt, model, retry))
     replies = cut_lineage(asked.select(*keys, "_r"), "replies")
     parsed = replies.where(F.col("_r.error").isNull()).withColumn("_p", F.from_json("_r.content", PAIRS))
-    return parsed.select(*keys, F.posexplode("_p.qa_pairs").alias("_pos", "_q")).select(*keys, "_pos", "_q.*")
+    return parsed.select(*keys, F.posexplode(once(F.col("_p.qa_pairs"))).alias("_pos", "_q")).select(*keys, "_pos", "_q.*")
 
 
 def _series_chunks(store: TableStore, series: str) -> DataFrame:

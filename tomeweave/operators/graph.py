@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.scale import broadcast_if_small
+from tomeweave.scale import broadcast_if_small, once
 from tomeweave.session import cut_lineage
 
 
@@ -37,12 +37,12 @@ def stamp_provenance(extracts: DataFrame, file_name: Column, chunk_id: Column) -
 
 def vertices(extracts: DataFrame, *carry: str) -> DataFrame:
     """One row per extracted entity."""
-    return extracts.select(*carry, F.explode("entities").alias("_e")).select(*carry, "_e.*")
+    return extracts.select(*carry, F.explode(once(F.col("entities"))).alias("_e")).select(*carry, "_e.*")
 
 
 def edges(extracts: DataFrame, *carry: str) -> DataFrame:
     """One row per extracted relationship."""
-    return extracts.select(*carry, F.explode("relationships").alias("_r")).select(*carry, "_r.*")
+    return extracts.select(*carry, F.explode(once(F.col("relationships"))).alias("_r")).select(*carry, "_r.*")
 
 
 def proposal_tally(extracts: DataFrame) -> DataFrame:

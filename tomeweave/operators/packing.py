@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from tomeweave.functions.text import is_blank, padded_id
 from tomeweave.functions.tokens import FourCharacters, TokenCounter
-from tomeweave.scale import BLOCK, ROWS_PER_BLOCK, OrderBlocks, plan_blocks
+from tomeweave.scale import BLOCK, ROWS_PER_BLOCK, OrderBlocks, once, plan_blocks
+from tomeweave.session import cut_lineage
 
 NORMAL = -1  # burst value of a text that fits the budget
 
@@ -215,15 +216,18 @@ def pack(
 def split_oversized(
     docs: DataFrame, limit: int, separator: str = "\n\n", text: str = "text", tokens: TokenCounter = FourCharacters()
 ) -> DataFrame:
-    """Replace a document by ``parts``: array<struct(part, text)> of its own sections.
+    """Add ``burst`` and ``parts`` (array<struct(part, text)>): the own sections of a document above the budget.
 
-    Only a document's list of paragraph costs goes to Python. A first paragraph above the budget closes an empty part, which emits
-    nothing but uses a number, and no paragraph is ever cut.
+    Both are null for documents that fit. Only an oversized document's list of
+    paragraph costs goes to Python. A first paragraph above the budget closes an
+    empty part, which emits nothing but uses a number, and no paragraph is ever cut.
     """
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def part_numbers(costs: pd.Series) -> pd.Series:
         def one(row):
+            if row is None:
+                return None
             number, held, out = 0, 0, []
             for c in row:
                 if held + c > limit:
@@ -234,12 +238,13 @@ def split_oversized(
 
         return costs.map(one)
 
-    pieces = docs.withColumn("_pieces", F.split(F.col(text), separator))
-    costed = pieces.withColumn("_parts", part_numbers(F.transform(tokens.each(F.col("_pieces")), lambda c: c + 1)))
-    last = F.element_at("_parts", -1)
+    large = F.when(F.col("_tokens") > limit, F.split(F.col(text), separator))
+    pieces = docs.withColumn("_pieces", large)
+    costs = F.transform(tokens.each(F.coalesce("_pieces", F.array().cast("array<string>"))), lambda c: c + 1)
+    costed = pieces.withColumn("_parts", part_numbers(F.when(F.col("_pieces").isNotNull(), costs)))
     return costed.withColumns(
         {
-            "burst": (last + 1).cast("bigint"),
+            "burst": (F.element_at("_parts", -1) + 1).cast("bigint"),
             "parts": F.transform(
                 F.array_distinct("_parts"),
                 lambda n: F.struct(
@@ -275,45 +280,37 @@ def sections(
     """Pack whole texts into sections of at most ``limit`` tokens.
 
     Returns group, ``section``, ``chunk_id``, ``text_content``, ``token_count``,
-    ``character_count`` and ``included_books``.
+    ``character_count`` and ``included_books``. The texts are read twice: once for
+    their costs, from which narrow section numbers are made and stored, and once
+    to be put together.
     """
     base = docs.select(group, order, book, F.col(text).alias("_text")).where(F.length("_text") > 0)
-    costed = base.withColumn("_tokens", tokens.of(F.col("_text")))
-    big = split_oversized(costed.where(F.col("_tokens") > limit), limit, separator, "_text", tokens)
-    bursts = big.select(group, order, "burst")
-    narrow = costed.select(group, order, "_tokens").join(bursts, [group, order], "left")
-    numbered = pack(narrow, [group], order, F.col("_tokens"), limit, F.col("burst"), blocks, rows_per_block)
-
-    normal = costed.where(F.col("_tokens") <= limit).join(numbered, [group, order])
-    packed = normal.groupBy(group, "section").agg(
+    costed = split_oversized(base.withColumn("_tokens", tokens.of(F.col("_text"))), limit, separator, "_text", tokens)
+    narrow = costed.select(group, order, "_tokens", "burst")
+    numbered = cut_lineage(
+        pack(narrow, [group], order, F.col("_tokens"), limit, F.col("burst"), blocks, rows_per_block), "numbers"
+    )
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.col("_text").alias("text")))
+    members = (
+        costed.join(numbered, [group, order])
+        .select(group, order, book, "section", F.explode(once(F.coalesce("parts", whole))).alias("_p"))
+        .select(group, order, book, (F.col("section") + F.col("_p.part")).alias("section"), F.col("_p.text").alias("_text"))
+    )
+    packed = members.groupBy(group, "section").agg(
         F.array_sort(F.collect_list(F.struct(order, "_text", book))).alias("_members")
     )
-    whole = packed.select(
+    joined = packed.select(
         group,
         "section",
         F.array_join(F.transform("_members", lambda m: m["_text"]), "\n\n").alias("text_content"),
         F.transform("_members", lambda m: m[book]).alias("included_books"),
     )
-    own = (
-        big.join(numbered, [group, order])
-        .select(group, "section", book, F.explode("parts").alias("_p"))
-        .select(
-            group,
-            (F.col("section") + F.col("_p.part")).alias("section"),
-            F.col("_p.text").alias("text_content"),
-            F.array(F.col(book)).alias("included_books"),
-        )
-    )
-    return (
-        whole.unionByName(own)
-        .where(~is_blank(F.col("text_content")))
-        .select(
-            group,
-            "section",
-            padded_id("%s_section_%02d", F.col(group), F.col("section")).alias("chunk_id"),
-            "text_content",
-            tokens.of(F.col("text_content")).alias("token_count"),
-            F.length("text_content").cast("bigint").alias("character_count"),
-            "included_books",
-        )
+    return joined.where(~is_blank(F.col("text_content"))).select(
+        group,
+        "section",
+        padded_id("%s_section_%02d", F.col(group), F.col("section")).alias("chunk_id"),
+        "text_content",
+        tokens.of(F.col("text_content")).alias("token_count"),
+        F.length("text_content").cast("bigint").alias("character_count"),
+        "included_books",
     )

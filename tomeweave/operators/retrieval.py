@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tomeweave.constants import BM25_B, BM25_K1, DENSE_WEIGHT, RRF_K, SPARSE_WEIGHT, TOP_K
 from tomeweave.functions.text import terms
-from tomeweave.scale import plan_blocks
+from tomeweave.scale import once, plan_blocks
 from tomeweave.session import cut_lineage, scratch_path
 
 QUERIES_PER_SCAN = 1_024
@@ -233,7 +233,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, buckets: int = 8) -> D
     of its terms and pushes the term filter into the Parquet scan.
     """
     tokens = docs.select(id_col, terms(F.col(text_col)).alias("_t"))
-    flat = tokens.select(id_col, F.size("_t").cast("bigint").alias("doc_length"), F.explode("_t").alias("term"))
+    flat = tokens.select(id_col, F.size("_t").cast("bigint").alias("doc_length"), F.explode(once(F.col("_t"))).alias("term"))
     return (
         flat.groupBy(id_col, "doc_length", "term")
         .agg(F.count("*").alias("tf"))

@@ -174,6 +174,16 @@ def forward_fill(
     )
 
 
+def once(array: Column) -> Column:
+    """An array to explode that is costly to compute.
+
+    From ``explode(column)`` Catalyst infers a filter on the column's size and
+    pushes it down, where the column is computed a second time just to be
+    counted. It does not do so for an expression, and this one is the array itself.
+    """
+    return F.filter(array, lambda _: F.lit(True))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of a DataFrame; no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
