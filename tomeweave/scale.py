@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 ROWS_PER_BLOCK = 250_000
 MAX_BLOCKS = 8_192
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 USUAL_SPLIT_BYTES = 128 * 1024 * 1024
 BLOCK = "_block"
 LEAD = "_lead"
