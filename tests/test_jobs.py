@@ -110,6 +110,12 @@ def test_cli(world, capsys):
     root, store, summary = world
     assert cli.main(["stats", "--store", store.root]) == 0
     assert "rag_chunks" in capsys.readouterr().out
+    assert cli.main(["ingest", "--dir", str(root / "wheel_of_time"), "--universe", "Wheel of Time", "--output", str(root / "out.json")]) == 0
+    assert str(summary.total_chunks) in capsys.readouterr().out and (root / "out.json").exists()
+    assert cli.main(["embed", "--store", store.root, "--universe", "Wheel of Time", "--path", str(root / "emb")]) == 0
+    assert cli.main(["load", "--store", store.root, "--path", str(root / "emb")]) == 0
+    assert capsys.readouterr().out.strip() == str(summary.total_chunks)
+    assert cli.main(["stats", "--store", store.root, "--series", "wheel_of_time"]) == 0
     assert cli.main(["sections", "--root", str(root), "--series", "nope", "--context-window", "10"]) == 1
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["qna"])

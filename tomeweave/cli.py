@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     def job(name: str, *, store: bool = True) -> argparse.ArgumentParser:
         p = jobs_.add_parser(name)
         p.add_argument("--master")
+        p.add_argument("--shuffle-partitions", type=int, help="about one per 200 MB that is shuffled")
         if store:
             p.add_argument("--store", required=True, help="folder of the stored tables")
         return p
@@ -81,7 +82,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = build_session(f"tomeweave-{args.job}", args.master)
+    sizes = {"spark.sql.shuffle.partitions": str(args.shuffle_partitions)} if args.shuffle_partitions else {}
+    spark = build_session(f"tomeweave-{args.job}", args.master, **sizes)
     store = TableStore(spark, args.store) if args.store else None
     try:
         if args.job == "ingest":
