@@ -28,7 +28,9 @@ def test_batch_description_and_text(spark):
     rows = [("s", i, "B" if i % 2 else "", f"w{i} x", 3 if i == 0 else None) for i in range(4)]
     df = spark.createDataFrame(rows, "series string, chunk_id int, book string, text string, tokens int")
     members = qna.tumbling_members(df, ["series"], ["chunk_id"], 3)
-    got = qna.describe_batches(members, ["series"], "chunk_id", F.col("book"), F.col("text"), F.col("tokens").cast("bigint")).orderBy("batch_index").collect()
+    narrow = qna.measured(members, "text", "tokens")
+    assert "text" not in narrow.columns
+    got = qna.describe_batches(narrow, ["series"], "chunk_id", F.col("book"), F.col("n_tokens"), F.col("n_characters")).orderBy("batch_index").collect()
     assert [(r.batch_id, r.n_chunks, r.included_books, r.token_count) for r in got] == [("0_to_2", 3, ["B"], 7), ("3_to_3", 1, ["B"], 2)]
     text = qna.batch_text(members, ["series"], "chunk_id", "text").orderBy("batch_index").first()
     assert text.batch_text == "\n\n[Chunk ID: 0]\nw0 x\n\n[Chunk ID: 1]\nw1 x\n\n[Chunk ID: 2]\nw2 x" and text.chunk_ids == "0, 1, 2"

@@ -77,15 +77,13 @@ def overlapping_members(
 
 
 def describe_batches(
-    members: DataFrame,
-    group: Sequence[str],
-    chunk_id: str,
-    book: Column,
-    text: Column,
-    token_count: Column | None = None,
+    members: DataFrame, group: Sequence[str], chunk_id: str, book: Column, tokens: Column, characters: Column
 ) -> DataFrame:
-    """One row per batch: id, size, books and token estimates. A batch has a fixed number of members."""
-    by_words = F.coalesce(token_count, word_count(text)) if token_count is not None else word_count(text)
+    """One row per batch: id, size, books and token estimates. A batch has a fixed number of members.
+
+    It needs counts, not texts: measure the chunks (see ``measured``) before they
+    are put into batches, and no text is shuffled.
+    """
     at = F.col("row_index")
     return (
         members.groupBy(*group, "batch_index")
@@ -94,8 +92,8 @@ def describe_batches(
             F.max_by(F.col(chunk_id), at).alias("last_chunk"),
             F.count("*").alias("n_chunks"),
             F.array_sort(F.collect_set(F.nullif(book, F.lit("")))).alias("included_books"),
-            F.sum(by_words).alias("token_count"),
-            F.floor(F.sum(F.length(text)) / 4).cast("bigint").alias("estimated_tokens"),
+            F.sum(tokens).alias("token_count"),
+            F.floor(F.sum(characters) / 4).cast("bigint").alias("estimated_tokens"),
         )
         .withColumn(
             "batch_id",
@@ -104,6 +102,13 @@ def describe_batches(
     )
 
 
+def measured(chunks: DataFrame, text: str, token_count: str | None = None) -> DataFrame:
+    """Replace the text by ``n_tokens`` (the stored count, else its words) and ``n_characters``."""
+    words = word_count(F.col(text))
+    tokens = F.coalesce(F.col(token_count).cast("bigint"), words) if token_count else words
+    return chunks.withColumns({"n_tokens": tokens, "n_characters": F.length(text).cast("bigint")}).drop(text)
+
+
 def batch_text(members: DataFrame, group: Sequence[str], chunk_id: str, text: str, style: str = "category", book: Column | None = None, chapter: Column | None = None) -> DataFrame:
     """The ordered text of each batch with a header per chunk, as the prompt builders need it."""
     cid = F.col(chunk_id).cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tomeweave.functions.text import words
 from tomeweave.operators import analyze, qna
 from tomeweave.plans.base import Catalogue, event_micros, first_line, table
+from tomeweave.scale import spread
 
 catalogue = Catalogue()
 
@@ -15,6 +16,10 @@ def _docs(spark, sf, *columns):
     return table(spark, sf, "documents").select(*(columns or ("doc_id", "lang", "source", "text")))
 
 
+def _measured(spark, sf):
+    return qna.measured(spread(_docs(spark, sf), "doc_id"), "text")
+
+
 _TUMBLING = """
 i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rn FROM documents),
 m AS (SELECT *, rn // 100 AS batch_index FROM i)
@@ -46,7 +51,9 @@ _BATCH_COLUMNS = (
 
 
 def _described(members):
-    batches = qna.describe_batches(members, ["lang"], "doc_id", F.col("source"), F.col("text"))
+    batches = qna.describe_batches(
+        members, ["lang"], "doc_id", F.col("source"), F.col("n_tokens"), F.col("n_characters")
+    )
     return batches.select(
         "lang",
         "batch_index",
@@ -60,12 +67,12 @@ def _described(members):
 
 @catalogue.add("q28_tumbling_batches", f"WITH {_describe_sql(_TUMBLING)} SELECT {_BATCH_COLUMNS} FROM b")
 def tumbling_batches(spark, sf):
-    return _described(qna.tumbling_members(_docs(spark, sf), ["lang"], ["doc_id"]))
+    return _described(qna.tumbling_members(_measured(spark, sf), ["lang"], ["doc_id"]))
 
 
 @catalogue.add("q29_overlap_batches", f"WITH {_describe_sql(_OVERLAP)} SELECT {_BATCH_COLUMNS} FROM b")
 def overlap_batches(spark, sf):
-    return _described(qna.overlapping_members(_docs(spark, sf), ["lang"], ["doc_id"]))
+    return _described(qna.overlapping_members(_measured(spark, sf), ["lang"], ["doc_id"]))
 
 
 @catalogue.add(
