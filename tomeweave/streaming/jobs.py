@@ -15,7 +15,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tomeweave.constants import REQUESTS_PER_DAY, REQUESTS_PER_MINUTE, TOKENS_PER_MINUTE
 from tomeweave.models.boundary import Embedder, Retry
 from tomeweave.operators.incremental import embed_pending
-from tomeweave.operators.limits import usage_summary
 from tomeweave.session import scratch_path
 
 MINUTE_US = 60_000_000
@@ -160,8 +159,3 @@ def embed_arrivals(stream: DataFrame, path: str, checkpoint: str, model: Embedde
         .trigger(availableNow=True)
         .start()
     )
-
-
-def usage_of(batch: DataFrame, model: Column, tokens: Column) -> DataFrame:
-    """The batch form, for comparison."""
-    return usage_summary(batch, model, tokens)
