@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeweave.llm import decontaminate, quality, simhash, urlfilter, warc
+from tomeweave.llm import decontaminate, quality, secrets, sentencepieces, simhash, urlfilter, warc
 from tomeweave.plans.base import Catalogue, table
 from tomeweave.session import scratch_path
 
@@ -115,5 +117,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.index(spark, path)
 
 
+# -------------------------------------------------------------------- op8
+@catalogue.add("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every document; tested on planted secrets and look-alikes (a forest is not in SQL)."""
+    docs = table(spark, sf_dir, "documents")
+    forest, dictionary = secrets.prepared(docs)
+    found = secrets.scan(docs, forest, dictionary)
+    spans = F.array_join(F.transform("secrets", lambda c: F.concat_ws(":", c["start"], c["end"])), ",")
+    return found.select(
+        "doc_id", F.size("candidates").cast("bigint").alias("n_candidates"), F.size("secrets").cast("bigint").alias("n_secrets"), spans.alias("spans")
+    )
+
+
+# -------------------------------------------------------------------- op9
+VOCABULARY = os.environ.get("TOMEWEAVE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@catalogue.add("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, decoded again; tested against brute force and by the round trip (Viterbi is not in SQL)."""
+    vocab = sentencepieces.load(VOCABULARY)
+    pieces = sentencepieces.encode(table(spark, sf_dir, "documents"), vocab, keep=("text",))
+    back = sentencepieces.decode(pieces, vocab)
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("pieces_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 QUERIES = dict(catalogue.queries)
 SQL = dict(catalogue.sql)
