@@ -81,7 +81,7 @@ def with_strides(each: Column) -> Column:
     return F.struct(each.alias("each"), F.transform(starts, lambda s: add(F.slice(each, s, STRIDE))).alias("strides"))
 
 
-def with_matches(df: DataFrame, text: str, pattern: str, name: str, possible: Column | None = None) -> DataFrame:
+def with_matches(df: DataFrame, text: str, pattern: str | Column, name: str, possible: Column | None = None) -> DataFrame:
     """Add ``<name>_gaps``, ``<name>_hits`` and ``<name>_starts``: all leftmost, non-overlapping matches of a pattern.
 
     Splitting by a pattern and extracting it see the same matches, so the hit k
@@ -90,9 +90,10 @@ def with_matches(df: DataFrame, text: str, pattern: str, name: str, possible: Co
     """
     ok = F.coalesce(possible, F.lit(False)) if possible is not None else F.lit(True)
     none = F.array().cast("array<string>")
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps, hits, sums, starts = (f"{name}_{x}" for x in ("gaps", "hits", "sums", "starts"))
     df = df.withColumns({
-        hits: F.when(ok, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none),
+        hits: F.when(ok, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none),
     })
     df = df.withColumns({
         gaps: F.when(F.size(hits) > 0, F.split(text, pattern, -1)).otherwise(F.array(F.col(text))),

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeweave.llm import decontaminate, quality, secrets, sentencepieces, simhash, urlfilter, warc
+from tomeweave.llm import decontaminate, langid, pii, quality, secrets, sentencepieces, simhash, urlfilter, warc
 from tomeweave.plans.base import Catalogue, table
 from tomeweave.session import scratch_path
 
@@ -53,6 +53,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -------------------------------------------------------------------- op2
+@catalogue.add("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the base is tested against another regular-expression engine, terms on a small corpus."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.number_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.concat("base", "terms")).alias("spans")
+    )
+
+
 # -------------------------------------------------------------------- op5
 @catalogue.add("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,5 +158,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -------------------------------------------------------------------- op10
+@catalogue.add("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; tested by held-out accuracy (a trained network is not in SQL)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = dict(catalogue.queries)
 SQL = dict(catalogue.sql)
