@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeweave.llm import decontaminate, langid, pii, quality, secrets, sentencepieces, simhash, urlfilter, warc
+from tomeweave.llm import decontaminate, langid, licenses, pii, quality, secrets, sentencepieces, simhash, urlfilter, warc
 from tomeweave.plans.base import Catalogue, table
 from tomeweave.session import scratch_path
 
@@ -64,6 +64,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -------------------------------------------------------------------- op3
+@catalogue.add("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document; tested against brute-force containment (band keys are not in SQL)."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"])))
+    spans = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"]))
+    return found.select("doc_id", F.size("found").cast("bigint").alias("n_found"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
 # -------------------------------------------------------------------- op5
 @catalogue.add("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
