@@ -18,18 +18,10 @@ from tomeweave.scale import once
 
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
-NOT_TOKEN = "[\\x00-\\x60\\x7B-\\x7F]+"  # after lower-casing
-NOT_SYMBOL = "[^#*$%&|<>]+"
 WINDOW = 8
-#: Classes by what is not in them; what is in none counts as "other".
-CLASSES = {
-    "lower": "[^a-z]+",
-    "upper": "[^A-Z]+",
-    "beyond_ascii": "[\\x00-\\x7F]+",
-    "digit": "[^0-9]+",
-    "space": "[^\\x20\\x09-\\x0D]+",
-    "punctuation": "[^.,;:!?'\"()-]+",
-}
+#: Classes by what is not in them. Bytes beyond one a character are a class too, and what is in none is the rest.
+CLASSES = {"symbol": "[^#*$%&|<>]+", "upper": "[^A-Z]+", "digit": "[^0-9]+"}
+CLASS_NAMES = (*CLASSES, "beyond_ascii", "rest")
 
 
 @dataclass(frozen=True)
@@ -37,11 +29,12 @@ class Limits:
     min_words: int = 20
     max_repeat_percent: int = 30
     common_words: int = 16  # per language
+    common_length: int = 4  # characters of a common word at most: such words are short
     languages: int = 256  # with a reference of their own, most documents first; others use that of all documents
     min_chars: int = 200  # for the character histogram
-    min_tokens: int = 60  # for the word histogram
-    max_char_distance: float = 0.25
-    max_word_distance: float = 0.60
+    min_words_compared: int = 60  # for the word histogram
+    max_char_distance: float = 0.31
+    max_word_distance: float = 0.42
 
 
 @dataclass(frozen=True)
@@ -62,78 +55,82 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 
-def _tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, for the common-word histogram; an empty first or last piece is no token."""
-    return F.split(F.lower(text), NOT_TOKEN)
+def _class_counts(text: Column, symbols: Column | None = None) -> Column:
+    """Counts by ``CLASS_NAMES``, as an array."""
+    each = [F.char_length(F.regexp_replace(text, keep, "")) for keep in CLASSES.values()]
+    if symbols is not None:
+        each[0] = symbols
+    each.append(F.octet_length(text) - F.char_length(text))
+    inside = each[0] + each[1] + each[2] + each[3]
+    return F.array(*each, F.greatest(F.lit(0), F.char_length(text) - inside)).cast("array<bigint>")
 
 
-def _class_counts(text: Column) -> list[Column]:
-    return [F.char_length(F.regexp_replace(text, keep, "")).cast("bigint") for keep in CLASSES.values()]
+def _pairs(array: str, step: int) -> Column:
+    """Hashes of each item with the one ``step`` later."""
+    n = F.greatest(F.lit(0), F.size(array) - step)
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
 def base_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns, ``_t`` (the text) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """``keep`` columns, ``_t`` (the text), ``_w`` (its words) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
-    Windows are compared by a 64-bit hash of eight 64-bit word hashes. Only texts
-    in which two windows agree are sorted to find which.
+    Windows are compared by 64-bit hashes, made of those of half their words. Texts
+    in which no two half windows agree need no windows, and only texts in which
+    two windows agree are sorted to find which.
     """
     step = docs.select(*keep, _text(text_col).alias("_t"))
     step = step.select("*", _words(F.col("_t")).alias("_w"))
     has_word = lambda line: F.btrim(line, F.lit(SPACE)) != ""
+    counts = [*keep, "_t", "_w", "n_words", "word_chars", "n_symbols"]
     step = step.select(
-        *keep, "_t",
+        *keep, "_t", "_w",
         F.size("_w").cast("bigint").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
-        F.char_length(F.regexp_replace("_t", NOT_SYMBOL, "")).cast("bigint").alias("n_symbols"),
+        F.char_length(F.regexp_replace("_t", CLASSES["symbol"], "")).cast("bigint").alias("n_symbols"),
         F.filter(F.split("_t", "\n"), has_word).alias("_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
-    n = F.size("_h")
-    windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (WINDOW - 1))), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))
-    )
-    step = step.select(
-        *keep, "_t", "n_words", "word_chars", "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        windows.alias("_h"),
-    )
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    placed = F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    step = step.withColumn("_h", placed)
+    counts.append("n_dup_lines")
+    step = step.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
+    step = step.select(*counts, _pairs("_h", 1).alias("_h"))
+    step = step.select(*counts, _pairs("_h", 2).alias("_h"))
+    agree = F.size(F.array_distinct("_h")) < F.size("_h")
+    step = step.select(*counts, F.when(agree, _pairs("_h", 4)).alias("_h"))
+    placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.select(*counts, F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).alias("_h"))
     beside = lambda k: F.get("_h", k)["h"]
     twice = F.filter("_h", lambda x, k: (beside(k - 1) == x["h"]) | (beside(k + 1) == x["h"]))
     step = step.withColumn("_h", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.transform("_h", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_h", k + 1) - p, F.lit(WINDOW))))
     total = F.aggregate(covered, F.lit(0), lambda a, x: a + x)
-    return step.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("bigint")).drop("_h")
+    return step.select(*counts, F.coalesce(total, F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
 def reference(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> Reference:
     """Histograms of every language over all documents.
 
-    Word counts fold together in each task before they are shuffled. What
-    reaches the driver is ``common_words`` words and seven shares for each of at
-    most ``languages`` languages.
+    Counts fold together in each task before they are shuffled. What reaches the
+    driver is ``common_words`` words and a share for each class, for at most
+    ``languages`` languages.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), _text(text_col).alias("t"))
-    names = [*CLASSES, "total"]
-    counted = rows.select("lang", *[c.alias(n) for c, n in zip([*_class_counts(F.col("t")), F.char_length("t").cast("bigint")], names, strict=True)])
-    sums = (
-        counted.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(n).alias(n) for n in names])
-    )
-    pooled = [0] * len(names)
-    for r in sums.select(F.lit(1).alias("k"), *names).groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).collect():
-        pooled = [r[n] for n in names]
+    k = len(CLASS_NAMES)
+    split = rows.select("lang", _class_counts(F.col("t")).alias("c"), F.size(_words(F.col("t"))).cast("bigint").alias("w"))
+    sums = split.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("w").alias("w"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(k)])
+    every = sums.agg(F.sum("w").alias("w"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
     top = sums.where("lang is not null").orderBy(F.desc("docs"), "lang").limit(limits.languages).collect()
-    shares = lambda v: [x / max(1, v[-1]) for x in [*v[:-1], v[-1] - sum(v[:-1])]]
-    chars = {ALL: shares(pooled)} | {r["lang"]: shares([r[n] for n in names]) for r in top}
 
-    counts = (
-        rows.select("lang", F.explode(once(_tokens(F.col("t")))).alias("w")).where("w <> ''").groupBy("lang", "w").count()
-    )
+    def shares(row) -> list[float]:
+        found = [row[f"c{i}"] or 0 for i in range(k)]
+        return [x / max(1, sum(found)) for x in found]
+
+    chars = {ALL: shares(every)} | {r["lang"]: shares(r) for r in top}
+    totals = {ALL: every["w"] or 0} | {r["lang"]: r["w"] for r in top}
+    short = F.filter(_words(F.col("t")), lambda w: F.char_length(w) <= limits.common_length)
+    counts = rows.select("lang", F.explode(once(short)).alias("w")).groupBy("lang", "w").count()
+    counts = counts.where(F.col("w").rlike("^\\p{L}+$"))
     named = counts.where(F.col("lang").isin([r["lang"] for r in top]))
     both = named.unionByName(counts.groupBy("w").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(ALL)))
-    totals = dict(both.groupBy("lang").agg(F.sum("count")).collect())
     place = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
     best = both.withColumn("r", F.row_number().over(place)).where(F.col("r") <= limits.common_words).collect()
     words: dict[str, list[tuple[str, float]]] = {}
@@ -179,29 +176,25 @@ def assess(
     common = sorted({w for ws in ref.words.values() for w, _ in ws})
     rest = lambda shares: [*shares, max(0.0, 1 - sum(shares))]
     step = counted.select(
-        *[c for c in counted.columns if c not in ("_t",)],
-        F.char_length("_t").cast("bigint").alias("_n"),
-        F.array(*_class_counts(F.col("_t"))).alias("_classes"),
-        F.filter(_tokens(F.col("_t")), lambda t: t != "").alias("_tokens"),
+        *[c for c in counted.columns if c not in ("_t", "_w")],
+        F.char_length("_t").alias("_n"),
+        _class_counts(F.col("_t"), F.col("n_symbols")).alias("_classes"),
+        (F.filter("_w", lambda w: w.isin(common)) if common else F.array().cast("array<string>")).alias("_common"),
         looked_up({k: listed(v, "double") for k, v in ref.chars.items()}).cast("array<double>").alias("_char_ref"),
         looked_up({k: listed([w for w, _ in v], "string") for k, v in ref.words.items()}).cast("array<string>").alias("_words"),
         looked_up({k: listed(rest([s for _, s in v]), "double") for k, v in ref.words.items()}).cast("array<double>").alias("_word_ref"),
     )
     add = lambda array: F.aggregate(array, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    step = step.withColumns({
-        "_n_tokens": F.size("_tokens").cast("bigint"),
-        "_tokens": F.filter("_tokens", lambda t: t.isin(common)) if common else F.col("_tokens"),
-        "_classes": F.concat("_classes", F.array(F.col("_n") - add(F.col("_classes")))),
-    })
     step = step.withColumn(
-        "_seen", F.transform("_words", lambda w: F.size(F.filter("_tokens", lambda t: t == w)).cast("bigint"))
+        "_seen", F.transform("_words", lambda w: F.size(F.filter("_common", lambda t: t == w)).cast("bigint"))
     )
-    step = step.withColumn("_seen", F.concat("_seen", F.array(F.col("_n_tokens") - add(F.col("_seen")))))
+    step = step.withColumn("_seen", F.concat("_seen", F.array(F.col("n_words") - add(F.col("_seen")))))
+    step = step.withColumn("_chars", add(F.col("_classes")))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     step = step.withColumns({
         "base_failed": failed,
-        "char_distance": F.when(F.col("_n") >= limits.min_chars, js_distance(F.col("_classes"), F.col("_n"), F.col("_char_ref"))),
-        "word_distance": F.when(F.col("_n_tokens") >= limits.min_tokens, js_distance(F.col("_seen"), F.col("_n_tokens"), F.col("_word_ref"))),
+        "char_distance": F.when(F.col("_n") >= limits.min_chars, js_distance(F.col("_classes"), F.col("_chars"), F.col("_char_ref"))),
+        "word_distance": F.when(F.col("n_words") >= limits.min_words_compared, js_distance(F.col("_seen"), F.col("n_words"), F.col("_word_ref"))),
     })
     near = (F.coalesce("char_distance", F.lit(0.0)) <= limits.max_char_distance) & (
         F.coalesce("word_distance", F.lit(0.0)) <= limits.max_word_distance

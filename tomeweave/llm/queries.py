@@ -74,6 +74,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("bigint").alias("n_found"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
 
 
+# -------------------------------------------------------------------- op4
+@catalogue.add("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; tested against brute force."""
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 # -------------------------------------------------------------------- op5
 @catalogue.add("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
