@@ -203,3 +203,17 @@ def assess(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "char_distance", "word_distance", (~F.col("base_failed") & near).alias("kept"),
     )
+
+
+def kept_rows(docs: DataFrame, ref: Reference | None = None, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Catalyst would push a filter on the verdict below the steps that compute it,
+    and so write out every step within the next. Nothing is pushed below an
+    explode of an expression, and one or no copy of the row is what is wanted.
+    """
+    ref = ref or reference(docs, limits, text_col, lang_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_of"))
+    judged = assess(rows, ref, limits, ("_row",), "_text", "_of").select("_row", "kept")
+    one = F.filter(F.array("_row"), lambda _: F.col("kept"))
+    return judged.select(F.explode(once(one)).alias("_row")).select("_row.*")
