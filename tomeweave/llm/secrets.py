@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tomeweave.llm.base import with_matches
 from tomeweave.scale import once
 
-KEY_CHARACTERS = "A-Za-z0-9+/_=-"
+KEY_CHARACTERS = "A-Za-z0-9+/_-"
 LEAST = 20
-CANDIDATE = f"(?<![{KEY_CHARACTERS}])[{KEY_CHARACTERS}]{{{LEAST},}}+"
+CANDIDATE = f"(?<![{KEY_CHARACTERS}])[{KEY_CHARACTERS}]{{{LEAST},}}+={{0,2}}"
 CONTEXT = 48  # characters looked at on either side
 KEYWORDS = "(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)[^\\n]{0,16}$"
 BENIGN = "(?i)(sha-?[0-9]+|md5|commit|checksum|etag|digest|hash|uuid|revision|integrity)[^\\n]{0,6}$"
@@ -105,7 +105,7 @@ def seeded_findings(docs: DataFrame, settings: Settings = Settings(), text_col:
         (joined(5, 4, "-"), F.concat(lead, F.lit(" ")), F.lit(" ")),
         (joined(7, 5, "_"), F.concat(lead, sign), closing),
         (F.concat(F.lit("/"), joined(9, 5, "/")), F.concat(lead, F.lit(" ")), F.lit(".html ")),
-        (F.repeat(pick(["=", "-", "_"]), 24), F.concat(lead, F.lit("\n")), F.lit("\n")),
+        (F.repeat(pick(["-", "_", "/"]), 24), F.concat(lead, F.lit("\n")), F.lit("\n")),
         (F.translate(F.substring(digest, 1, 24), "abcdef", "012345"), F.concat(lead, F.lit(" ")), F.lit(" ")),
         (F.substring(digest, 1, 40), F.concat(lead, F.lit(" "), benign, F.lit(": ")), F.lit(" ")),
         (digest, F.concat(lead, F.lit(" "), benign, F.lit(" ")), F.lit(" ")),
