@@ -13,19 +13,20 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm.base import map_batches, pieces, text_bytes
+from tomeweave.llm.base import pieces, text_bytes
 from tomeweave.session import ship_package
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest piece, as in the public unigram model
-PIECE_BYTES = 4 << 20
-MAX_CACHED = 200_000  # segmented words a task remembers at a time
+PIECE_BYTES = 1 << 20
+MAX_CACHED = 300_000  # segmented words a task remembers at a time
 LONG_WORD = 96  # bytes; longer words are segmented one by one
 BATCH_WORDS = 8_192
 SCAN = 4_096  # places looked at together when the trie is laid out
@@ -132,6 +133,12 @@ class Vocabulary:
             self.cuts = re.compile("(?s) *[^ \n]+| +|\n")
 
 
+    def encoder(self) -> Encoder:
+        """One for every Python worker, so what it has learnt serves all its tasks."""
+        self._encoder = getattr(self, "_encoder", None) or Encoder(self)
+        return self._encoder
+
+
 def rank_scores(scores: list[float]) -> np.ndarray:
     """Log scores for a vocabulary that only ranks its pieces (merge order): Zipf's law over the ranks."""
     order = np.lexsort((np.arange(len(scores)), -np.asarray(scores)))
@@ -298,14 +305,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces per text, all piece ids)."""
         split = [self.vocab.cuts.findall(" " + t) if t else [] for t in texts]
-        fresh = dict.fromkeys(w for words in split for w in words if w not in self.known)
-        if len(self.known) + len(fresh) > MAX_CACHED and self.known:
-            self.clear()
-            fresh = dict.fromkeys(w for words in split for w in words)
-        if fresh:
+        words = [*chain.from_iterable(split)]
+        rows = [*map(self.known.get, words)]
+        if None in rows:
+            fresh = dict.fromkeys(w for w, row in zip(words, rows, strict=True) if row is None)
+            if len(self.known) + len(fresh) > MAX_CACHED and self.known:
+                self.clear()
+                fresh = dict.fromkeys(words)
             self._learn([*fresh])
+            rows = [*map(self.known.__getitem__, words)]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        rows = np.fromiter((self.known[w] for words in split for w in words), np.int64, int(sizes.sum()))
+        rows = np.array(rows, np.int64)
         counts = self.counts[rows]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -326,7 +336,7 @@ def encode(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names) + ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder()
         for batch in batches:
             ends, raw = text_bytes(batch.column(1))
             for first, last in pieces(ends, PIECE_BYTES):
@@ -350,15 +360,26 @@ def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string"
     place = encoded.columns.index("ids")
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = shared.value
-        texts = []
-        for ids in batch.column(place):
-            if not ids.is_valid:
-                texts.append(None)
-                continue
-            text = b"".join([table[k] for k in ids.values.to_numpy(zero_copy_only=False).tolist() if k is not None and 0 <= k < len(table)])
-            texts.append(text.removeprefix(b" ").decode(errors="replace"))
-        return pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [*shared.value, b""]  # the last stands for ids outside
+        width = np.array([*map(len, table)])
+        begin = np.cumsum(width) - width
+        joined = np.frombuffer(b"".join(table), np.uint8)
+        for batch in batches:
+            ids = batch.column(place)
+            ends, valid = ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+            for first, last in pieces(ends, PIECE_BYTES // 8):
+                flat = ids.values[int(ends[first]) : int(ends[last])].fill_null(-1).to_numpy(zero_copy_only=False)
+                flat = np.where((flat >= 0) & (flat < len(table)), flat, len(table) - 1)
+                size = width[flat]
+                upto = np.concatenate([[0], np.cumsum(size)])
+                data = joined[np.repeat(begin[flat] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+                cuts = upto[ends[first : last + 1] - ends[first]].tolist()
+                texts = [
+                    data[a:b].removeprefix(b" ").decode(errors="replace") if valid[first + k] else None
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:]))  # noqa: B905 - the second is one shorter
+                ]
+                part = batch.slice(first, last - first)
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return map_batches(encoded, work, schema)
+    return encoded.mapInArrow(run, schema)
