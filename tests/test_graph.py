@@ -112,3 +112,18 @@ def test_graph_context(spark):
     chunks = spark.createDataFrame([("c1", "x"), ("c2", "y"), ("c3", "z")], "chunk_id string, text string")
     got = graph.graph_context(reached, mentions, chunks, "entity", "chunk_id").collect()
     assert [(r.chunk_id, r.hop, r.n_entities, r.text) for r in got] == [("c1", 0, 2, "x"), ("c2", 1, 1, "y")]
+
+
+def test_ties_of_any_type(spark):
+    rows = [("a", "x", 1.0, "c2"), ("a", "y", 1.0, "c1"), ("a", "z", None, "c0"), ("b", "q", None, "c9")]
+    mentions = spark.createDataFrame(rows, "entity string, name string, score double, chunk string")
+    merged = {r.entity: r for r in graph.merge_entities(mentions, "entity", "name", F.col("score"), "chunk").collect()}
+    assert merged["a"].canonical_name == "y" and merged["a"].first_mention == "c0" and merged["b"].canonical_name == "q"
+
+
+def test_vertices_listed_in_many_places(spark):
+    vertices = spark.createDataFrame([("a", "person"), ("a", "person"), ("a", "place"), ("b", "person"), ("c", "thing")], "id string, type string")
+    edges = spark.createDataFrame([("a", "knows", "b"), ("a", "knows", "c"), ("a", "eats", "c"), ("a", "knows", "gone")], "src string, type string, dst string")
+    ontology = spark.createDataFrame([("knows", "person", "person"), ("eats", "person", "thing"), ("eats", "place", "thing")], "type string, source_type string, target_type string")
+    got = sorted(tuple(r) for r in graph.nonconforming(edges, vertices, ontology).collect())
+    assert got == [("a", "knows", "c", "person|place", "thing"), ("a", "knows", "gone", "person|place", None)]

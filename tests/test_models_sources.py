@@ -61,7 +61,6 @@ def test_generation_and_ledger(spark):
     assert parsed[1].parsed.name == "x y" and parsed[0].r.error == "deadline" and parsed[0].parsed is None
     ledger = udfs.usage_rows(out, "r", "local", F.lit("secret-key")).collect()
     assert len(ledger) == 1 and ledger[0].total_tokens == 5 and ledger[0].api_key_last4 == "...-key"
-    assert udfs.json_schema_text({"title": "x", "type": "object"}).startswith('{"description"')
 
 
 def epub(pages, manifest=True):
@@ -139,3 +138,37 @@ def test_embed_arrivals(spark, tmp_path):
 def test_required_columns(spark):
     with pytest.raises(ValueError):
         incremental.vector_rows(spark.range(1))
+
+
+def test_every_text_is_embedded_once(spark, tmp_path):
+    """Calls are counted in files, since they happen in worker processes."""
+
+    class Counting:
+        name = "counting"
+
+        def embed(self, texts):
+            import uuid
+
+            (tmp_path / uuid.uuid4().hex).write_text("\n".join(texts))
+            if "bad" in texts:
+                raise RuntimeError("refused " + "x" * 600)
+            return [[float(len(t)), 1.0] for t in texts]
+
+    texts = spark.createDataFrame([(f"text {k}",) for k in range(47)] + [("bad",)], "text string").coalesce(1)
+    misses = texts.withColumn("text_hash", F.md5("text"))
+    rows = incremental.cache_rows(misses, Counting()).collect()
+    assert len(rows) == 47
+    sizes = sorted(len(f.read_text().split("\n")) for f in tmp_path.iterdir())
+    assert sizes == [1] * 8 + [8, 20, 20]  # three requests, and the texts of the failed one by one
+    error = texts.where("text = 'bad'").select(udfs.embed_column(F.col("text"), Counting()).alias("e")).first().e.error
+    assert len(error) > 600
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tomeweave.session import scratch_root
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf={}, sparkContext=context))

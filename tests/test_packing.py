@@ -10,7 +10,6 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tomeweave.functions.policy import safe_limit
-from tomeweave.functions.tokens import BytePairs
 from tomeweave.operators import packing
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -141,11 +140,3 @@ def byte_encoding():
     return tiktoken.Encoding(
         name="bytes", pat_str=r"(?s).", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}
     )
-
-
-def test_byte_pair_counts(spark):
-    counter = BytePairs(byte_encoding)
-    df = spark.createDataFrame([("a", 0, "b0", "x" * 30), ("a", 1, "b1", "y" * 20), ("a", 2, "b2", "p" * 30 + "\n\n" + "q" * 30)],
-                               "series string, pos long, book string, text string")
-    got = packing.sections(df, "series", "pos", "book", 50, tokens=counter).orderBy("section").collect()
-    assert [(r.section, r.token_count, list(r.included_books)) for r in got] == [(1, 52, ["b0", "b1"]), (2, 32, ["b2"]), (3, 32, ["b2"])]

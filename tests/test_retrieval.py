@@ -90,7 +90,7 @@ def test_bm25_and_postings(spark, docs):
     assert {r.chunk_id: round(r.score, 9) for r in half} == {k: round(v, 9) for k, v in want if k % 2}
     size = docs.select(F.size(retrieval.terms(F.col("text"))).alias("n")).agg(F.count("*"), F.avg("n")).first()
     index = retrieval.write_postings(retrieval.postings(docs, "chunk_id", "text", 4), "t", 2)
-    found = retrieval.search_postings(index, size[0], size[1], query, "chunk_id", 200, 4).collect()
+    found = retrieval.search_postings(index, size[0], size[1], query, "chunk_id", 200).collect()
     assert {r.chunk_id: round(r.score, 9) for r in found} == {k: round(v, 9) for k, v in want}
     assert retrieval.bm25_search(docs, "?!", 5).count() == 0
     assert retrieval.bm25_search(docs, "absent", 5).count() == 0
@@ -123,7 +123,7 @@ def test_quality(spark):
     by_join = retrieval.quality_by_join(
         rows.select("q", F.explode("got").alias("id")), rows.select("q", F.explode("want").alias("id")), "q", "id"
     ).collect()
-    assert [(r.q, r.hits, r.recall, r.precision) for r in by_join] == [(1, 1, 0.5, 0.25)]
+    assert sorted((r.q, r.hits, r.recall, r.precision) for r in by_join) == [(1, 1, 0.5, 0.25), (2, 0, 0.0, None)]
 
 
 @pytest.mark.parametrize("listed", [0, 1000])
@@ -149,3 +149,10 @@ def test_quotes_in_sources(spark):
     qa = spark.createDataFrame([("q1", "two", ["b", "a"]), ("q2", "two", ["b"]), ("q3", "x", []), ("q4", "x", ["zz"])], "qa_id string, quote string, ids array<string>")
     got = grounding.quotes_in_sources(qa, chunks, "qa_id", "quote", "ids", "chunk_id", "text").collect()
     assert {r.qa_id: r.grounded for r in got} == {"q1": True, "q2": False, "q3": False, "q4": False}
+
+
+def test_a_query_without_answers_counts(spark):
+    expected = spark.createDataFrame([("q", 1), ("q", 2), ("r", 3)], "query_id string, id int")
+    got = spark.createDataFrame([("q", 1), ("q", 9)], "query_id string, id int")
+    rows = {r.query_id: (r.hits, r.recall, r.precision) for r in retrieval.quality_by_join(got, expected, "query_id", "id").collect()}
+    assert rows == {"q": (1, 0.5, 0.5), "r": (0, 0.0, None)}

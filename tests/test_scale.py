@@ -50,6 +50,11 @@ def test_blocked_window_keeps_rows_of_a_hot_group_apart(hot):
     assert max(sizes) < 150
 
 
+def test_small_inputs_take_blocks_too(hot):
+    assert len(plan_blocks(hot, "pos").bounds) == 7
+    assert len(plan_blocks(hot.limit(3), "pos").bounds) <= 2 and plan_blocks(hot.limit(0), "pos").bounds == ()
+
+
 def test_block_search(spark):
     bounds = OrderBlocks((3, 10, 11, 40))
     df = spark.range(0, 50).withColumn("b", bounds.of(F.col("id")))
@@ -61,7 +66,7 @@ def test_block_search(spark):
 def test_string_blocks(spark):
     df = spark.range(0, 1000).select(F.format_string("c_%05d", "id").alias("k"))
     blocks = plan_blocks(df, "k", 100)
-    assert not blocks.single
+    assert blocks.bounds
     numbered = row_index(df, [], ["k"], "at", blocks)
     assert all(int(r.k[2:]) == r["at"] for r in numbered.collect())
 

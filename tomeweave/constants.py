@@ -133,7 +133,6 @@ BM25_B = 0.75
 DENSE_WEIGHT = 0.7
 SPARSE_WEIGHT = 0.3
 RRF_K = 60
-MAX_VECTOR_TEXT = 65_535
 
 # Request quotas and batching.
 REQUESTS_PER_MINUTE = 1_000
@@ -149,5 +148,3 @@ AUDIT_BLOCK = "[Chunk ID: {id}]\n{text}"
 NO_SOURCES = "No source chunk IDs provided in metadata."
 MISSING_SOURCES = "WARNING: Chunks with IDs [{ids}] not found in rag_chunks collection."
 UNNAMED = "Unknown"
-FREE_FORM_DESCRIPTION = "Key-value pairs"
-FREE_FORM_HINT = " (Provide as JSON string with key-value pairs)"

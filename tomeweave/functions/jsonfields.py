@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Any
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tomeweave.constants import FREE_FORM_DESCRIPTION, FREE_FORM_HINT
 from tomeweave.functions.text import strip
 
 
@@ -28,24 +25,3 @@ def parse_status(text: Column) -> Column:
         .otherwise("invalid")
     )
 
-
-def portable_schema(node: Any) -> Any:
-    """A JSON schema without the keys a schema-constrained model refuses.
-
-    Titles and ``additionalProperties`` go, and an object without properties
-    becomes a string that is to hold JSON. Runs once per request on the driver.
-    """
-    if not isinstance(node, dict):
-        return node
-    kept = {k: v for k, v in node.items() if k not in ("additionalProperties", "title")}
-    if kept.get("type") == "object" and not kept.get("properties"):
-        return {"type": "string", "description": kept.get("description", FREE_FORM_DESCRIPTION) + FREE_FORM_HINT}
-    for name in ("properties", "$defs"):
-        if name in kept:
-            kept[name] = {k: portable_schema(v) for k, v in kept[name].items()}
-    for name in ("anyOf", "allOf"):
-        if name in kept:
-            kept[name] = [portable_schema(v) for v in kept[name]]
-    if "items" in kept:
-        kept["items"] = portable_schema(kept["items"])
-    return kept

@@ -33,40 +33,3 @@ class FourCharacters:
     def each(self, texts: Column) -> Column:
         return F.transform(texts, token_estimate)
 
-
-def named_encoding(name: str = "cl100k_base") -> Callable[[], Any]:
-    def load():
-        import tiktoken
-
-        return tiktoken.get_encoding(name)
-
-    return load
-
-
-@dataclass
-class BytePairs:
-    """Counts of a byte-pair encoding; ``load`` runs once per task and needs the vocabulary at hand."""
-
-    load: Callable[[], Any]
-
-    def of(self, text: Column) -> Column:
-        load = self.load
-
-        @F.pandas_udf(T.LongType())
-        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoding = load()
-            for texts in batches:
-                yield texts.map(lambda t: len(encoding.encode(t, disallowed_special=())) if t is not None else 0)
-
-        return count(text)
-
-    def each(self, texts: Column) -> Column:
-        load = self.load
-
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoding = load()
-            for rows in batches:
-                yield rows.map(lambda ts: [len(encoding.encode(t, disallowed_special=())) for t in ts])
-
-        return count(texts)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,29 +27,40 @@ GENERATED = T.StructType(
 )
 
 
-def embed_column(text: Column, model: Embedder, retry: Retry | None = None) -> Column:
-    """struct(embedding, error): a text whose call fails for good carries the error and no vector."""
+REQUEST_TEXTS = 20  # texts in one embedding request
+
+
+def embed_column(text: Column, model: Embedder, retry: Retry | None = None, request: int = REQUEST_TEXTS) -> Column:
+    """struct(embedding, error): a text whose call fails for good carries the error and no vector.
+
+    Texts go out ``request`` at a time; where a request fails, only its texts are
+    tried one by one. The call counts as non-deterministic: two calls may differ,
+    so Catalyst must not compute the column a second time to filter on it.
+    """
 
     @F.pandas_udf(EMBEDDED)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         attempt = retry or (lambda f: f())
         for texts in batches:
-            try:
-                vectors = attempt(lambda: model.embed(texts.tolist()))
-                yield pd.DataFrame({"embedding": vectors, "error": [None] * len(texts)})
-            except Exception:
-                # The batch failed as a whole: find the texts that do work one by one.
-                vectors, errors = [], []
-                for text in texts:
-                    try:
-                        vectors.append(attempt(lambda text=text: model.embed([text]))[0])
-                        errors.append(None)
-                    except Exception as error:
-                        vectors.append(None)
-                        errors.append(str(error)[:500])
-                yield pd.DataFrame({"embedding": vectors, "error": errors})
-
-    return call(text)
+            vectors, errors = [], []
+            for first in range(0, len(texts), request):
+                part = texts.iloc[first : first + request].tolist()
+                try:
+                    got, failed = list(attempt(lambda part=part: model.embed(part))), [None] * len(part)
+                except Exception:
+                    got, failed = [], []
+                    for text in part:
+                        try:
+                            got.append(attempt(lambda text=text: model.embed([text]))[0])
+                            failed.append(None)
+                        except Exception as error:
+                            got.append(None)
+                            failed.append(str(error))
+                vectors += got
+                errors += failed
+            yield pd.DataFrame({"embedding": vectors, "error": errors})
+
+    return call.asNondeterministic()(text)
 
 
 def generate_column(prompt: Column, model: Generator, retry: Retry | None = None) -> Column:
@@ -66,11 +76,11 @@ def generate_column(prompt: Column, model: Generator, retry: Retry | None = None
                     reply = attempt(lambda text=text: model.generate([text]))[0]
                     rows.append({"model": model.name, "error": None, **reply})
                 except Exception as error:
-                    rows.append({"model": model.name, "error": str(error)[:500]})
+                    rows.append({"model": model.name, "error": str(error)})
             # Object columns keep the integers of good replies next to the nulls of failed ones.
             yield pd.DataFrame({f.name: [r.get(f.name) for r in rows] for f in GENERATED.fields}, dtype=object)
 
-    return call(prompt)
+    return call.asNondeterministic()(prompt)
 
 
 def structured(reply: DataFrame, content: str, schema: str) -> DataFrame:
@@ -95,8 +105,3 @@ def usage_rows(replies: DataFrame, reply: str, provider: str, api_key: Column) -
         mask_key(api_key).alias("api_key_last4"),
     )
 
-
-def json_schema_text(schema: dict) -> str:
-    from tomeweave.functions.jsonfields import portable_schema
-
-    return json.dumps(portable_schema(schema), sort_keys=True)

@@ -72,6 +72,11 @@ def rename_by_table(df: DataFrame, name: str, rules: DataFrame, alias: str, cano
     return joined.withColumn(name, F.coalesce("_canonical", name)).drop("_alias", "_canonical")
 
 
+def _best_first(score: Column, tie: str) -> Column:
+    """Order of statements: higher scores first, none last, then the smaller tie key, of any type."""
+    return F.struct(score.isNull().alias("n"), (-score).alias("s"), F.col(tie).alias("t"))
+
+
 def merge_entities(mentions: DataFrame, entity: str, name: str, score: Column, tie: str) -> DataFrame:
     """One row per entity: mention count, distinct names, and the best-scored name.
 
@@ -79,14 +84,14 @@ def merge_entities(mentions: DataFrame, entity: str, name: str, score: Column, t
     mentions is spread out, and its names stay rows (see ``entity_names``) instead
     of growing into one list.
     """
-    best = F.struct(score.alias("s"), (-F.col(tie)).alias("t"))
+    best = _best_first(score, tie)
     named = mentions.groupBy(entity, name).agg(
-        F.count("*").alias("_n"), F.max(best).alias("_best"), F.min(tie).alias("_first")
+        F.count("*").alias("_n"), F.min(best).alias("_best"), F.min(tie).alias("_first")
     )
     return named.groupBy(entity).agg(
         F.sum("_n").alias("n_mentions"),
         F.count("*").alias("n_names"),
-        F.max_by(name, "_best").alias("canonical_name"),
+        F.min_by(name, "_best").alias("canonical_name"),
         F.min("_first").alias("first_mention"),
     )
 
@@ -98,10 +103,10 @@ def entity_names(mentions: DataFrame, entity: str, name: str) -> DataFrame:
 
 def resolve_edges(edges_df: DataFrame, src: str, kind: str, dst: str, score: Column, tie: str, keep: Sequence[str]) -> DataFrame:
     """The best-scored statement of each (src, kind, dst), the smallest ``tie`` among equals."""
-    best = F.struct(score.alias("s"), (-F.col(tie)).alias("t"))
+    best = _best_first(score, tie)
     return edges_df.groupBy(src, kind, dst).agg(
         F.count("*").alias("n_statements"),
-        *[F.max_by(F.struct(c), best)[c].alias(c) for c in keep],
+        *[F.min_by(F.struct(c), best)[c].alias(c) for c in keep],
     )
 
 
@@ -129,20 +134,32 @@ def nonconforming(
 ) -> DataFrame:
     """Edges whose (source type, kind, target type) the ontology does not list.
 
-    ``ontology`` has columns (type, source_type, target_type).
+    ``ontology`` has columns (type, source_type, target_type). A vertex may be
+    listed several times and with several types: an edge conforms if any of them
+    does, and one that does not is one row, with all types joined by ``|``.
     """
-    types = vertices_df.select(F.col(vid).alias("_id"), F.col(vtype).alias("_vtype"))
-    typed = (
-        edges_df.join(types.withColumnsRenamed({"_id": "_s", "_vtype": "source_type"}), F.col(src) == F.col("_s"), "left")
-        .drop("_s")
-        .join(types.withColumnsRenamed({"_id": "_d", "_vtype": "target_type"}), F.col(dst) == F.col("_d"), "left")
-        .drop("_d")
+    types = vertices_df.select(F.col(vid).alias("_id"), F.col(vtype).alias("_vtype")).distinct()
+    allowed = ontology.select(
+        F.col("type").alias(kind), F.col("source_type").alias("_a"), F.col("target_type").alias("_b")
+    ).distinct()
+    keys = [src, kind, dst]
+    conforming = (
+        edges_df.select(*keys)
+        .distinct()
+        .join(broadcast_if_small(allowed), kind)
+        .join(types.select(F.col("_id").alias(src), F.col("_vtype").alias("_a")), [src, "_a"], "left_semi")
+        .join(types.select(F.col("_id").alias(dst), F.col("_vtype").alias("_b")), [dst, "_b"], "left_semi")
+        .select(*keys)
+        .distinct()
     )
-    allowed = broadcast_if_small(
-        ontology.select(F.col("type").alias("_k"), F.col("source_type").alias("_a"), F.col("target_type").alias("_b"))
+    # An ontology bounds the types a vertex can have, so the set per vertex is small.
+    named = types.groupBy("_id").agg(F.array_join(F.array_sort(F.collect_set("_vtype")), "|").alias("_types"))
+    return (
+        edges_df.join(conforming, keys, "left_anti")
+        .join(named.select(F.col("_id").alias(src), F.col("_types").alias("source_type")), src, "left")
+        .join(named.select(F.col("_id").alias(dst), F.col("_types").alias("target_type")), dst, "left")
+        .select(*edges_df.columns, "source_type", "target_type")
     )
-    same = (F.col(kind) == F.col("_k")) & (F.col("source_type") == F.col("_a")) & (F.col("target_type") == F.col("_b"))
-    return typed.join(allowed, same, "left_anti")
 
 
 def unknown_types(vertices_df: DataFrame, entity_types: DataFrame, vtype: str = "type") -> DataFrame:

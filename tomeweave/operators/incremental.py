@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.constants import MAX_VECTOR_TEXT
 from tomeweave.functions.text import content_hash, slugify
 from tomeweave.models.boundary import Embedder, Retry
 from tomeweave.models.udfs import embed_column
@@ -106,13 +105,16 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
-def vector_rows(embedded: DataFrame) -> DataFrame:
-    """Rows of the vector collection: renamed, defaulted to "" and the text cut to its column's width."""
+def vector_rows(embedded: DataFrame, max_text: int | None = None) -> DataFrame:
+    """Rows of the vector collection: renamed and defaulted to "".
+
+    Texts stay whole; ``max_text`` cuts them for a store whose column has a width.
+    """
     require_columns(embedded, ["chunk_id", "embedding", "text_content"])
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     return embedded.select(
         "embedding",
-        F.substring(text("text_content"), 1, MAX_VECTOR_TEXT).alias("text"),
+        (text("text_content") if max_text is None else F.left(text("text_content"), F.lit(max_text))).alias("text"),
         text("chunk_id").alias("chunk_id"),
         text("series").alias("series"),
         text("universe").alias("universe"),

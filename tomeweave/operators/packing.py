@@ -166,9 +166,6 @@ def pack(
         labels, _, _ = label_run(rows["_cost"].to_numpy(), rows["_burst"].to_numpy(), limit, filled, number)
         return rows[[*group, order]].assign(section=labels)
 
-    if blocks.single:
-        return keyed.groupBy(*keys).applyInPandas(lambda rows: label(rows, 0, 1), labelled)
-
     table_schema = T.StructType(
         [keyed.schema[k] for k in keys]
         + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("lead", "fill", "used")]

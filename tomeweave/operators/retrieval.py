@@ -52,7 +52,8 @@ def cosine_to(query: Sequence[float], vector: Column) -> Column:
         out[at] = rows @ q
         return pa.array(out, mask=np.isnan(out))
 
-    return score(vector)
+    # Else a filter on the score would be pushed below it and compute it a second time.
+    return score.asNondeterministic()(vector)
 
 
 def dense_search(
@@ -95,7 +96,7 @@ def dense_search_batch(
     more than partitions x queries x k rows are ever shuffled. More queries than
     that are cut into ranges of the query key, one scan each, all in one plan.
     """
-    blocks = plan_blocks(queries, query_id, QUERIES_PER_SCAN)
+    blocks = plan_blocks(queries, query_id, QUERIES_PER_SCAN, at_least=1)
     ranged = queries.select(query_id, query_vector, blocks.of(F.col(query_id)).alias("_slice"))
     out = T.StructType(
         [
@@ -227,7 +228,9 @@ def bm25_search(
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, buckets: int = 8) -> DataFrame:
-    """(term_bucket, term, id, tf, doc_length): the inverted index as a table.
+    """(id, doc_length, term, tf, term_bucket, buckets): the inverted index as a table.
+
+    ``buckets``, the layout, is stored with it, so a search needs not be told.
 
     Write it ``partitionBy("term_bucket")``: a search then reads only the folders
     of its terms and pushes the term filter into the Parquet scan.
@@ -237,7 +240,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, buckets: int = 8) -> D
     return (
         flat.groupBy(id_col, "doc_length", "term")
         .agg(F.count("*").alias("tf"))
-        .withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        .withColumns({"term_bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "buckets": F.lit(buckets)})
     )
 
 
@@ -266,10 +269,11 @@ def search_postings(
     query: str,
     id_col: str,
     top_k: int = TOP_K,
-    buckets: int = 8,
 ) -> DataFrame:
     """BM25 over a postings table; equal to :func:`bm25_search`."""
     spark = index.sparkSession
+    layout = index.select("buckets").first()
+    buckets = layout["buckets"] if layout else 1
     wanted = query_terms(spark, query)
     folders = [
         r[0]
@@ -371,7 +375,10 @@ def quality(rows: DataFrame, retrieved: str, expected: str) -> DataFrame:
 
 
 def quality_by_join(retrieved: DataFrame, expected: DataFrame, query_id: str, id_col: str) -> DataFrame:
-    """The same for expected sets of any size, given as (query, id) rows."""
+    """The same for expected sets of any size, given as (query, id) rows.
+
+    Every query with an expected id has a row; one that retrieved nothing has recall 0 and no precision.
+    """
     sizes = expected.groupBy(query_id).agg(F.count_distinct(id_col).alias("_n"))
     found = retrieved.select(query_id, id_col).distinct()
     hits = found.join(
@@ -380,11 +387,11 @@ def quality_by_join(retrieved: DataFrame, expected: DataFrame, query_id: str, id
     return (
         hits.groupBy(query_id)
         .agg(F.count("*").alias("_k"), F.count("_hit").alias("hits"))
-        .join(sizes, query_id)
+        .join(sizes, query_id, "right")
         .select(
             query_id,
-            "hits",
-            (F.col("hits") / F.col("_n")).alias("recall"),
+            F.coalesce("hits", F.lit(0).cast("bigint")).alias("hits"),
+            (F.coalesce("hits", F.lit(0)) / F.col("_n")).alias("recall"),
             (F.col("hits") / F.col("_k")).alias("precision"),
         )
     )

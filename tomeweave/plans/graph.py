@@ -79,14 +79,14 @@ def graph_vertices_edges(spark, sf):
     "q46_graph_k_hop",
     f"""
 WITH RECURSIVE {_GRAPH},
-b AS (SELECT src AS f, dst AS t FROM e0 UNION ALL SELECT dst, src FROM e0),
-h AS (SELECT 'region_0' AS id, 0 AS hop UNION SELECT b.t, h.hop + 1 FROM h JOIN b ON b.f = h.id WHERE h.hop < 2)
+b AS (SELECT src AS f, dst AS t FROM e UNION ALL SELECT dst, src FROM e),
+h AS (SELECT 'region_0' AS id, 0 AS hop UNION SELECT b.t, h.hop + 1 FROM h JOIN b ON b.f = h.id WHERE h.hop < 3)
 SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM h GROUP BY id
 """,
 )
 def graph_k_hop(spark, sf):
     start = table(spark, sf, "region").orderBy("r_regionkey").limit(1).select(_named("region", "r_regionkey").alias("id"))
-    return graph.within_hops(_edges(spark, sf, orders=False), start, 2)
+    return graph.within_hops(_edges(spark, sf), start, 3)
 
 
 @catalogue.add(
@@ -129,12 +129,14 @@ WITH m AS (
   SELECT 'region_' || r_regionkey AS id, r_regionkey AS r FROM region
   UNION ALL SELECT 'nation_' || n_nationkey, n_regionkey FROM nation
   UNION ALL SELECT 'customer_' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey
-  UNION ALL SELECT 'supplier_' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+  UNION ALL SELECT 'supplier_' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'order_' || o_orderkey, n_regionkey
+            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT id, min(id) OVER (PARTITION BY r) AS component FROM m
 """,
 )
 def connected_components(spark, sf):
-    return graph.components(_edges(spark, sf, orders=False))
+    return graph.components(_edges(spark, sf))
 
 
 @catalogue.add(
@@ -145,7 +147,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey
 """,
 )
 def inferred_edges(spark, sf):
-    return graph.composed_edges(_edges(spark, sf, orders=False), "lives_in", "in_region", "lives_in_region")
+    return graph.composed_edges(_edges(spark, sf), "lives_in", "in_region", "lives_in_region")
 
 
 @catalogue.add(
@@ -255,8 +257,8 @@ def provenance_stamp(spark, sf):
     "q73_graph_context",
     f"""
 WITH RECURSIVE {_GRAPH},
-b AS (SELECT src AS f, dst AS t FROM e0 UNION ALL SELECT dst, src FROM e0),
-h AS (SELECT 'region_0' AS id, 0 AS hop UNION SELECT b.t, h.hop + 1 FROM h JOIN b ON b.f = h.id WHERE h.hop < 2),
+b AS (SELECT src AS f, dst AS t FROM e UNION ALL SELECT dst, src FROM e),
+h AS (SELECT 'region_0' AS id, 0 AS hop UNION SELECT b.t, h.hop + 1 FROM h JOIN b ON b.f = h.id WHERE h.hop < 3),
 r AS (SELECT id, min(hop) AS hop FROM h GROUP BY id)
 SELECT 'order_' || o_orderkey AS chunk_id, CAST(min(hop) AS INTEGER) AS hop, count(DISTINCT id) AS n_entities,
        any_value(o_orderpriority) AS o_orderpriority

@@ -177,7 +177,7 @@ def scan_by_book(spark, sf):
 @catalogue.add(
     "q68_vector_rows",
     """
-SELECT d.doc_id, coalesce(substring(text, 1, 65535), '') AS text, coalesce(CAST(d.lang AS VARCHAR), '') AS universe,
+SELECT d.doc_id, coalesce(text, '') AS text, coalesce(CAST(d.lang AS VARCHAR), '') AS universe,
        coalesce(CAST(l.quality AS VARCHAR), '') AS chapter_number
 FROM documents d LEFT JOIN labels l USING (doc_id)
 """,

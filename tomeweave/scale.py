@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BLOCK = 250_000
-MAX_BLOCKS = 8_192
+MAX_BLOCKS = 65_536
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 USUAL_SPLIT_BYTES = 128 * 1024 * 1024
 BLOCK = "_block"
@@ -33,10 +33,6 @@ class OrderBlocks:
 
     bounds: tuple = field(default=())
 
-    @property
-    def single(self) -> bool:
-        return not self.bounds
-
     def of(self, key: Column) -> Column:
         """Number of bounds that are <= key, by a binary search inside the JVM."""
         n = len(self.bounds)
@@ -62,10 +58,17 @@ def plan_blocks(
     key: str,
     rows_per_block: int = ROWS_PER_BLOCK,
     max_blocks: int = MAX_BLOCKS,
+    at_least: int | None = None,
 ) -> OrderBlocks:
-    """Choose block bounds for ``key``; what reaches the driver is at most ``max_blocks`` values."""
+    """Choose block bounds for ``key``; what reaches the driver is at most ``max_blocks`` values.
+
+    There are ``at_least`` blocks (by default one for each core) however few the
+    rows are, so small inputs take the way that large ones take. Only equal keys
+    cannot be told apart: they stay in one block.
+    """
     rows = df.select(key).count()
-    wanted = min(max_blocks, -(-rows // rows_per_block))
+    least = df.sparkSession.sparkContext.defaultParallelism if at_least is None else at_least
+    wanted = min(max_blocks, max(least, -(-rows // rows_per_block)), rows)
     if wanted <= 1:
         return OrderBlocks()
     kind = df.schema[key].dataType
@@ -111,10 +114,6 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running sums per group in ``order``; ``order[0]`` is the block key."""
     blocks = plan_blocks(df, order[0], rows_per_block) if blocks is None else blocks
-    if blocks.single:
-        span = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(c).over(span) for n, c in sums.items()})
-
     keys = [*group, BLOCK]
     values = {f"_part_{n}": c for n, c in sums.items()}
     tagged = df.withColumns({BLOCK: blocks.of(F.col(order[0])), **values})
@@ -154,10 +153,6 @@ def forward_fill(
 ) -> DataFrame:
     """Add the last non-null ``value`` at or before each row of its group."""
     blocks = plan_blocks(df, order[0], rows_per_block) if blocks is None else blocks
-    if blocks.single:
-        span = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(span))
-
     keys = [*group, BLOCK]
     tagged = df.withColumns({BLOCK: blocks.of(F.col(order[0])), "_value": value})
     # Blocks without a value of their own still hand on what came before them.

@@ -113,10 +113,10 @@ def series_files(spark: SparkSession, root: str, series: str) -> DataFrame:
     """All books of a series below its folder."""
     folder = SERIES_FOLDERS.get(series.lower())
     if folder is None:
-        raise ValueError(f"Unknown series: {series}. Valid options: {sorted(SERIES_FOLDERS)}")
+        raise ValueError(f"no folder is known for the series {series!r}; there are {sorted(SERIES_FOLDERS)}")
     path = f"{root.rstrip('/')}/{folder}"
     if not _path_exists(spark, path):
-        raise FileNotFoundError(f"Series directory not found: {path}")
+        raise FileNotFoundError(f"the books of {series!r} should be in {path}, which does not exist")
     return book_files(spark, path)
 
 
