@@ -75,10 +75,50 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------- op4
-@catalogue.add("op4_quality_rules")
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_TERM = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+_PART = f"({_TERM.format(x='{p}', p='{p}', q='{q}')} + {_TERM.format(x='{q}', p='{p}', q='{q}')}) / 2"
+
+
+@catalogue.add(
+    "op4_quality_rules",
+    f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+each AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS n, length(array_to_string(w, '')) AS word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS c0, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS c1,
+                length(regexp_replace(t, '[^0-9]+', '', 'g')) AS c2, strlen(t) - length(t) AS c3,
+                len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))) AS n_lines,
+                len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))) AS n_other FROM d),
+full_ AS (SELECT *, greatest(0, n - (c0 + c1 + c2 + c3)) AS c4 FROM each),
+sums AS (SELECT coalesce(lang, '') AS k, sum(c0) AS s0, sum(c1) AS s1, sum(c2) AS s2, sum(c3) AS s3, sum(c4) AS s4, sum(n_words) AS words
+         FROM (SELECT lang, c0, c1, c2, c3, c4, n_words FROM full_ WHERE lang IS NOT NULL
+               UNION ALL SELECT '', c0, c1, c2, c3, c4, n_words FROM full_) GROUP BY 1),
+flat AS (SELECT doc_id, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+short AS (SELECT lang AS k, x FROM flat WHERE length(x) <= 4 AND regexp_matches(x, '^\\pL+$') AND lang IS NOT NULL
+          UNION ALL SELECT '', x FROM flat WHERE length(x) <= 4 AND regexp_matches(x, '^\\pL+$')),
+ranked AS (SELECT k, x, count(*) AS c, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, x) AS r FROM short GROUP BY k, x),
+common AS (SELECT k, x, c / words AS q FROM ranked JOIN sums USING (k) WHERE r <= 16),
+counted AS (SELECT doc_id, x, count(*) AS c FROM flat GROUP BY ALL),
+pq AS (SELECT f.doc_id, f.n_words, coalesce(c.c, 0) / greatest(1, f.n_words) AS p, m.q
+       FROM full_ f JOIN common m ON m.k = coalesce(f.lang, '') LEFT JOIN counted c ON c.doc_id = f.doc_id AND c.x = m.x),
+pq_all AS (SELECT doc_id, p, q FROM pq
+           UNION ALL SELECT doc_id, 1 - sum(p), greatest(0, 1 - sum(q)) FROM pq GROUP BY doc_id),
+word_js AS (SELECT doc_id, sqrt(greatest(0, sum({_PART.format(p="p", q="q")}))) AS j FROM pq_all GROUP BY doc_id),
+cpq AS (SELECT doc_id, unnest([c0, c1, c2, c3, c4]) / greatest(1, c0 + c1 + c2 + c3 + c4) AS p,
+               unnest([s0, s1, s2, s3, s4]) / greatest(1, s0 + s1 + s2 + s3 + s4) AS q FROM full_ JOIN sums ON k = coalesce(lang, '')),
+char_js AS (SELECT doc_id, sqrt(greatest(0, sum({_PART.format(p="p", q="q")}))) AS j FROM cpq GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM win JOIN (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, s)),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY 1),
+base AS (SELECT f.*, coalesce(rep.n, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS base_failed
+         FROM full_ f LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, c0::BIGINT AS n_symbols,
+       (n_lines - n_other)::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND (n < 200 OR char_js.j <= 0.31) AND (n_words < 60 OR coalesce(word_js.j, 0) <= 0.42) AS kept
+FROM base LEFT JOIN char_js USING (doc_id) LEFT JOIN word_js USING (doc_id)""",
+)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and verdict of every document; tested against brute force."""
-    return quality.assess(table(spark, sf_dir, "documents"))
+    return quality.assess(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 # -------------------------------------------------------------------- op5
