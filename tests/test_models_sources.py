@@ -83,7 +83,8 @@ def test_books(spark, tmp_path):
     (root / "notes.txt").write_text("no")
     found = files.series_files(spark, str(tmp_path), "Harry_Potter")
     rows = {r.book_name: r.text for r in files.books(found).collect()}
-    assert rows == {"b+1": "T One bold &\n\nTwo", "a": ""}
+    assert rows == {"b+1": "T One bold &\n\nTwo", "a": None}
+    assert [r.book_name for r in files.unreadable(files.books(found)).collect()] == ["a"]
     nested = {r.book_name for r in files.books(found, nested=True).collect()}
     assert nested == {"harry_potter_b+1.epub", "sub dir_a.epub"}
     ordered = files.ordered_books(found).orderBy("book_order").collect()

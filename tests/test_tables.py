@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tomeweave.models.boundary import HashedEmbedder
@@ -30,6 +31,13 @@ def test_bulk_later_update_wins_field_by_field(spark):
     assert got == {1: ("p2", "q1"), 9: ("n", None)}
 
 
+def test_bulk_without_order_may_not_repeat_a_key(spark):
+    base = spark.createDataFrame([(1, "a")], "k int, p string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "k int, p string")
+    with pytest.raises(Exception, match="repeats a key"):
+        tables.upsert(base, twice, ["k"]).collect()
+
+
 def test_created_at_is_kept_unless_asked(spark):
     old, new = dt.datetime(2020, 1, 1), dt.datetime(2021, 1, 1)
     base = spark.createDataFrame([(1, old)], "k int, created_at timestamp")

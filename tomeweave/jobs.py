@@ -47,10 +47,16 @@ def ingest(
     store: TableStore | None = None,
     recursive: bool = False,
     output: str | None = None,
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Books to chunks. Stores them when a store is given, else only reports; returns the summary row."""
+    """Books to chunks. Stores them when a store is given, else only reports; returns the summary row.
+
+    Books that cannot be read give no chunks; ``rejects`` is a folder to list them in.
+    """
     found = files.book_files(spark, folder, recursive)
     books = files.ordered_books(found, nested=recursive)
+    if rejects:
+        files.unreadable(books).write.mode("overwrite").json(rejects)
     rows = cut_lineage(chunking.rag_chunks(books.where(F.length("text") > 0), universe), "rag-chunks")
     if store is not None:
         store.bulk_upsert("rag_chunks", rows)

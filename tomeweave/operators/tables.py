@@ -67,10 +67,18 @@ def keep_last(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
 
 
 def collapse_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One update per key: each field takes the last value a bulk supplied for it."""
+    """One update per key: each field takes the last value a bulk supplied for it.
+
+    Without ``__seq`` there is no last one, so a bulk that repeats a key fails.
+    """
     fields = [c for c in updates.columns if c not in (*keys, SUPPLIED, SEQUENCE)]
     if SEQUENCE not in updates.columns:
-        return updates.withColumn(SUPPLIED, _supplied(updates, fields))
+        row = F.struct(*[F.col(c) for c in fields], _supplied(updates, fields).alias(SUPPLIED))
+        single = updates.select(*keys, row.alias("_row")).groupBy(*keys).agg(F.count("*").alias("_n"), F.first("_row").alias("_row"))
+        refused = F.raise_error(F.lit("the bulk repeats a key and has no __seq to order its rows")).cast("array<string>")
+        return single.select(
+            *keys, *[F.col("_row")[c].alias(c) for c in fields], F.when(F.col("_n") > 1, refused).otherwise(F.col("_row")[SUPPLIED]).alias(SUPPLIED)
+        )
     marked = updates.withColumn(SUPPLIED, _supplied(updates, fields))
     picks = []
     for c in fields:

@@ -81,14 +81,14 @@ def _document_names(book: zipfile.ZipFile) -> list[str]:
     return [posixpath.normpath(posixpath.join(base, h)) for h in hrefs]
 
 
-def book_text(content: bytes) -> str:
-    """Text of an e-book archive, its items joined by blank lines; "" when it cannot be read."""
+def book_text(content: bytes) -> str | None:
+    """Text of an e-book archive, its items joined by blank lines; None when it cannot be read."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as book:
             texts = [page_text(book.read(n).decode("utf-8", "replace")) for n in _document_names(book)]
         return "\n\n".join(t for t in texts if t)
     except Exception:
-        return ""
+        return None
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -121,7 +121,10 @@ def series_files(spark: SparkSession, root: str, series: str) -> DataFrame:
 
 
 def books(files: DataFrame, nested: bool = False) -> DataFrame:
-    """(path, book_name, text). Nested scans name a book ``{folder}_{file}`` and keep the suffix."""
+    """(path, book_name, text). Nested scans name a book ``{folder}_{file}`` and keep the suffix.
+
+    An archive that cannot be read has a null text; ``unreadable`` lists these.
+    """
 
     @F.pandas_udf(T.StringType())
     def extract(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -137,6 +140,11 @@ def books(files: DataFrame, nested: bool = False) -> DataFrame:
     return files.select("path", name.alias("book_name"), extract("content").alias("text"))
 
 
+def unreadable(found: DataFrame) -> DataFrame:
+    """(path, book_name) of books whose archive could not be read."""
+    return found.where(F.col("text").isNull()).select("path", "book_name")
+
+
 def ordered_books(files: DataFrame, nested: bool = False) -> DataFrame:
     """Books with ``book_order``, their 0-based place in path order; paths are listed, not contents."""
     order = row_index(files.select("path"), [], ["path"], "book_order")
