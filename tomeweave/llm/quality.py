@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave.scale import once
+from tomeweave.session import cut_lineage
 
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -117,6 +118,7 @@ def reference(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text"
     k = len(CLASS_NAMES)
     split = rows.select("lang", _class_counts(F.col("t")).alias("c"), F.size(_words(F.col("t"))).cast("bigint").alias("w"))
     sums = split.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("w").alias("w"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(k)])
+    sums = cut_lineage(sums, "language-sums")
     every = sums.agg(F.sum("w").alias("w"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
     top = sums.where("lang is not null").orderBy(F.desc("docs"), "lang").limit(limits.languages).collect()
 
