@@ -78,14 +78,10 @@ def seeded_findings(docs: DataFrame, settings: Settings = Settings(), text_col:
     and digests that are named as checksums.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = (
-        docs.select(F.left(text, F.lit(2_000)).alias("t"))
-        .where("length(t) >= 300")
-        .select("t", F.xxhash64("t").alias("h"))
-        .dropDuplicates(["h"])
-        .orderBy("h")
-        .limit(settings.labelled_docs)
-    )
+    leads = docs.select(F.left(text, F.lit(2_000)).alias("t")).where("length(t) >= 300").select("t", F.xxhash64("t").alias("h"))
+    # Only hashes are sorted; texts are fetched for those taken, at most ``labelled_docs``.
+    taken = [r["h"] for r in leads.select("h").distinct().orderBy("h").limit(settings.labelled_docs).collect()]
+    some = leads.where(F.col("h").isin(taken)).dropDuplicates(["h"])
     w = F.filter(F.split(F.lower("t"), "[^a-z]+"), lambda x: F.length(x) > 1)
     rows = some.select("h", w.alias("w")).where("size(w) >= 24")
     digest = F.sha2(F.concat_ws("-", F.lit("seed"), F.col("h")), 256)
@@ -119,8 +115,13 @@ Tree = tuple  # (feature, threshold, left, right), or (probability,) for a leaf
 
 
 def train(findings: DataFrame, dictionary: list[str], settings: Settings = Settings()) -> list[Tree]:
-    """A forest from labelled findings (value, before, after, label); rows with a null in them are left out."""
+    """A forest from labelled findings (value, before, after, label); rows with a null in them are left out.
+
+    Without any findings nothing is known to be a false positive: every candidate scores 1.
+    """
     clean = findings.dropna(subset=["value", "before", "after", "label"])
+    if not clean.head(1):
+        return [(1.0,)]
     rows = clean.select("label", *features(F.col("value"), F.col("before"), F.col("after"), dictionary))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     learner = RandomForestClassifier(
