@@ -125,28 +125,37 @@ def disclosing_terms(docs: DataFrame, settings: Settings = Settings(), text_col:
     near = [_near(kind) for kind in KINDS]
     empty = F.array().cast("array<struct<entity: string, terms: array<string>, ok: boolean>>")
     rows = rows.where(F.size("_base") > 0).select("key", F.concat(*[F.coalesce(n, empty) for n in near]).alias("near"))
+    # One row for each different text, with the number of documents that have it.
+    texts = rows.groupBy("key").agg(F.count("*").alias("docs"), F.first("near").alias("near"))
     found = cut_lineage(
-        rows.select("key", F.explode("near").alias("n")).where("n.ok").select("key", "n.entity", "n.terms")
-        .groupBy("key", "entity").agg(F.count("*").alias("docs"), F.first("terms").alias("terms")),
-        "entities",
+        texts.select("key", "docs", F.explode("near").alias("n")).where("n.ok").select("key", "docs", "n.entity", "n.terms"), "entities"
     )
-    entities = found.groupBy("entity").agg(F.sum("docs").alias("with_entity"), F.count("*").alias("texts"))
-    pairs = (
-        found.select("entity", "docs", F.explode("terms").alias("term")).groupBy("entity", "term")
-        .agg(F.sum("docs").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= settings.least_texts)
+    each = found.select("key", "docs", "entity", F.explode("terms").alias("term")).distinct()
+    with_entity = found.select("key", "docs", "entity").distinct().groupBy("entity").agg(F.sum("docs").alias("with_entity"))
+    near_any = each.select("key", "docs", "term").distinct().groupBy("term").agg(F.sum("docs").alias("near_any"))
+    both = each.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("texts"))
+    n = docs.count()
+
+    def disclosed(of: str) -> Column:
+        """log(P(e|t) / P(e)) / -log P(e); an entity that is everywhere has no information to disclose."""
+        information = -F.log2(F.col("with_entity") / n)
+        gained = F.log2(F.least(F.lit(1.0), F.col("both") / F.col(of))) + information
+        return F.when(information > 0, gained / F.when(information > 0, information)).otherwise(0.0)
+
+    # A term is in at least as many documents as it is near an entity in: most pairs fall below the threshold
+    # by that alone, and the corpus is only searched for the terms of the others.
+    pairs = cut_lineage(
+        both.where(F.col("texts") >= settings.least_texts).join(with_entity, "entity").join(near_any, "term")
+        .where(disclosed("near_any") >= settings.generalise),
+        "pairs",
     )
-    pairs = cut_lineage(pairs, "pairs")
     terms = cut_lineage(pairs.select("term").distinct(), "terms")
     if not terms.head(1):
         return None
     seen = docs.select(F.explode(once(F.array_distinct(_terms(_text(text_col))))).alias("term"))
     with_term = seen.join(broadcast_counted(terms), "term").groupBy("term").agg(F.count("*").alias("with_term"))
-    n = docs.count()
-    scored = pairs.join(entities.select("entity", "with_entity"), "entity").join(with_term, "term")
-    # log(P(e|t) / P(e)) / -log P(e); an entity that is everywhere has no information to disclose.
-    information = -F.log2(F.col("with_entity") / n)
-    gained = F.log2(F.least(F.lit(1.0), F.col("both") / F.col("with_term")) / (F.col("with_entity") / n))
-    share = F.when(information > 0, gained / F.when(information > 0, information)).otherwise(0.0)
+    scored = pairs.join(with_term, "term")
+    share = disclosed("with_term")
     flagged = scored.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= settings.generalise)
     return cut_lineage(flagged, "disclosing")
 
