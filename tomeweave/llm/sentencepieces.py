@@ -26,7 +26,7 @@ from tomeweave.session import ship_package
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest piece, as in the public unigram model
 PIECE_BYTES = 1 << 20
-MAX_CACHED = 300_000  # segmented words a task remembers at a time
+MAX_CACHED = 100_000  # segmented words a task remembers at a time
 LONG_WORD = 96  # bytes; longer words are segmented one by one
 BATCH_WORDS = 8_192
 SCAN = 4_096  # places looked at together when the trie is laid out
