@@ -3,12 +3,15 @@
 A document's histogram of character classes and its histogram of common words
 are compared with those of its language by Jensen-Shannon distance (base 2, so
 from 0 to 1). The references are taken from all documents. Short documents,
-whose histograms say little, are judged by the base rules alone.
+whose histograms say little, are judged by the base rules alone. How far a text
+may be from the common words is a share of the distance that a text without any
+of them has, so the test fires for every coverage the common words reach.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +39,11 @@ class Limits:
     min_words_compared: int = 60  # for the word histogram
     max_char_distance: float = 0.31
     max_word_distance: float = 0.42
+    # Of the distance of a text without common words; None leaves the fixed limit alone, which no such text reaches.
+    max_word_share: float | None = 0.6
+    word_deviations: float = 4.5  # standard deviations by which a sample of a text's length may be farther
+    full_word_share: float = 0.95  # beyond this share a text has next to no common words and goes at any length
+    min_common_expected: float = 8.0  # common words a text of its length should have for the share to be asked for
 
 
 @dataclass(frozen=True)
@@ -154,6 +162,26 @@ def js_distance(counts: Column, total: Column, shares: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), divergence))
 
 
+def without_common(words: list[tuple[str, float]]) -> float:
+    """Squared distance of a text without any of the common words."""
+    covered = min(1.0, sum(share for _, share in words))
+    return (covered + math.log2(2 / (2 - covered)) + (1 - covered) * math.log2(2 * (1 - covered) / (2 - covered) or 1)) / 2
+
+
+def _word_limit(n: Column, lacking: Column, covered: Column, bins: Column, limits: Limits) -> Column:
+    """The word distance a text of ``n`` words may have.
+
+    The divergence of a sample of n words from its own source is about
+    chi-square with a degree of freedom for each common word, over 8 n ln 2.
+    """
+    fixed = F.lit(limits.max_word_distance)
+    if limits.max_word_share is None:
+        return fixed
+    sampled = (bins + limits.word_deviations * F.sqrt(2 * bins)) / (8 * math.log(2) * n)
+    allowed = F.least(limits.full_word_share**2 * lacking, F.greatest(limits.max_word_share**2 * lacking, sampled))
+    return F.when(n * covered >= limits.min_common_expected, F.least(fixed, F.sqrt(allowed))).otherwise(fixed)
+
+
 def assess(
     docs: DataFrame, ref: Reference | None = None, limits: Limits = Limits(), keep: tuple[str, ...] = ("doc_id",),
     text_col: str = "text", lang_col: str = "lang",
@@ -185,6 +213,7 @@ def assess(
         looked_up({k: listed(v, "double") for k, v in ref.chars.items()}).cast("array<double>").alias("_char_ref"),
         looked_up({k: listed([w for w, _ in v], "string") for k, v in ref.words.items()}).cast("array<string>").alias("_words"),
         looked_up({k: listed(rest([s for _, s in v]), "double") for k, v in ref.words.items()}).cast("array<double>").alias("_word_ref"),
+        looked_up({k: listed([without_common(v), sum(s for _, s in v), len(v)], "double") for k, v in ref.words.items()}).cast("array<double>").alias("_lacking"),
     )
     add = lambda array: F.aggregate(array, F.lit(0).cast("bigint"), lambda a, x: a + x)
     step = step.withColumn(
@@ -199,7 +228,7 @@ def assess(
         "word_distance": F.when(F.col("n_words") >= limits.min_words_compared, js_distance(F.col("_seen"), F.col("n_words"), F.col("_word_ref"))),
     })
     near = (F.coalesce("char_distance", F.lit(0.0)) <= limits.max_char_distance) & (
-        F.coalesce("word_distance", F.lit(0.0)) <= limits.max_word_distance
+        F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce(_word_limit(F.col("n_words"), *[F.get("_lacking", F.lit(k)) for k in range(3)], limits), F.lit(1.0))
     )
     return step.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
