@@ -21,14 +21,17 @@ from tomeweave.scale import once
 
 KEY_CHARACTERS = "A-Za-z0-9+/_-"
 LEAST = 20
+NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private"
 CANDIDATE = f"(?<![{KEY_CHARACTERS}])[{KEY_CHARACTERS}]{{{LEAST},}}+={{0,2}}"
 CONTEXT = 48  # characters looked at on either side
-KEYWORDS = "(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)[^\\n]{0,16}$"
+KEYWORDS = f"(?i)({NAMES})[^\\n]{{0,16}}$"
 BENIGN = "(?i)(sha-?[0-9]+|md5|commit|checksum|etag|digest|hash|uuid|revision|integrity)[^\\n]{0,6}$"
+# A name that something is assigned to: words joined by signs, before an assignment sign that the run may end with.
+NAME = "^[A-Za-z]+([_-]?[A-Za-z0-9]+)*$"
 MASK = "[SECRET]"
 FEATURES = (
     "length", "digits", "upper", "vowels", "distinct", "transitions", "hex", "covered", "separators", "path",
-    "keyword", "benign", "assigned", "quoted",
+    "keyword", "benign", "assigned", "quoted", "name",
 )
 
 
@@ -58,6 +61,7 @@ def features(value: Column, before: Column, after: Column, dictionary: list[str]
         F.size(F.array_distinct(F.split(F.left(value, F.lit(64)), ""))) / F.least(n, F.lit(64)), turns, yes(value.rlike("^[0-9A-Fa-f]+$")),
         covered, share("/_=-"), yes(path), yes(before.rlike(KEYWORDS)), yes(before.rlike(BENIGN)),
         yes(before.rlike("[=:]\\s*[\"']?$")), yes(before.rlike("[\"']$") & after.rlike("^[\"']")),
+        yes((value.rlike(NAME.replace("$", "=$")) & after.rlike("^\\S")) | (value.rlike(NAME) & after.rlike("^[\"']?\\s*[:=]"))),
     ]
     return [c.cast("double").alias(name) for c, name in zip(columns, FEATURES, strict=True)]
 
@@ -74,8 +78,8 @@ def seeded_findings(docs: DataFrame, settings: Settings = Settings(), text_col:
     """(value, before, after, label): labelled findings set among the words of at most ``labelled_docs`` documents.
 
     Secrets are digests in several alphabets after an assignment to a secret's
-    name. False positives are joined words, slugs, paths, rulers, long numbers,
-    and digests that are named as checksums.
+    name, short or long. False positives are joined words, slugs, paths, rulers,
+    long numbers, digests that are named as checksums, and the long names themselves.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     leads = docs.select(F.left(text, F.lit(2_000)).alias("t")).where("length(t) >= 300").select("t", F.xxhash64("t").alias("h"))
@@ -88,11 +92,18 @@ def seeded_findings(docs: DataFrame, settings: Settings = Settings(), text_col:
     base64 = F.base64(F.unhex(digest))
     lead = F.array_join(F.slice("w", 1, 4), " ")
     joined = lambda first, n, sep: F.array_join(F.slice("w", first, n), sep)
-    names = ["token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "credential"]
+    names = [
+        "token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "credential",
+        "aws_secret_access_key", "PRODUCTION_API_TOKEN", "production_database_password", "GITHUB_PERSONAL_ACCESS_TOKEN",
+    ]
     sums = ["sha256", "commit", "checksum", "md5", "etag", "digest", "integrity", "revision"]
-    pick = lambda options: F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod("h", F.lit(len(options))) + 1).cast("int"))
+
+    def pick(options: list[str], draw: int = 0) -> Column:
+        by = F.xxhash64("h", F.lit(draw)) if draw else F.col("h")
+        return F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod(by, F.lit(len(options))) + 1).cast("int"))
+
     name, benign = pick(names), pick(sums)
-    sign = pick([' = "', "=", ': "', ": ", "='"])
+    sign = pick(draw=1, options=[' = "', "=", ': "', ": ", "='"])
     closing = F.when(sign.rlike('"$'), '" ').when(sign.rlike("'$"), "' ").otherwise(" ")
     wide = F.upper(F.substring(digest, 3, 20))
     secret = [F.substring(digest, 1, 40), F.substring(digest, 1, 32), digest, F.regexp_replace(base64, "=+$", ""), wide]
@@ -106,6 +117,14 @@ def seeded_findings(docs: DataFrame, settings: Settings = Settings(), text_col:
         (F.substring(digest, 1, 40), F.concat(lead, F.lit(" "), benign, F.lit(": ")), F.lit(" ")),
         (digest, F.concat(lead, F.lit(" "), benign, F.lit(" ")), F.lit(" ")),
     ]
+    spaced, blank = F.concat(lead, F.lit(" ")), F.lit(" ")
+    mixed = F.regexp_replace(base64, "=+$", "")
+    long_name = pick(names[8:], 9)
+    innocent += [
+        (F.concat(long_name, F.lit("=")), spaced, F.concat(pick(["", '"', "'"], 12), mixed)),
+        (long_name, spaced, F.concat(pick([' = "', ": ", '": "', " = "], 13), mixed)),
+        (joined(7, 5, "_"), spaced, F.concat(pick([" = ", ": ", " "], 14), F.element_at("w", 3))),
+    ]
     found = [F.struct(v.alias("value"), F.concat(lead, F.lit(" "), name, sign).alias("before"), closing.alias("after"), F.lit(1.0).alias("label")) for v in secret]
     found += [F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(0.0).alias("label")) for v, b, a in innocent]
     return rows.select(F.explode(F.array(*found)).alias("f")).select("f.*").where(F.char_length("value") >= LEAST)
@@ -163,15 +182,29 @@ FOUND = "array<struct<start: int, end: int, value: string, score: double>>"
 
 
 def _scored(docs: DataFrame, forest: list[Tree], dictionary: list[str], text_col: str) -> DataFrame:
-    """``docs`` with _text, _gaps, _hits and ``_found``: every candidate with its place and score."""
+    """``docs`` with _text, _gaps, _hits and ``_found``: every candidate with its place and score.
+
+    What stands before and after a candidate is the text itself, also where another candidate is near. A
+    candidate has ``LEAST`` characters at least, so so many neighbours fill the context.
+    """
     rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = with_matches(rows, "_text", CANDIDATE, "_c")
     order = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_c_hits") - 1))
+    reach = -(-CONTEXT // LEAST)
+    last = lambda c: F.right(c, F.lit(CONTEXT))
+    first = lambda c: F.left(c, F.lit(CONTEXT))
+    rows = rows.withColumns({
+        "_heads": F.transform("_c_hits", lambda h, k: first(F.concat(first(h), first(F.get("_c_gaps", k + 1))))),
+        "_tails": F.transform("_c_hits", lambda h, k: last(F.concat(last(F.get("_c_gaps", k)), last(h)))),
+    })
+    earlier = lambda k: F.array_join(F.slice("_tails", F.greatest(F.lit(1), k + 1 - reach), F.least(k, F.lit(reach))), "")
+    later = lambda k: F.array_join(F.slice("_heads", k + 2, F.lit(reach)), "")
     near = F.transform(
         order,
         lambda k: F.struct(
             F.get("_c_hits", k).alias("value"), F.get("_c_starts", k).alias("start"),
-            F.right(F.get("_c_gaps", k), F.lit(CONTEXT)).alias("before"), F.left(F.get("_c_gaps", k + 1), F.lit(CONTEXT)).alias("after"),
+            last(F.concat(earlier(k), last(F.get("_c_gaps", k)))).alias("before"),
+            first(F.concat(first(F.get("_c_gaps", k + 1)), later(k))).alias("after"),
         ),
     )
     rows = rows.withColumn("_near", F.when(F.size("_c_hits") > 0, near))
@@ -185,7 +218,7 @@ def _scored(docs: DataFrame, forest: list[Tree], dictionary: list[str], text_col
             c["start"].alias("start"), (c["start"] + F.char_length(c["value"])).alias("end"), c["value"].alias("value"), forest_score(c, forest).alias("score")
         ),
     )
-    return rows.withColumn("_found", F.coalesce(scored, F.array().cast(FOUND))).drop("_near")
+    return rows.withColumn("_found", F.coalesce(scored, F.array().cast(FOUND))).drop("_near", "_heads", "_tails")
 
 
 def scan(docs: DataFrame, forest: list[Tree], dictionary: list[str], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
