@@ -1,6 +1,7 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters. A forest over their length,
+Candidates are long runs of key characters, and shorter ones that are assigned
+to a secret's name. A forest over their length,
 character transitions, dictionary coverage, path signs and neighbouring words
 decides which are secrets. It is trained from labelled findings, and then
 written out as an expression, so scanning is one pass of DataFrame functions
@@ -21,17 +22,23 @@ from tomeweave.scale import once
 
 KEY_CHARACTERS = "A-Za-z0-9+/_-"
 LEAST = 20
+LEAST_NAMED = 6  # characters of a value that is assigned to a secret's name
 NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private"
-CANDIDATE = f"(?<![{KEY_CHARACTERS}])[{KEY_CHARACTERS}]{{{LEAST},}}+={{0,2}}"
+# The near look-behind is tried first: few places follow a sign, and only there a name is looked for.
+NAMED = f"(?<=[=:][\\x20\\t]{{0,2}}[\"']?)(?<=(?i:{NAMES})[A-Za-z0-9_-]{{0,16}}[\"']?[\\x20\\t]{{0,2}}[=:][\\x20\\t]{{0,2}}[\"']?)"
+SHORT = f"[A-Za-z0-9+/_!@#$%^&*.~-]{{{LEAST_NAMED - 1},}}[A-Za-z0-9+/_!@#$%^&*~-]"
+CANDIDATE = f"(?<![{KEY_CHARACTERS}])(?:[{KEY_CHARACTERS}]{{{LEAST},}}+={{0,2}}|{NAMED}{SHORT})"
 CONTEXT = 48  # characters looked at on either side
 KEYWORDS = f"(?i)({NAMES})[^\\n]{{0,16}}$"
 BENIGN = "(?i)(sha-?[0-9]+|md5|commit|checksum|etag|digest|hash|uuid|revision|integrity)[^\\n]{0,6}$"
+PREFIXES = "^(gh[opsu]_|github_pat_|glpat-|AKIA|ASIA|AIza|sk[_-]|rk_live_|xox[abprs]-|eyJ|npm_|hf_)"
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 # A name that something is assigned to: words joined by signs, before an assignment sign that the run may end with.
 NAME = "^[A-Za-z]+([_-]?[A-Za-z0-9]+)*$"
 MASK = "[SECRET]"
 FEATURES = (
     "length", "digits", "upper", "vowels", "distinct", "transitions", "hex", "covered", "separators", "path",
-    "keyword", "benign", "assigned", "quoted", "name",
+    "keyword", "benign", "assigned", "quoted", "prefix", "uuid", "name",
 )
 
 
@@ -61,6 +68,7 @@ def features(value: Column, before: Column, after: Column, dictionary: list[str]
         F.size(F.array_distinct(F.split(F.left(value, F.lit(64)), ""))) / F.least(n, F.lit(64)), turns, yes(value.rlike("^[0-9A-Fa-f]+$")),
         covered, share("/_=-"), yes(path), yes(before.rlike(KEYWORDS)), yes(before.rlike(BENIGN)),
         yes(before.rlike("[=:]\\s*[\"']?$")), yes(before.rlike("[\"']$") & after.rlike("^[\"']")),
+        yes(value.rlike(PREFIXES)), yes(value.rlike(UUID)),
         yes((value.rlike(NAME.replace("$", "=$")) & after.rlike("^\\S")) | (value.rlike(NAME) & after.rlike("^[\"']?\\s*[:=]"))),
     ]
     return [c.cast("double").alias(name) for c, name in zip(columns, FEATURES, strict=True)]
@@ -77,9 +85,11 @@ def dictionary_of(docs: DataFrame, words: int, text_col: str = "text") -> list[s
 def seeded_findings(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
     """(value, before, after, label): labelled findings set among the words of at most ``labelled_docs`` documents.
 
-    Secrets are digests in several alphabets after an assignment to a secret's
-    name, short or long. False positives are joined words, slugs, paths, rulers,
-    long numbers, digests that are named as checksums, and the long names themselves.
+    Secrets are digests in several alphabets, after an assignment to a secret's
+    name and also without any name: bare, with a known prefix, in URLs and
+    headers; and short values after a name. False positives are joined words,
+    slugs, paths, rulers, long numbers, identifiers and digests that are named as
+    checksums, words behind a secret's name, and the long names themselves.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     leads = docs.select(F.left(text, F.lit(2_000)).alias("t")).where("length(t) >= 300").select("t", F.xxhash64("t").alias("h"))
@@ -119,15 +129,44 @@ def seeded_findings(docs: DataFrame, settings: Settings = Settings(), text_col:
     ]
     spaced, blank = F.concat(lead, F.lit(" ")), F.lit(" ")
     mixed = F.regexp_replace(base64, "=+$", "")
+    alnum = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws("-", F.lit("alnum"), F.col("h")), 512))), "[^A-Za-z0-9]+", "")
+    named = F.concat(spaced, name, sign)
+    # Passwords as they are made up: a word, digits and a word or a sign.
+    capital = lambda k: F.initcap(F.element_at("w", k))
+    made_up = F.concat(F.element_at("w", 6), F.regexp_replace(F.substring(digest, 5, 6), "[^0-9]", ""), pick(["7", "42", "1987"], 2), capital(7), pick(["", "!", "#9"], 3))
+    bare = [
+        (F.substring(digest, 9, 40), spaced, blank),
+        (F.substring(mixed, 1, 40), spaced, blank),
+        (F.substring(alnum, 1, 32), F.concat(spaced, pick(["(", "'", '"', ""], 4)), pick([") ", "' ", '" ', " "], 4)),
+        (F.concat(pick(["ghp_", "glpat-", "sk_live_", "xoxb-", "npm_"], 5), F.substring(alnum, 5, 36)), spaced, blank),
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 3, 16))), spaced, blank),
+        (F.substring(alnum, 7, 32), F.concat(spaced, F.lit("https://"), F.element_at("w", 9), F.lit(".example.com/"), F.element_at("w", 8), pick(["?key=", "?sig=", "/"], 6)), blank),
+        (F.substring(mixed, 2, 36), F.concat(spaced, pick(["Authorization: Bearer ", "X-Key: ", "Cookie: session=", "Authorization: Basic "], 7)), pick(["\n", '" ', "; "], 8)),
+    ]
+    short = [
+        (F.substring(alnum, 11, 14), named, closing),
+        (made_up, named, closing),
+        (F.substring(digest, 21, 16), named, closing),
+    ]
+    uuid = F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     long_name = pick(names[8:], 9)
     innocent += [
+        (uuid, F.concat(lead, pick([" id ", " ", ' id: "', "="], 10)), pick([" ", '" '], 11)),
+        (F.element_at("w", 8), named, closing),
+        (joined(9, 2, "-"), named, closing),
+        (joined(6, 4, "_"), named, closing),
+        (joined(8, 5, ""), named, closing),
+        (F.concat(F.lit("/"), joined(10, 4, "/")), named, closing),
         (F.concat(long_name, F.lit("=")), spaced, F.concat(pick(["", '"', "'"], 12), mixed)),
         (long_name, spaced, F.concat(pick([' = "', ": ", '": "', " = "], 13), mixed)),
         (joined(7, 5, "_"), spaced, F.concat(pick([" = ", ": ", " "], 14), F.element_at("w", 3))),
     ]
-    found = [F.struct(v.alias("value"), F.concat(lead, F.lit(" "), name, sign).alias("before"), closing.alias("after"), F.lit(1.0).alias("label")) for v in secret]
+    found = [F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(1.0).alias("label")) for v, b, a in bare + short]
+    found += [F.struct(v.alias("value"), F.concat(lead, F.lit(" "), name, sign).alias("before"), closing.alias("after"), F.lit(1.0).alias("label")) for v in secret]
     found += [F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(0.0).alias("label")) for v, b, a in innocent]
-    return rows.select(F.explode(F.array(*found)).alias("f")).select("f.*").where(F.char_length("value") >= LEAST)
+    return rows.select(F.explode(F.array(*found)).alias("f")).select("f.*").where(
+        (F.char_length("value") >= LEAST) | (F.col("before").rlike(f"{NAMED}$") & (F.char_length("value") >= LEAST_NAMED))
+    )
 
 
 Tree = tuple  # (feature, threshold, left, right), or (probability,) for a leaf
@@ -185,12 +224,12 @@ def _scored(docs: DataFrame, forest: list[Tree], dictionary: list[str], text_col
     """``docs`` with _text, _gaps, _hits and ``_found``: every candidate with its place and score.
 
     What stands before and after a candidate is the text itself, also where another candidate is near. A
-    candidate has ``LEAST`` characters at least, so so many neighbours fill the context.
+    candidate has ``LEAST_NAMED`` characters at least, so so many neighbours fill the context.
     """
     rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = with_matches(rows, "_text", CANDIDATE, "_c")
     order = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_c_hits") - 1))
-    reach = -(-CONTEXT // LEAST)
+    reach = -(-CONTEXT // LEAST_NAMED)
     last = lambda c: F.right(c, F.lit(CONTEXT))
     first = lambda c: F.left(c, F.lit(CONTEXT))
     rows = rows.withColumns({
