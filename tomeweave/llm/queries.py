@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeweave.llm import decontaminate, langid, licenses, pii, quality, secrets, sentencepieces, simhash, urlfilter, warc
+from tomeweave.llm import decontaminate, langid, licenses, nbsvm, pii, quality, secrets, sentencepieces, simhash, urlfilter, warc, whitening
 from tomeweave.plans.base import Catalogue, table
 from tomeweave.session import scratch_path
 
@@ -226,5 +226,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+# -------------------------------------------------------------------- op12
+@catalogue.add("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding; tested against loops over fractions (eigenvectors are not in SQL)."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+# -------------------------------------------------------------------- op13
+@catalogue.add("op13_quality_classifier")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; tested by held-out accuracy and against plain loops (a fitted model is not in SQL)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = nbsvm.predict(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = dict(catalogue.queries)
 SQL = dict(catalogue.sql)
