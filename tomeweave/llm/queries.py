@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeweave.llm import decontaminate, langid, licenses, nbsvm, pii, quality, secrets, sentencepieces, simhash, urlfilter, warc, whitening
+from tomeweave.llm import alignment, decontaminate, langid, licenses, nbsvm, pii, quality, secrets, sentencepieces, simhash, urlfilter, warc, whitening
 from tomeweave.plans.base import Catalogue, table
 from tomeweave.session import scratch_path
 
@@ -226,6 +226,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+# -------------------------------------------------------------------- op11
+BYTE_LEVEL = os.environ.get("TOMEWEAVE_BYTE_LEVEL", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@catalogue.add("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups and links of every document; tested against loops over whole texts (tokenizers are not in SQL)."""
+    return alignment.align(alignment.encode(table(spark, sf_dir, "documents"), BYTE_LEVEL, VOCABULARY))
+
+
 # -------------------------------------------------------------------- op12
 @catalogue.add("op12_embedding_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
