@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 
@@ -9,7 +10,8 @@ from tomeweave.llm import alignment
 from tomeweave.llm.queries import BYTE_LEVEL, VOCABULARY
 
 FILES = tuple(open(p, "rb").read() for p in (BYTE_LEVEL, VOCABULARY))
-PAIR = alignment.loaded(FILES)
+PAIR = alignment.loaded((*FILES, False))
+QUICK = alignment.loaded((*FILES, alignment.merges_follow_ids(FILES[0])))
 
 
 def plain(texts):
@@ -19,7 +21,7 @@ def plain(texts):
         groups = []
         raw = b" " + (text or "").encode()
         if text:
-            a, b = PAIR.a.encode(" " + text, add_special_tokens=False).ids, PAIR.b.encode(text)
+            a, b = PAIR.encode_a([" " + text])[0], PAIR.b.encode(text)
             if b"".join(PAIR.raw_a[k] for k in a) == raw == b"".join(PAIR.raw_b[k] for k in b):
                 ends = [np.cumsum([len(t[k]) for k in ids]).tolist() for t, ids in ((PAIR.raw_a, a), (PAIR.raw_b, b))]
                 i = j = 0
@@ -58,6 +60,17 @@ def long_text(seed, words=400):
     return " ".join(rng.choice(pool) for _ in range(words))
 
 
+def test_both_libraries_give_the_same_ids():
+    assert alignment.merges_follow_ids(FILES[0])
+    broken = json.loads(FILES[0])
+    broken["model"]["merges"][5:7] = broken["model"]["merges"][6:4:-1]
+    assert not alignment.merges_follow_ids(json.dumps(broken).encode())
+    # One character of every block of 16, in places where it begins, ends and splits words.
+    signs = [chr(c) for c in range(0, 0x110000, 16) if not 0xD800 <= c < 0xE000]
+    texts = [f" a{c} {c}{c}1{c}!{c}  {c}'s{c}" for c in signs] + [" " + t for t in [*TEXTS, long_text(9, 3000)] if t]
+    assert PAIR.encode_a(texts) == QUICK.encode_a(texts)
+
+
 @pytest.mark.parametrize("size", [1, 7, 64, 333, 100_000])
 def test_ranges_compose_to_the_whole(size):
     for text in [*TEXTS, long_text(1, 60), "no-cut-" * 40, " lead", "trail ", "a b"]:

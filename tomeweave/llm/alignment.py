@@ -35,7 +35,7 @@ from tomeweave.session import cut_lineage, ship_package
 CHUNK_BYTES = 65_536  # texts beyond it are encoded in byte ranges of this size, by many tasks
 FAN_IN = 8  # fragments that one step of the tree composes
 ENCODE_BYTES = 1 << 20  # of texts that a tokenizer gets at once
-BLOCK_LINKS = 1 << 21  # links expanded at a time
+BLOCK_LINKS = 1 << 19  # links expanded at a time
 HOT_PAIRS = 1 << 18  # most common pairs that every task may hold
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
@@ -46,6 +46,8 @@ _LISTS = pa.list_(pa.int32())
 
 # Characters that count as white space beyond ASCII, in UTF-8.
 _WIDE = (rb"\xc2\x85", rb"\xc2\xa0", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", rb"\xe2\x81\x9f", rb"\xe3\x80\x80")
+# Fixed value: how byte-level tokenizers split a text before they merge.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A single space between two other characters: both tokenizers begin a token there whatever stands around it.
 CUT = re.compile(
     rb"(?<=[\x21-\x7e\x80-\xff])" + b"".join(b"(?<!" + w + b")" for w in _WIDE) + b" " + b"(?!" + b"|".join(_WIDE) + rb")(?=[\x21-\x7e\x80-\xff])"
@@ -107,27 +109,64 @@ def fragment_of(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.nda
 
 
 # ----------------------------------------------------------------- tokenizers
+def _byte_letters() -> dict[str, int]:
+    """The byte-level alphabet: printable characters stand for themselves, the others follow from 256 on."""
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+    return {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
+
+
+def merges_follow_ids(byte_level: bytes) -> bool:
+    """Whether merging by the lowest id of the result is the same as merging by the list of merges.
+
+    It is if the merges' results have rising ids and every entry encodes to itself.
+    A pair (x, y) that makes an entry z but is not in the list could tell the two
+    apart only where x and y stand side by side; then z's own bytes would end there as
+    well, and not as z, because what is inside does not depend on what is around.
+    """
+    from tokenizers import Tokenizer
+
+    model = json.loads(byte_level)["model"]
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    results = [vocab[a + b] for a, b in merges]
+    if any(a >= b for a, b in zip(results, results[1:], strict=False)) or model.get("ignore_merges") or model.get("dropout"):
+        return False
+    special = {t["content"] for t in json.loads(byte_level).get("added_tokens", [])}
+    known = {z: k for z, k in vocab.items() if z not in special}
+    words = Tokenizer.from_str(byte_level.decode()).model
+    return {len(z) for z in known} >= {1} and all([t.id for t in words.tokenize(z)] == [k] for z, k in known.items())
+
+
 class Pair:
-    """Both tokenizers with the bytes of every id."""
+    """Both tokenizers with the bytes of every id.
+
+    ``by_id`` (see ``merges_follow_ids``) lets a quicker library do the first
+    tokenizer's merges; the ids are the same.
+    """
 
-    def __init__(self, byte_level: bytes, sentence_pieces: bytes):
+    def __init__(self, byte_level: bytes, sentence_pieces: bytes, by_id: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        steps = json.loads(byte_level)["pre_tokenizer"]
-        if steps.get("type") != "ByteLevel" or not steps.get("use_regex", True):
-            raise ValueError("the first tokenizer must be byte-level, with words split by its pattern")
-        self.a = Tokenizer.from_str(byte_level.decode())
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=sentence_pieces)
-        # The byte-level alphabet: printable characters stand for themselves, the others follow from 256 on.
-        shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
-        letters = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
-        vocab = self.a.get_vocab()
-        self.raw_a = [b""] * (max(vocab.values()) + 1)
+        file = json.loads(byte_level)
+        steps = file["pre_tokenizer"]
+        if steps.get("type") != "ByteLevel" or not steps.get("use_regex", True) or steps.get("add_prefix_space") or file.get("normalizer"):
+            raise ValueError("the first tokenizer must be byte-level, with words split by its pattern and nothing else done to a text")
+        letters, special = _byte_letters(), {t["content"] for t in file.get("added_tokens", [])}
+        vocab = file["model"]["vocab"]
+        self.raw_a = [b""] * (max([*vocab.values(), *(t["id"] for t in file.get("added_tokens", []))]) + 1)
         for token, k in vocab.items():
-            self.raw_a[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            self.raw_a[k] = token.encode() if token in special else bytes(letters[c] for c in token)
+        if by_id:
+            ranks = {self.raw_a[k]: k for token, k in vocab.items() if token not in special}
+            coder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            self.encode_a = lambda texts: [coder.encode_ordinary(t) for t in texts]
+        else:
+            plain = Tokenizer.from_str(byte_level.decode())
+            plain.encode_special_tokens = True
+            self.encode_a = lambda texts: [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=sentence_pieces)
         names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", n) for n in names):
             raise ValueError("a piece spans a space between words, so texts cannot be cut there")
@@ -140,8 +179,7 @@ class Pair:
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(ids, ids, whether both give back the bytes) of texts that each begin with a space."""
         strings = [t.decode() for t in texts]
-        first = [e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
-        second = self.b.encode([s[1:] for s in strings], num_threads=1)
+        first, second = self.encode_a(strings), self.b.encode([s[1:] for s in strings], num_threads=1)
         for text, a, b in zip(texts, first, second, strict=True):
             ok = b"".join(map(self.raw_a.__getitem__, a)) == text and b"".join(map(self.raw_b.__getitem__, b)) == text
             yield np.array(a, np.int32), np.array(b, np.int32), ok
@@ -157,9 +195,9 @@ class Pair:
 _LOADED: dict[str, Pair] = {}
 
 
-def loaded(files: tuple[bytes, bytes]) -> Pair:
+def loaded(files: tuple[bytes, bytes, bool]) -> Pair:
     """The tokenizers of these files, made once in a Python worker."""
-    key = hashlib.sha256(files[0] + files[1]).hexdigest()
+    key = hashlib.sha256(files[0] + files[1] + bytes([files[2]])).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = Pair(*files)
     return _LOADED[key]
@@ -264,7 +302,8 @@ def encode(docs: DataFrame, byte_level: str, sentence_pieces: str, chunk_bytes:
     spark = docs.sparkSession
     ship_package(spark)
     with open(byte_level, "rb") as one, open(sentence_pieces, "rb") as two:
-        files = spark.sparkContext.broadcast((one.read(), two.read()))
+        first = one.read()
+        files = spark.sparkContext.broadcast((first, two.read(), merges_follow_ids(first)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     short = rows.where(F.octet_length("_text") <= chunk_bytes).mapInArrow(_short(files), f"doc_id {kind}, {FRAGMENT}")
@@ -396,7 +435,7 @@ def _digits(size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Some rows of a batch at a time, so that what is expanded stays small."""
     ends = batch.column("a").offsets.to_numpy().astype(np.int64)
-    for i, j in pieces(ends, BLOCK_LINKS // 4):
+    for i, j in pieces(ends, BLOCK_LINKS // 8):
         yield batch.slice(i, j - i)
 
 
