@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tomeweave.operators import grounding, retrieval
+from tomeweave.operators import fulltext, grounding, questions, retrieval
 from tomeweave.plans.base import Catalogue, table
 from tomeweave.scale import spread
 from tomeweave.session import cut_lineage
@@ -219,3 +219,97 @@ def array_quality(spark, sf):
     )
     scored = retrieval.quality(rows, "got", "want")
     return scored.select("doc_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+# ------------------------------------------------------- tables of questions
+_ASKED = f"""
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+toks AS (SELECT doc_id, lang, {_TERMS.format('text')} AS t FROM documents),
+st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM toks),
+flat AS (SELECT doc_id, lang, len(t) AS dl, unnest(t) AS term FROM toks),
+tf AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score
+       FROM q JOIN tf USING (term) JOIN df USING (term), st WHERE lang = 'en' GROUP BY ALL),
+sl AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm
+       QUALIFY rank <= 10),
+qv AS (SELECT item_id, CAST(embedding AS DOUBLE[]) AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
+dv AS (SELECT item_id, vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score FROM embeddings, qv)
+"""
+
+
+def _asked(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
+    return table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query_text")).join(vectors, "item_id", "left")
+
+
+def _index(spark, sf):
+    return fulltext.scratch_index(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", carry=("lang",))
+
+
+@catalogue.add(
+    "q82_fulltext_questions",
+    f"WITH {_ASKED} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM sl",
+)
+def fulltext_questions(spark, sf):
+    return _rounded(fulltext.search(_index(spark, sf), _asked(spark, sf), 10, F.col("lang") == "en", "item_id"))
+
+
+@catalogue.add(
+    "q83_hybrid_questions",
+    f"""
+WITH {_ASKED},
+dl AS (SELECT item_id, d.doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, d.doc_id) AS rank
+       FROM dv d JOIN documents USING (doc_id) WHERE lang = 'en' QUALIFY rank <= 10),
+parts AS (SELECT item_id, doc_id, 0.7 * (1 + score) / 2 AS s FROM dl UNION ALL SELECT item_id, doc_id, 0.6 / pi() * atan(score) FROM sl),
+fused AS (SELECT item_id, doc_id, sum(s) AS score FROM parts GROUP BY ALL)
+SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank
+FROM fused QUALIFY rank <= 10
+""",
+)
+def hybrid_questions(spark, sf):
+    languages = table(spark, sf, "documents").select("doc_id", "lang")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(languages, "doc_id")
+    return _rounded(fulltext.hybrid(_index(spark, sf), vectors, _asked(spark, sf), 10, F.col("lang") == "en", "item_id"))
+
+
+_KEY = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+
+
+@catalogue.add(
+    "q84_graph_questions",
+    f"""
+WITH {_ASKED},
+said AS (SELECT DISTINCT item_id, {_KEY.format('x')} AS key FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS x FROM benchmark)),
+names AS (SELECT DISTINCT 'doc_' || doc_id AS id, {_KEY.format('x')} AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
+h0 AS (SELECT DISTINCT item_id, id, 0 AS hop, id AS path FROM said JOIN names USING (key) WHERE key <> ''),
+e AS (SELECT 'doc_' || doc_id AS a, 'doc_' || (doc_id - 1) AS b FROM documents UNION SELECT 'doc_' || doc_id, source FROM documents WHERE source IS NOT NULL),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+h1 AS (SELECT item_id, b AS id, 1 AS hop, min(path || ' > ' || b) AS path FROM h0 JOIN both_ways ON a = id
+       WHERE (item_id, b) NOT IN (SELECT (item_id, id) FROM h0) GROUP BY ALL),
+r1 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
+h2 AS (SELECT item_id, b AS id, 2 AS hop, min(path || ' > ' || b) AS path FROM h1 JOIN both_ways ON a = id
+       WHERE (item_id, b) NOT IN (SELECT (item_id, id) FROM r1) GROUP BY ALL),
+r2 AS (SELECT * FROM r1 UNION ALL SELECT * FROM h2),
+m AS (SELECT 'doc_' || doc_id AS id, doc_id FROM documents UNION SELECT 'doc_' || (doc_id + 1), doc_id FROM documents),
+near AS (SELECT item_id, doc_id, min(hop) AS hop, count(*) AS n, first(path ORDER BY hop, path) AS path FROM r2 JOIN m USING (id) GROUP BY ALL),
+g AS (SELECT item_id, doc_id, hop, path, row_number() OVER (PARTITION BY item_id ORDER BY hop, n DESC, doc_id) AS rank FROM near QUALIFY rank <= 10),
+d AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+      FROM dv WHERE item_id NOT IN (SELECT item_id FROM g) QUALIFY rank <= 10)
+SELECT item_id, 'graph' AS leg, rank::INT AS rank, doc_id, hop, path, NULL::DOUBLE AS score FROM g
+UNION ALL SELECT item_id, 'dense', rank::INT, doc_id, NULL, NULL, round(score, 6) FROM d
+""",
+)
+def graph_questions(spark, sf):
+    docs = table(spark, sf, "documents")
+    me = lambda shift=0: F.concat(F.lit("doc_"), (F.col("doc_id") + shift).cast("string"))
+    aliases = docs.select(me().alias("entity"), F.explode(F.split("text", "\n")).alias("alias"))
+    edges = docs.select(me().alias("src"), me(-1).alias("dst")).unionByName(docs.select(me().alias("src"), F.col("source").alias("dst")))
+    # A document tells of itself and of the one after it.
+    mentions = docs.select(me().alias("entity"), "doc_id").unionByName(docs.select(me(1).alias("entity"), "doc_id"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = _asked(spark, sf)
+    found = questions.answer(
+        asked, F.split("query_text", "\n"), aliases, edges, mentions, vectors, 2, 10, "item_id", "query_vector", "entity", "doc_id",
+    )
+    return _rounded(found)
