@@ -105,10 +105,21 @@ def test_against_loops(spark, hot, chunk):
     texts = [*TEXTS, long_text(5), long_text(5), long_text(6, 900)]
     df = spark.createDataFrame([(k if k % 5 else None, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
     df = df.selectExpr("*", "1 as a", "'x' as _row", "2 as ok", "3 as k").repartition(4)
-    got = alignment.align(alignment.encode(df, BYTE_LEVEL, VOCABULARY, chunk), hot)
+    got = alignment.align(alignment.link(df, BYTE_LEVEL, VOCABULARY, chunk), hot)
     want = [(k if k % 5 else None, *row) for k, row in enumerate(plain(texts))]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
-    assert alignment.align(alignment.encode(df.limit(0), BYTE_LEVEL, VOCABULARY, chunk), hot).count() == 0
+    assert alignment.align(alignment.link(df.limit(0), BYTE_LEVEL, VOCABULARY, chunk), hot).count() == 0
+
+
+def test_encode_gives_the_tokens(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*TEXTS, long_text(8)])], "doc_id bigint, text string")
+    for chunk in (100, 65_536):
+        for row in alignment.encode(df, BYTE_LEVEL, VOCABULARY, chunk).collect():
+            text = [*TEXTS, long_text(8)][row.doc_id] or ""
+            assert row.ok == bool(text and "▁" not in text)
+            if row.ok:
+                assert b"".join(PAIR.raw_a[k] for k in row.a) == b" " + text.encode() == b"".join(PAIR.raw_b[k] for k in row.b)
+                assert (sum(row.ga), sum(row.gb), row.ga[-1], row.gb[-1]) == (len(row.a), len(row.b), 0, 0)
 
 
 def test_groups_with_very_many_links(monkeypatch, spark):

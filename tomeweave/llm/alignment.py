@@ -20,7 +20,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
 GRADES = 8  # of a doubling of the count, for the threshold of hot pairs
 
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 FRAGMENT = "ok boolean, a array<int>, b array<int>, ga array<int>, gb array<int>"
 _LISTS = pa.list_(pa.int32())
 
@@ -235,7 +236,7 @@ def _records(fragments: list[Fragment], **first: pa.Array) -> pa.RecordBatch:
 
 
 def _short(files):
-    """Whole texts: (doc_id, _text) to (doc_id, fragment)."""
+    """Whole texts: (doc_id, _text) to (doc_id, fragment), about ``ENCODE_BYTES`` of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,15 +291,8 @@ def _composed(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_records([whole], _key=pa.array(first.column("_key").to_pylist(), pa.binary()), k=parent)])
 
 
-def encode(docs: DataFrame, byte_level: str, sentence_pieces: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``doc_id`` and the fragment of every row's whole text.
-
-    ``a`` and ``b`` are the ids, ``ga`` and ``gb`` say how many each group takes; both
-    end with an open suffix, which is empty when ``ok``. A null or empty text, and one
-    whose tokens do not give back its bytes, has ``ok`` false. Rows with a null or
-    repeated id stay as they are. Equal long texts are encoded once. The files are read by the
-    driver and sent to the tasks (their size is that of the vocabularies).
-    """
+def _encoded(docs: DataFrame, byte_level: str, sentence_pieces: str, chunk_bytes: int, after: Step | None, schema: str) -> DataFrame:
+    """Fragments of all rows, passed on to ``after`` (in the same Python worker where the text is short)."""
     spark = docs.sparkSession
     ship_package(spark)
     with open(byte_level, "rb") as one, open(sentence_pieces, "rb") as two:
@@ -306,23 +300,40 @@ def encode(docs: DataFrame, byte_level: str, sentence_pieces: str, chunk_bytes:
         files = spark.sparkContext.broadcast((first, two.read(), merges_follow_ids(first)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    short = rows.where(F.octet_length("_text") <= chunk_bytes).mapInArrow(_short(files), f"doc_id {kind}, {FRAGMENT}")
+    whole = _short(files)
+    short = rows.where(F.octet_length("_text") <= chunk_bytes).mapInArrow(
+        (lambda batches: after(whole(batches))) if after else whole, f"doc_id {kind}, {schema}"
+    )
     long = rows.where(F.octet_length("_text") > chunk_bytes).withColumn("_key", F.unhex(F.sha2("_text", 256)))
     size = long.agg(F.max(F.octet_length("_text"))).first()[0]
-    if size:
-        cut = long.groupBy("_key").agg(F.first("_text").alias("_text")).mapInArrow(
-            _cut(chunk_bytes), "_key binary, k bigint, part binary, place bigint, low bigint, high bigint"
+    if not size:
+        return short
+    cut = long.groupBy("_key").agg(F.first("_text").alias("_text")).mapInArrow(
+        _cut(chunk_bytes), "_key binary, k bigint, part binary, place bigint, low bigint, high bigint"
+    )
+    made = f"_key binary, k bigint, {FRAGMENT}"
+    tree = cut.repartition("_key", "k").mapInArrow(_parts(files), made)
+    count = -(-(size + 1) // chunk_bytes)
+    while count > 1:
+        tree = tree.withColumn("_parent", F.floor(F.col("k") / FAN_IN)).groupBy("_key", "_parent").applyInArrow(
+            lambda table: _composed(table.drop_columns("_parent")), made
         )
-        made = f"_key binary, k bigint, {FRAGMENT}"
-        tree = cut.repartition("_key", "k").mapInArrow(_parts(files), made)
-        count = -(-(size + 1) // chunk_bytes)
-        while count > 1:
-            tree = tree.withColumn("_parent", F.floor(F.col("k") / FAN_IN)).groupBy("_key", "_parent").applyInArrow(
-                lambda table: _composed(table.drop_columns("_parent")), made
-            )
-            count = -(-count // FAN_IN)
-        short = short.unionByName(long.select("doc_id", "_key").join(tree.drop("k"), "_key").drop("_key"))
-    return short.withColumn("ok", F.col("ok") & (F.size("a") > 0))
+        count = -(-count // FAN_IN)
+    each = tree.drop("k").withColumnRenamed("_key", "doc_id")
+    each = (each.mapInArrow(after, f"doc_id binary, {schema}") if after else each).withColumnRenamed("doc_id", "_key")
+    return short.unionByName(long.select("doc_id", "_key").join(each, "_key").drop("_key"))
+
+
+def encode(docs: DataFrame, byte_level: str, sentence_pieces: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``doc_id`` and the fragment of every row's whole text.
+
+    ``a`` and ``b`` are the ids, ``ga`` and ``gb`` say how many each group takes; both
+    end with an open suffix, which is empty when ``ok``. A null or empty text, and one
+    whose tokens do not give back its bytes, has ``ok`` false. Rows with a null or
+    repeated id stay as they are. Equal long texts are encoded once. The files are read by the
+    driver and sent to the tasks (their size is that of the vocabularies).
+    """
+    return _encoded(docs, byte_level, sentence_pieces, chunk_bytes, None, FRAGMENT).withColumn("ok", F.col("ok") & (F.size("a") > 0))
 
 
 # --------------------------------------------------------------------- links
@@ -337,7 +348,7 @@ class Groups:
 
     def __init__(self, batch: pa.RecordBatch):
         self.rows = batch.num_rows
-        ok = batch.column("ok").to_numpy(zero_copy_only=False).astype(bool)
+        ok = batch.column("ok").to_numpy(zero_copy_only=False).astype(bool) & (np.diff(batch.column("a").offsets.to_numpy()) > 0)
         (a, at_a), (b, at_b) = _flat(batch, "a"), _flat(batch, "b")
         (ga, at_g), (gb, _) = _flat(batch, "ga"), _flat(batch, "gb")
         row = np.repeat(np.arange(self.rows), np.diff(at_g))
@@ -439,19 +450,39 @@ def _row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, j - i)
 
 
-def pair_counts(encoded: DataFrame) -> DataFrame:
-    """(code, a, n, best): in how many rows a pair of ids is linked, and whether no pair of its first id has more."""
+FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+LINKED = ", ".join([*(f"{f} bigint" for f in FIGURES), "groups_sha256 string", "codes array<bigint>", "times array<int>"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in _row_slices(batch):
-                codes, n = np.unique(Groups(rows).pairs()[1], return_counts=True)
-                if len(codes):
-                    yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
-
-    held = encoded.where("ok").select("ok", "a", "b", "ga", "gb").mapInArrow(run, "code bigint, n bigint")
-    counts = held.groupBy("code").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("code", ID_BITS))
-    counts = cut_lineage(counts, "pair-counts")
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _row_slices(batch):
+            groups = Groups(part)
+            row, code, times = groups.pairs()
+            at = pa.array(np.searchsorted(row, np.arange(groups.rows + 1)), pa.int32())
+            figures = [groups.per_row(groups.ga), groups.per_row(groups.gb), groups.per_row(np.ones(len(groups.row), np.int64)), groups.per_row(groups.links)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), *[pa.array(f, pa.int64()) for f in figures], pa.array(groups.digests(), pa.string()),
+                    pa.ListArray.from_arrays(at, pa.array(code, pa.int64())), pa.ListArray.from_arrays(at, pa.array(times, pa.int32())),
+                ],
+                ["doc_id", *FIGURES, "groups_sha256", "codes", "times"],
+            )
+
+
+def link(docs: DataFrame, byte_level: str, sentence_pieces: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``doc_id``, its figures and the pairs of ids (``codes``) that its groups link, each once, with how often (``times``).
+
+    As ``encode``, of which it keeps what the corpus-wide counts need: a row that is
+    not ok has zeros, an empty digest and no pairs.
+    """
+    return _encoded(docs, byte_level, sentence_pieces, chunk_bytes, _figures, LINKED)
+
+
+def pair_counts(linked: DataFrame) -> DataFrame:
+    """(code, n, best): in how many rows a pair of ids is linked, and whether no pair of its first id has more."""
+    counts = linked.select(F.explode(once(F.col("codes"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts.withColumn("a", F.shiftright("code", ID_BITS)), "pair-counts")
     # One row for each id of the first vocabulary at most.
     most = broadcast_counted(cut_lineage(counts.groupBy("a").agg(F.max("n").alias("most")), "most"))
     return counts.join(most, "a").select("code", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -469,8 +500,8 @@ def _hot_threshold(counts: DataFrame, limit: int) -> int:
     return lowest if lowest is not None else (1 << 62)
 
 
-def align(encoded: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """Groups, links and corpus-wide counts of every row of ``encode``'s result.
+def align(linked: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Groups, links and corpus-wide counts of every row of ``link``'s result.
 
     ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` (long) and
     ``groups_sha256``. A row that is not ok has zeros and an empty digest and is in
@@ -478,10 +509,10 @@ def align(encoded: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     ``hot_pairs`` bounds what tasks hold and does not change the result; an empty table
     gives no rows.
     """
-    spark = encoded.sparkSession
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    spark = linked.sparkSession
+    kind = linked.schema["doc_id"].dataType.simpleString()
     # Row numbers are fixed by writing them.
-    written = cut_lineage(encoded.withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    written = cut_lineage(linked.withColumn("_row", F.monotonically_increasing_id()), "linked")
     counts = cut_lineage(pair_counts(written), "pairs")
     threshold = _hot_threshold(counts, hot_pairs)
     hot = counts.where(F.col("n") >= threshold).toArrow().combine_chunks()
@@ -494,29 +525,26 @@ def align(encoded: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, numbers, best = table.value
         for batch in batches:
-            for part in _row_slices(batch):
-                groups = Groups(part)
-                row, code, times = groups.pairs()
-                at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
-                seen = known[at] == code if len(known) else np.zeros(len(code), bool)
-                sums, bests = np.zeros(groups.rows, np.int64), np.zeros(groups.rows, np.int64)
-                np.add.at(sums, row[seen], times[seen] * numbers[at[seen]])
-                np.add.at(bests, row[seen], times[seen] * best[at[seen]])
-                rest = np.searchsorted(row[~seen], np.arange(groups.rows + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(v[~seen], pa.int64())) for v in (code, times)]
-                figures = [
-                    groups.per_row(groups.ga), groups.per_row(groups.gb), groups.per_row(np.ones(len(groups.row), np.int64)), groups.per_row(groups.links), bests, sums,
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("_row"), *[pa.array(f, pa.int64()) for f in figures], pa.array(groups.digests(), pa.string()), *lists],
-                    ["doc_id", "_row", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "_codes", "_times"],
-                )
+            (code, ends), (times, _) = _flat(batch, "codes"), _flat(batch, "times")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+            seen = known[at] == code if len(known) else np.zeros(len(code), bool)
+            sums, bests = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            np.add.at(sums, row[seen], times[seen] * numbers[at[seen]])
+            np.add.at(bests, row[seen], times[seen] * best[at[seen]])
+            rest = pa.array(np.searchsorted(row[~seen], np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(rest, pa.array(v[~seen], pa.int64())) for v in (code, times)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + [pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), *lists],
+                [*kept, "n_best", "count_sum", "_codes", "_times"],
+            )
 
+    kept = ["doc_id", "_row", *FIGURES, "groups_sha256"]
     schema = (
-        f"doc_id {kind}, _row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
-        "groups_sha256 string, _codes array<bigint>, _times array<bigint>"
+        f"doc_id {kind}, _row bigint, {', '.join(f'{f} bigint' for f in FIGURES)}, groups_sha256 string, n_best bigint, count_sum bigint, "
+        "_codes array<bigint>, _times array<bigint>"
     )
-    found = cut_lineage(written.mapInArrow(run, schema), "aligned")
+    found = cut_lineage(written.select(*kept, "codes", "times").mapInArrow(run, schema), "aligned")
     # Pairs below the threshold: none of them is in a large share of the rows.
     asked = found.where(F.size("_codes") > 0).select("_row", F.explode(once(F.arrays_zip("_codes", "_times"))).alias("p"))
     rare = counts.where(F.col("n") < threshold)
@@ -527,6 +555,6 @@ def align(encoded: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     joined = found.drop("_codes", "_times").join(more, "_row", "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("_best", zero)).alias("n_best"),
+        "doc_id", *FIGURES, (F.col("n_best") + F.coalesce("_best", zero)).alias("n_best"),
         (F.col("count_sum") + F.coalesce("_sum", zero)).alias("count_sum"), "groups_sha256",
     )

@@ -233,7 +233,7 @@ BYTE_LEVEL = os.environ.get("TOMEWEAVE_BYTE_LEVEL", "/opt/tokenizers/byte_bpe_50
 @catalogue.add("op11_tokenizer_alignment")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned groups and links of every document; tested against loops over whole texts (tokenizers are not in SQL)."""
-    return alignment.align(alignment.encode(table(spark, sf_dir, "documents"), BYTE_LEVEL, VOCABULARY))
+    return alignment.align(alignment.link(table(spark, sf_dir, "documents"), BYTE_LEVEL, VOCABULARY))
 
 
 # -------------------------------------------------------------------- op12
