@@ -31,14 +31,20 @@ def file_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str
     )
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Drain an append-mode stream into a Parquet table in the shared folder and read it."""
+def run_to_table(stream: DataFrame, label: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain an append-mode stream into a Parquet table and read it.
+
+    With the caller's ``out`` and ``checkpoint`` a later call appends what has arrived
+    since; otherwise both are scratch places.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
+    if (out is None) != (checkpoint is None):
+        raise ValueError("a resumable table needs both its output and its checkpoint")
+    out, checkpoint = out or scratch_path(spark, label), checkpoint or scratch_path(spark, f"{label}-state")
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
-        .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(out)
     )
@@ -46,30 +52,39 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def accumulate_usage(stream: DataFrame, model: Column, tokens: Column) -> DataFrame:
-    """Usage per model and in total over all that has arrived.
+def accumulate_usage(stream: DataFrame, model: Column, tokens: Column, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Usage per model and in total over all that has ever arrived.
 
-    Each micro-batch is reduced to one row per model and stored under its batch
-    id, so a repeated batch replaces itself; the summary adds those few rows.
+    Each micro-batch is reduced to one row per model and stored below ``out`` under
+    its batch id, so a repeated batch replaces itself; the summary adds those few rows.
+    ``out`` and ``checkpoint`` belong to the caller: a later call with the same two
+    goes on where the last one stopped, or broke off. Without them a scratch place is used once.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, "usage")
+    if (out is None) != (checkpoint is None):
+        raise ValueError("a resumable ledger needs both its output and its checkpoint")
+    target, state = out or scratch_path(spark, "usage"), checkpoint or scratch_path(spark, "usage-state")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         (
             batch.groupBy(F.coalesce(model, F.lit("unknown")).alias("model"))
             .agg(F.count("*").alias("requests"), F.sum(tokens).cast("bigint").alias("tokens"))
             .write.mode("overwrite")
-            .parquet(f"{out}/batch={batch_id}")
+            .parquet(f"{target}/batch={batch_id}")
         )
 
     query = (
         stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", scratch_path(spark, "usage-state"))
+        .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return usage_so_far(spark, target)
+
+
+def usage_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """The ledger below ``out``: usage per model, and in total."""
     parts = spark.read.schema("model STRING, requests BIGINT, tokens BIGINT, batch BIGINT").parquet(out)
     total = parts.rollup("model").agg(
         F.grouping("model").alias("_all"), F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens")
