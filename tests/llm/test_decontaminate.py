@@ -65,3 +65,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.matches(no_docs, items).count() == 0
     assert decontaminate.matches(odd_docs, items.limit(0)).where("size(spans) > 0").count() == 0
     assert decontaminate.removed(odd_docs, items).columns == odd_docs.columns
+
+
+def test_rows_that_share_an_id_are_judged_alone(spark):
+    rows = [(None, "a clean one"), (None, "x aa bb cc dd y"), (7, "also clean"), (7, "aa bb cc dd"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as _key", "2 as _contaminated", "3 as items")
+    items = spark.createDataFrame([("i", "aa bb cc dd")], "item_id string, text string")
+    kept = decontaminate.removed(docs, items, 3)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(7, "also clean"), (8, None), (None, "a clean one")]

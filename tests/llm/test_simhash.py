@@ -86,3 +86,29 @@ def test_odd_rows(odd_docs, no_docs):
     assert by_id[1].fp == 0 and {by_id[k].component_id for k in (1, 2, 3)} == {1}
     assert [r.component_id for r in rows if r.doc_id == 5] == [5, 5] and by_id[None].component_id == 5
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_end_to_end_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 30, 200]))) for _ in range(60)]
+    texts += [t + " one" for t in texts[:20]] + [t + " one more" for t in texts[:20]] + texts[:10]
+    ids = [rng.choice([None, *range(50)]) for _ in texts]
+    want = plain_components([plain_fingerprint(t) for t in texts], 4)
+    least = {}
+    for root, key in zip(want, ids, strict=True):
+        if key is not None:
+            least[root] = min(key, least.get(root, key))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.fp, str(r.component_id)) for r in simhash.near_duplicates(df, tile_rows=16).collect())
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    assert got == sorted((str(k), signed(plain_fingerprint(t)), str(least.get(r))) for k, t, r in zip(ids, texts, want, strict=True))
+
+
+def test_ids_of_unlike_texts_do_not_join_groups(spark):
+    a, b = "the quick brown fox jumps over the lazy dog again", "completely different words are standing in this other text here"
+    df = spark.createDataFrame([(1, a), (1, b), (5, a), (6, b)], "doc_id bigint, text string")
+    rows = simhash.near_duplicates(df).collect()
+    assert {r.component_id for r in rows} == {1} and len({r.group_fp for r in rows}) == 2

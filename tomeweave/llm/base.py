@@ -26,6 +26,14 @@ def broadcast_counted(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(written) if written.limit(limit + 1).count() <= limit else written
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Run ``work`` on every Arrow batch of ``df`` (at most 64 MB each by Spark's default)."""
     ship_package(df.sparkSession)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeweave.llm.base import pieces, text_bytes
+from tomeweave.llm.base import free_name, pieces, text_bytes
 from tomeweave.llm.bytewords import Words
 from tomeweave.session import cut_lineage, ship_package
 
@@ -27,7 +27,7 @@ BLOCK_BYTES = 32 * 1024 * 1024
 PIECE_BYTES = 4 * 1024 * 1024
 SPANS = "array<struct<start: bigint, end: bigint>>"
 BEST = "array<struct<item: string, words: bigint, at: bigint>>"
-SCHEMA = f"doc_id bigint, text string, n_words bigint, spans {SPANS}, items array<string>, best {BEST}"
+SCHEMA = f"text string, n_words bigint, spans {SPANS}, items array<string>, best {BEST}"
 
 
 @dataclass
@@ -239,7 +239,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, id_type: str = "bigint",
 ) -> DataFrame:
     """(doc_id, n_words, spans, items, best) for every row of ``docs``.
 
@@ -257,7 +257,7 @@ def matches(
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(-1).cast("bigint").alias("n_words"),
+        F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(-1).cast("bigint").alias("n_words"),
         F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"),
         F.array().cast(BEST).alias("best"),
     )
@@ -284,7 +284,7 @@ def _one_pass(spark: SparkSession, rows: DataFrame, block: list[tuple[str, str]]
             if batch.num_rows:
                 yield _scan(batch, bench)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def _scan(batch: pa.RecordBatch, bench: Benchmark) -> pa.RecordBatch:
@@ -346,11 +346,16 @@ def _union(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that hold a window of an item; a row with a null id is kept only if its text is clean.
+def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text holds no window of an item, with all their columns.
 
-    The verdict is taken from the text and joined back by id, so rows that share an id go together if one is affected.
+    A verdict depends on the text alone and is joined back by the text's SHA-256,
+    so null and repeated ids do not matter: of rows that share an id only those
+    with an affected text go. Rows with a null text stay.
     """
-    found = matches(docs, benchmark, window, id_col)
-    bad = cut_lineage(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    key = F.sha2(F.col(text_col).cast("string"), 256)
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("text"))
+    found = matches(keyed, benchmark, window, "_key", id_type="string")
+    name = free_name(docs, "contaminated")
+    bad = cut_lineage(found.where(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, key == F.col(name), "left_anti")

@@ -98,6 +98,9 @@ short AS (SELECT lang AS k, x FROM flat WHERE length(x) <= 4 AND regexp_matches(
           UNION ALL SELECT '', x FROM flat WHERE length(x) <= 4 AND regexp_matches(x, '^\\pL+$')),
 ranked AS (SELECT k, x, count(*) AS c, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, x) AS r FROM short GROUP BY k, x),
 common AS (SELECT k, x, c / words AS q FROM ranked JOIN sums USING (k) WHERE r <= 16),
+lack AS (SELECT k, covered, bins, (full_cover + log2(2 / (2 - full_cover))
+                + (1 - full_cover) * log2(CASE WHEN full_cover < 1 THEN 2 * (1 - full_cover) / (2 - full_cover) ELSE 1 END)) / 2 AS lacking
+         FROM (SELECT k, sum(q) AS covered, least(1, sum(q)) AS full_cover, count(*) AS bins FROM common GROUP BY k)),
 counted AS (SELECT doc_id, x, count(*) AS c FROM flat GROUP BY ALL),
 pq AS (SELECT f.doc_id, f.n_words, coalesce(c.c, 0) / greatest(1, f.n_words) AS p, m.q
        FROM full_ f JOIN common m ON m.k = coalesce(f.lang, '') LEFT JOIN counted c ON c.doc_id = f.doc_id AND c.x = m.x),
@@ -114,13 +117,13 @@ base AS (SELECT f.*, coalesce(rep.n, 0) AS n_repeat_words, n_words < 20 OR 100 *
          FROM full_ f LEFT JOIN rep USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, c0::BIGINT AS n_symbols,
        (n_lines - n_other)::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND (n < 200 OR char_js.j <= 0.31) AND (n_words < 60 OR coalesce(word_js.j, 0) <= 0.42) AS kept
-FROM base LEFT JOIN char_js USING (doc_id) LEFT JOIN word_js USING (doc_id)""",
+       NOT base_failed AND (n < 200 OR char_js.j <= 0.31) AND (n_words < 60 OR coalesce(word_js.j, 0) <= coalesce(CASE
+         WHEN n_words * covered >= 8 THEN least(0.42, sqrt(least(0.9025 * lacking, greatest(0.36 * lacking, (bins + 4.5 * sqrt(2 * bins)) / (8 * ln(2) * n_words)))))
+         WHEN covered IS NOT NULL THEN 0.42 END, 1)) AS kept
+FROM base LEFT JOIN char_js USING (doc_id) LEFT JOIN word_js USING (doc_id) LEFT JOIN lack ON lack.k = coalesce(lang, '')""",
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL above has the fixed word limit alone; the pipeline's stage also has the share.
-    limits = quality.Limits(max_word_share=None)
-    return quality.assess(table(spark, sf_dir, "documents"), limits=limits).drop("char_distance", "word_distance")
+    return quality.assess(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 # -------------------------------------------------------------------- op5

@@ -199,18 +199,19 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, component_id) per row: the smallest id reachable over links of at most ``radius`` bits.
 
-    Equal fingerprints fold into one node before anything is compared. Texts
+    Equal fingerprints fold into one node, numbered by the fingerprint, before
+    anything is compared, so rows that share an id but not a text stay apart. Texts
     without words, null ones too, share the fingerprint zero, which is linked
-    like any other. Rows with a null id take part through their fingerprint: they
-    get a component if a row with an id shares it, else null, and link nothing.
-    Repeated rows repeat in the result.
+    like any other. Rows with a null id link like all others; a group in which no row
+    has an id has a null component. Repeated rows repeat in the result. ``group_fp``,
+    the smallest fingerprint of the group, names every group.
     """
     found = cut_lineage(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = cut_lineage(
-        found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"), "nodes"
-    )
-    groups = components(cut_lineage(links(nodes, radius, tile_rows), "links"))
-    classes = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").select(
-        "fp", F.coalesce("component", "node").alias("component_id")
-    )
-    return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    groups = components(cut_lineage(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, tile_rows), "links"))
+    placed = nodes.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("group_fp"))
+    placed = cut_lineage(placed, "groups")
+    # A node is one row here, so a group of copies is as many rows as it has different fingerprints.
+    least = placed.groupBy("group_fp").agg(F.min("first").alias("component_id"))
+    classes = placed.join(least, "group_fp").select("fp", "group_fp", "component_id")
+    return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id", "group_fp")
