@@ -91,3 +91,24 @@ def test_spread_moves_only_small_inputs(spark, tmp_path):
     spark.range(100).repartition(16).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert spread(many, "id") is many
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_one_value_with_half_of_all_rows_is_several_blocks(spark, kind):
+    rng = random.Random(9)
+    rows = [(g, 50 if rng.random() < 0.5 else rng.randint(0, 99), i, rng.randint(1, 9)) for i, g in enumerate(rng.choices(["hot", "a"], [9, 1], k=1000))]
+    df = spark.createDataFrame(rows, "grp string, at long, id long, n long")
+    df = df.select("grp", F.lpad(F.col("at").cast("string"), 3, "0").alias("at") if kind == "string" else "at", "id", "n").repartition(5)
+    blocks = plan_blocks(df, "at", 50, tie="id")
+    sizes = {r["b"]: r["count"] for r in df.groupBy(blocks.of(F.col("at"), F.col("id")).alias("b")).count().collect()}
+    at_fifty = df.where(F.col("at") == ("050" if kind == "string" else 50)).select(blocks.of(F.col("at"), F.col("id")).alias("b")).distinct().count()
+    assert at_fifty >= 8 and max(sizes.values()) <= 150
+    want, state = {}, {}
+    for g, _, i, n in sorted(rows, key=lambda r: (r[1], r[2])):
+        state[g] = state.get(g, 0) + n
+        want[i] = state[g]
+    for per_block in (30, 10_000):
+        got = running_sums(df, ["grp"], ["at", "id"], {"total": F.col("n")}, rows_per_block=per_block)
+        assert {r.id: r.total for r in got.collect()} == want
+        numbered = row_index(df, [], ["at", "id"], "pos", rows_per_block=per_block).orderBy("pos").collect()
+        assert [r.id for r in numbered] == [i for _, _, i, _ in sorted(rows, key=lambda r: (r[1], r[2]))]

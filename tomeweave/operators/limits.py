@@ -25,35 +25,40 @@ def trailing_totals(
 ) -> DataFrame:
     """Add, per entry ``name: (seconds, value)``, the sum of ``value`` over (t - seconds, t].
 
-    A trailing total is the difference of two running totals: every request also
-    asks for the running total at its own time and at the start of each window;
-    events and questions are put in one order and summed block by block. A range
-    window would add up every frame anew and keep a key in one task.
+    A trailing total is the difference of two running totals: every time of a key
+    also asks for the running total at its start of each window; events and
+    questions are put in one order and summed block by block. A range window would
+    add up every frame anew and keep a key in one task. Requests of one key and
+    time have the same totals and are one row of all this, so a time stamp that very
+    many share is folded by partial sums before anything is moved.
     """
-    blocks = plan_blocks(requests, micros, rows_per_block) if blocks is None else blocks
     names = list(totals)
+    sums = [F.sum(v.cast("bigint")).alias(f"_v{i}") for i, (_, v) in enumerate(totals.values())]
+    moments = requests.groupBy(key, micros).agg(*sums)
+    blocks = plan_blocks(moments, micros, rows_per_block) if blocks is None else blocks
     spans = sorted({0, *[seconds for seconds, _ in totals.values()]})
     lag = F.col("_span").cast("bigint") * 1_000_000
     # _span is null for the event itself, 0 for "up to now", else the window's length.
     marks = F.array(F.lit(None).cast("int"), *[F.lit(s) for s in spans])
-    rows = requests.select(
-        key, unique_id, micros, *[v.alias(f"_v{i}") for i, (_, v) in enumerate(totals.values())], F.explode(marks).alias("_span")
-    ).select(
+    rows = moments.select("*", F.explode(marks).alias("_span")).select(
         key,
-        unique_id,
+        micros,
         F.when(F.col("_span").isNull(), F.col(micros)).otherwise(F.col(micros) - lag).alias("_at"),
         F.col("_span").isNotNull().cast("int").alias("_asks"),
         "_span",
         *[F.when(F.col("_span").isNull(), F.col(f"_v{i}")).otherwise(0).cast("bigint").alias(f"_v{i}") for i in range(len(names))],
     )
+    # Blocks are ranges of time alone: a time has few rows here.
     run = running_sums(
-        rows, [key], ["_at", "_asks", unique_id], {f"_r{i}": F.col(f"_v{i}") for i in range(len(names))}, blocks
+        rows, [key], ["_at", "_asks", micros], {f"_r{i}": F.col(f"_v{i}") for i in range(len(names))}, blocks
     ).where(F.col("_asks") == 1)
     value_at = lambda i, span: F.max(F.when(F.col("_span") == span, F.col(f"_r{i}")))
-    answers = run.groupBy(unique_id).agg(
+    answers = run.groupBy(key, micros).agg(
         *[(value_at(i, 0) - value_at(i, totals[n][0])).alias(n) for i, n in enumerate(names)]
     )
-    return requests.join(answers, unique_id)
+    answers = answers.withColumnsRenamed({key: "_key", micros: "_micros"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(micros).eqNullSafe(F.col("_micros"))
+    return requests.join(answers, same).drop("_key", "_micros")
 
 
 def quota_audit(

@@ -29,28 +29,57 @@ LEAD = "_lead"
 
 @dataclass(frozen=True)
 class OrderBlocks:
-    """Sorted inner bounds of the ordering key; ``n`` bounds make ``n + 1`` blocks."""
+    """Sorted inner bounds of the ordering key; ``n`` bounds make ``n + 1`` blocks.
+
+    A value that very many rows share is cut further by a second key: ``ties`` then
+    has that bound's second key, and null for bounds at the first row of their value.
+    """
 
     bounds: tuple = field(default=())
+    ties: tuple = field(default=())
 
-    def of(self, key: Column) -> Column:
-        """Number of bounds that are <= key, by a binary search inside the JVM."""
+    def of(self, key: Column, tie: Column | None = None) -> Column:
+        """Number of bounds that are <= (key, tie), by a binary search inside the JVM."""
         n = len(self.bounds)
         if n == 0:
             return F.lit(0)
         table = F.array(*[F.lit(b) for b in self.bounds])
+        cut = any(t is not None for t in self.ties)
+        seconds = F.array(*[F.lit(t) for t in self.ties]) if cut else None
         steps = []
         step = 1 << (n.bit_length() - 1)
         while step:
             steps.append(F.lit(step))
             step >>= 1
+
+        def reached(at: Column) -> Column:
+            first = F.get(table, at)
+            if not cut:
+                return first <= key
+            second = F.get(seconds, at)
+            inside = second.isNull() if tie is None else second.isNull() | F.coalesce(second <= tie, F.lit(False))
+            return (first < key) | ((first == key) & inside)
+
         return F.aggregate(
             F.array(*steps),
             F.lit(0),
-            lambda low, width: F.when(
-                (low + width <= n) & (F.get(table, low + width - 1) <= key), low + width
-            ).otherwise(low),
+            lambda low, width: F.when((low + width <= n) & reached(low + width - 1), low + width).otherwise(low),
+        )
+
+
+def _cuts(df: DataFrame, key: str, wanted: int, rows: int) -> list:
+    """``wanted - 1`` values of ``key`` that cut its rows into about equal parts; a value may come several times."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.NumericType):
+        shares = [i / wanted for i in range(1, wanted)]
+        return df.agg(F.percentile_approx(F.col(key), shares, max(10_000, 4 * wanted)).alias("q")).first()["q"] or []
+    if isinstance(kind, T.StringType):
+        share = min(1.0, 20.0 * wanted / rows)
+        seen = sorted(
+            r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(share, seed=11).collect()
         )
+        return [seen[i * len(seen) // wanted] for i in range(1, wanted)] if seen else []
+    raise TypeError(f"block key {key!r} must be numeric or string, not {kind.simpleString()}")
 
 
 def plan_blocks(
@@ -59,34 +88,43 @@ def plan_blocks(
     rows_per_block: int = ROWS_PER_BLOCK,
     max_blocks: int = MAX_BLOCKS,
     at_least: int | None = None,
+    tie: str | None = None,
 ) -> OrderBlocks:
     """Choose block bounds for ``key``; what reaches the driver is at most ``max_blocks`` values.
 
     There are ``at_least`` blocks (by default one for each core) however few the
-    rows are, so small inputs take the way that large ones take. Only equal keys
-    cannot be told apart: they stay in one block.
+    rows are, so small inputs take the way that large ones take. Rows with one
+    value of ``key`` are told apart by ``tie``, the next ordering key, where the value has
+    more rows than a block; without it they stay in one block.
     """
     rows = df.select(key).count()
     least = df.sparkSession.sparkContext.defaultParallelism if at_least is None else at_least
     wanted = min(max_blocks, max(least, -(-rows // rows_per_block)), rows)
     if wanted <= 1:
         return OrderBlocks()
-    kind = df.schema[key].dataType
-    if isinstance(kind, T.NumericType):
-        shares = [i / wanted for i in range(1, wanted)]
-        row = df.agg(
-            F.percentile_approx(F.col(key), shares, max(10_000, 4 * wanted)).alias("q")
-        ).first()
-        cuts = row["q"] or []
-    elif isinstance(kind, T.StringType):
-        share = min(1.0, 20.0 * wanted / rows)
-        seen = sorted(
-            r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(share, seed=11).collect()
-        )
-        cuts = [seen[i * len(seen) // wanted] for i in range(1, wanted)] if seen else []
-    else:
-        raise TypeError(f"block key {key!r} must be numeric or string, not {kind.simpleString()}")
-    return OrderBlocks(tuple(sorted(set(cuts))))
+    cuts = sorted(_cuts(df, key, wanted, rows))
+    plain = sorted(set(cuts))
+    if tie is None or len(plain) == len(cuts):
+        return OrderBlocks(tuple(plain))
+    # A value that is several cuts has that many blocks of rows, and is cut by its second key.
+    heavy = {v: cuts.count(v) for v in plain if cuts.count(v) > 1}
+    bounds = {(v, None) for v in plain}
+    for value, parts in heavy.items():
+        inside = df.where(F.col(key) == F.lit(value)).select(tie)
+        bounds |= {(value, t) for t in _cuts(inside, tie, parts + 1, max(1, rows * (parts + 1) // wanted))}
+    # Null second keys come first, as the window's order has them.
+    ordered = sorted(bounds, key=lambda b: (b[0], b[1] is not None, b[1] if b[1] is not None else 0))
+    return OrderBlocks(tuple(b for b, _ in ordered), tuple(t for _, t in ordered))
+
+
+def _tie(order: Sequence[str], df: DataFrame) -> str | None:
+    """The second ordering key, if blocks can be cut by it."""
+    kind = df.schema[order[1]].dataType if len(order) > 1 else None
+    return order[1] if isinstance(kind, (T.NumericType, T.StringType)) else None
+
+
+def _block(blocks: OrderBlocks, order: Sequence[str]) -> Column:
+    return blocks.of(F.col(order[0]), F.col(order[1]) if len(order) > 1 else None)
 
 
 def _lead_window(keys: Sequence[str], order: Sequence[str]):
@@ -113,10 +151,10 @@ def running_sums(
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add inclusive running sums per group in ``order``; ``order[0]`` is the block key."""
-    blocks = plan_blocks(df, order[0], rows_per_block) if blocks is None else blocks
+    blocks = plan_blocks(df, order[0], rows_per_block, tie=_tie(order, df)) if blocks is None else blocks
     keys = [*group, BLOCK]
     values = {f"_part_{n}": c for n, c in sums.items()}
-    tagged = df.withColumns({BLOCK: blocks.of(F.col(order[0])), **values})
+    tagged = df.withColumns({BLOCK: _block(blocks, order), **values})
     totals = tagged.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, *[F.sum(v).over(before).alias(v) for v in values])
@@ -152,9 +190,9 @@ def forward_fill(
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add the last non-null ``value`` at or before each row of its group."""
-    blocks = plan_blocks(df, order[0], rows_per_block) if blocks is None else blocks
+    blocks = plan_blocks(df, order[0], rows_per_block, tie=_tie(order, df)) if blocks is None else blocks
     keys = [*group, BLOCK]
-    tagged = df.withColumns({BLOCK: blocks.of(F.col(order[0])), "_value": value})
+    tagged = df.withColumns({BLOCK: _block(blocks, order), "_value": value})
     # Blocks without a value of their own still hand on what came before them.
     totals = tagged.groupBy(*keys).agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_value")
