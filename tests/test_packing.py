@@ -140,3 +140,34 @@ def byte_encoding():
     return tiktoken.Encoding(
         name="bytes", pat_str=r"(?s).", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}
     )
+
+
+def test_tables_compose():
+    rng = random.Random(12)
+    for limit in (5, 12, 40):
+        for _ in range(60):
+            costs = [rng.choice([1, 2, 3, 7, limit, limit + 3]) for _ in range(rng.randint(2, 14))]
+            bursts = [packing.NORMAL if c <= limit else rng.randint(1, 3) for c in costs]
+            cuts = sorted({0, len(costs), *[rng.randrange(1, len(costs)) for _ in range(3)]})
+            tables = [packing.transfer_table(np.array(costs[a:b]), np.array(bursts[a:b]), limit) for a, b in zip(cuts, cuts[1:], strict=False)]
+            while len(tables) > 1:
+                k = rng.randrange(len(tables) - 1)
+                tables[k : k + 2] = [packing.compose_tables(tables[k], tables[k + 1], limit)]
+            whole = packing.transfer_table(np.array(costs), np.array(bursts), limit)
+            for filled in range(limit + 1):
+                want = packing.label_run(np.array(costs), np.array(bursts), limit, filled, 4)[1:]
+                assert packing.apply_table(tables[0], limit, filled, 4) == want == packing.apply_table(whole, limit, filled, 4), (costs, bursts, filled)
+
+
+@pytest.mark.parametrize("group", [["g"], []])
+def test_a_tree_of_blocks_equals_one_pass(spark, monkeypatch, group):
+    monkeypatch.setattr(packing, "FAN_IN", 3)
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.8 else "b", k, rng.choice([1, 2, 5, 9, 30])) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, at long, c long").repartition(4)
+    got = {r["at"]: r.section for r in packing.pack(df, group, "at", F.col("c"), 20, F.lit(2), rows_per_block=9).collect()}
+    for name in {r[0] for r in rows} if group else [None]:
+        part = [r for r in rows if name in (None, r[0])]
+        costs = np.array([r[2] for r in part])
+        labels, _, _ = packing.label_run(costs, np.where(costs > 20, 2, packing.NORMAL), 20, 0, 1)
+        assert [got[r[1]] for r in part] == labels.tolist()

@@ -4,13 +4,15 @@ Packing is greedy: a text joins the open section while the budget lasts. The
 state at any point (tokens in the open section, section number) depends on
 everything before it, which looks like one sequential pass per series. It is cut
 into order blocks instead. For every block a small table says what state leaves
-it for any state that may enter; composing those tables block by block gives each
-block its entry state, and then all blocks are labelled at the same time.
+it for any state that may enter. Tables compose, associatively, so a tree of
+them gives each block its entry state, and then all blocks are labelled at the
+same time: no task sees a whole series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from tomeweave.functions.tokens import FourCharacters, TokenCounter
 from tomeweave.scale import BLOCK, ROWS_PER_BLOCK, OrderBlocks, once, plan_blocks
 from tomeweave.session import cut_lineage
 
+FAN_IN = 32  # neighbouring blocks whose tables one task composes
 NORMAL = -1  # burst value of a text that fits the budget
 
 
@@ -118,6 +121,9 @@ def transfer_table(costs, bursts, limit: int) -> dict:
     }
 
 
+_TABLE = ("lead", "fill", "used", "fresh_fill", "fresh_used", "first_oversized", "total", "rows")
+
+
 def apply_table(table, limit: int, filled: int, number: int) -> tuple[int, int]:
     """The state leaving a block for the state entering it."""
     if not filled:
@@ -129,6 +135,30 @@ def apply_table(table, limit: int, filled: int, number: int) -> tuple[int, int]:
     return table["fill"][k], number + table["used"][k]
 
 
+def compose_tables(first, second, limit: int) -> dict:
+    """The table of two neighbouring blocks, of the same kind as theirs."""
+    pairs = [apply_table(second, limit, int(f), int(u)) for f, u in zip(first["fill"], first["used"], strict=True)]
+    lead = [int(x) for x in first["lead"]]
+    through = first["first_oversized"] == first["rows"] and first["total"] < limit
+    if through:
+        # All of the first block joins the entering section, which goes on into the second one.
+        starts = [0, *second["lead"]][: len(second["fill"])]
+        reach = int(np.searchsorted(np.asarray(starts, dtype=np.int64) + first["total"], limit))
+        pairs += [(int(f), int(u)) for f, u in zip(second["fill"][:reach], second["used"][:reach], strict=True)]
+        lead += [int(first["total"] + x) for x in second["lead"][:reach]]
+    fresh_fill, fresh_used = apply_table(second, limit, int(first["fresh_fill"]), int(first["fresh_used"]))
+    return {
+        "lead": lead,
+        "fill": [p[0] for p in pairs],
+        "used": [p[1] for p in pairs],
+        "fresh_fill": fresh_fill,
+        "fresh_used": fresh_used,
+        "first_oversized": int(first["first_oversized"] if first["first_oversized"] < first["rows"] else first["rows"] + second["first_oversized"]),
+        "total": int(first["total"] + second["total"]),
+        "rows": int(first["rows"] + second["rows"]),
+    }
+
+
 def pack(
     items: DataFrame,
     group: Sequence[str],
@@ -185,9 +215,9 @@ def pack(
         head = {k: [rows[k].iloc[0]] for k in keys}
         return pd.DataFrame({**head, **{k: [v] for k, v in table.items()}})
 
-    def compose(tables: pd.DataFrame) -> pd.DataFrame:
+    def entered(tables: pd.DataFrame, filled: int = 0, number: int = 1) -> pd.DataFrame:
+        """The state that enters each of some neighbouring blocks, from the one that enters the first."""
         tables = tables.sort_values(BLOCK)
-        filled, number = 0, 1
         states = []
         for table in tables.to_dict("records"):
             states.append((filled, number))
@@ -195,11 +225,34 @@ def pack(
         fills, numbers = zip(*states)
         return tables[keys].assign(entry_fill=list(fills), entry_number=list(numbers))
 
-    tables = keyed.groupBy(*keys).applyInPandas(tabulate, table_schema)
+    def folded(tables: pd.DataFrame) -> pd.DataFrame:
+        tables = tables.sort_values(BLOCK)
+        whole = reduce(lambda x, y: compose_tables(x, y, limit), tables.to_dict("records"))
+        head = {k: [tables[k].iloc[0]] for k in group}
+        return pd.DataFrame({**head, BLOCK: [int(tables[BLOCK].iloc[0]) // FAN_IN], **{k: [whole[k]] for k in _TABLE}})
+
+    def entered_below(_: tuple, tables: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if tables.empty:
+            return pd.DataFrame({f.name: [] for f in state_schema.fields})
+        return entered(tables.drop(columns="_up"), int(state["entry_fill"].iloc[0]), int(state["entry_number"].iloc[0]))
+
+    levels = [keyed.groupBy(*keys).applyInPandas(tabulate, table_schema)]
+    count = len(blocks.bounds) + 1
+    up = F.floor(F.col(BLOCK) / FAN_IN).cast("int")
+    while count > FAN_IN:
+        levels[-1] = cut_lineage(levels[-1], "block-tables")
+        levels.append(levels[-1].groupBy(*group, up.alias("_up")).applyInPandas(lambda t: folded(t.drop(columns="_up", errors="ignore")), table_schema))
+        count = -(-count // FAN_IN)
+    top = levels.pop()
     if group:
-        states = tables.groupBy(*group).applyInPandas(compose, state_schema)
+        states = top.groupBy(*group).applyInPandas(lambda tables: entered(tables), state_schema)
     else:
-        states = tables.groupBy(F.lit(0).alias("_all")).applyInPandas(compose, state_schema)
+        states = top.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda tables: entered(tables), state_schema)
+    while levels:
+        below = levels.pop().withColumn("_up", up)
+        above = states.withColumn("_up", F.col(BLOCK).cast("int"))
+        shared = [*group, "_up"]
+        states = below.groupBy(*shared).cogroup(above.groupBy(*shared)).applyInPandas(entered_below, state_schema)
 
     def label_from(_: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -210,6 +263,9 @@ def pack(
     return keyed.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(label_from, labelled)
 
 
+PART = T.StructType([T.StructField(n, T.IntegerType()) for n in ("part", "first", "count")])
+
+
 def split_oversized(
     docs: DataFrame, limit: int, separator: str = "\n\n", text: str = "text", tokens: TokenCounter = FourCharacters()
 ) -> DataFrame:
@@ -220,17 +276,19 @@ def split_oversized(
     empty part, which emits nothing but uses a number, and no paragraph is ever cut.
     """
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def part_numbers(costs: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.ArrayType(PART))
+    def part_ranges(costs: pd.Series) -> pd.Series:
         def one(row):
             if row is None:
                 return None
             number, held, out = 0, 0, []
-            for c in row:
+            for at, c in enumerate(row):
                 if held + c > limit:
                     number, held = number + 1, 0
                 held += c
-                out.append(number)
+                if not out or out[-1]["part"] != number:
+                    out.append({"part": number, "first": at, "count": 0})
+                out[-1]["count"] += 1
             return out
 
         return costs.map(one)
@@ -238,26 +296,13 @@ def split_oversized(
     large = F.when(F.col("_tokens") > limit, F.split(F.col(text), separator))
     pieces = docs.withColumn("_pieces", large)
     costs = F.transform(tokens.each(F.coalesce("_pieces", F.array().cast("array<string>"))), lambda c: c + 1)
-    costed = pieces.withColumn("_parts", part_numbers(F.when(F.col("_pieces").isNotNull(), costs)))
+    costed = pieces.withColumn("_parts", part_ranges(F.when(F.col("_pieces").isNotNull(), costs)))
+    # A part is a run of paragraphs, so putting all of them together reads each paragraph once.
+    whole = lambda p: F.array_join(F.slice("_pieces", p["first"] + 1, p["count"]), separator)
     return costed.withColumns(
         {
-            "burst": (F.element_at("_parts", -1) + 1).cast("bigint"),
-            "parts": F.transform(
-                F.array_distinct("_parts"),
-                lambda n: F.struct(
-                    n.alias("part"),
-                    F.concat(
-                        F.array_join(
-                            F.transform(
-                                F.filter(F.arrays_zip("_pieces", "_parts"), lambda z: z["_parts"] == n),
-                                lambda z: z["_pieces"],
-                            ),
-                            separator,
-                        ),
-                        F.lit(separator),
-                    ).alias("text"),
-                ),
-            ),
+            "burst": (F.element_at("_parts", -1)["part"] + 1).cast("bigint"),
+            "parts": F.transform("_parts", lambda p: F.struct(p["part"].cast("bigint").alias("part"), F.concat(whole(p), F.lit(separator)).alias("text"))),
         }
     ).drop("_pieces", "_parts")
 
