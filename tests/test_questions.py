@@ -87,3 +87,27 @@ def test_questions_without_a_graph_answer_are_searched(spark):
         (1, "graph", 1, 10, 0, "mat"), (1, "graph", 2, 11, 1, "mat > rand"), (2, "dense", 1, 12, None, None), (2, "dense", 2, 10, None, None),
         (4, "dense", 1, 10, None, None), (4, "dense", 2, 12, None, None),
     ]
+
+
+def test_very_many_quotes_of_any_length_in_one_scan(spark):
+    import random
+
+    from tomeweave.operators import grounding
+
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("", "n", "rt", "é", "-x")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 40, 120]))) for _ in range(60)]
+    quotes = ["e", "é", "-", " ", "q", "ba", "n b", ""]
+    for _ in range(6_000):
+        t = rng.choice(texts)
+        if len(t) > 3:
+            a = rng.randrange(len(t) - 2)
+            quotes.append(t[a : a + rng.choice([1, 2, 3, 5, 17, 40, 90])] + rng.choice(["", "", "", "x"]))
+    docs = spark.createDataFrame([*enumerate(texts), (60, None)], "doc_id int, text string").repartition(3)
+    asked = spark.createDataFrame([*enumerate(quotes), (-1, None)], "quote_id int, quote string")
+    found = grounding.find_quotes(docs, asked, "doc_id", "text", "quote_id", "quote")
+    want = sorted((q, d) for q, quote in enumerate(quotes) if quote for d, t in enumerate(texts) if quote in t)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1  # the texts; the quotes come from a written table
+    assert grounding.find_quotes(docs, asked.limit(0), "doc_id", "text", "quote_id", "quote").count() == 0

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.scale import broadcast_if_small
+from tomeweave.scale import BROADCAST_LIMIT_BYTES, once
+from tomeweave.session import cut_lineage
 
 ANCHOR_WORDS = 6
-LISTED_KEYS = 5_000
+LONGEST_WINDOW = 16  # characters of the anchor of a quote without an inner word
+FILTER_BITS = 1 << 20
 
 
 def quotes_in_sources(qa: DataFrame, chunks: DataFrame, qa_id: str, quote: str, source_ids: str, chunk_id: str, text: str) -> DataFrame:
@@ -29,74 +31,91 @@ def _grams(toks: Column, n: int) -> Column:
     return F.when(
         F.size(toks) >= n,
         F.transform(
-            F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(toks, i, n), " "))
+            F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: _key(n, F.array_join(F.slice(toks, i, n), " "))
         ),
     )
 
 
-def find_quotes(docs: DataFrame, quotes: DataFrame, doc_id: str, text: str, quote_id: str, quote: str, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """All (quote, doc) pairs where the text contains the quote exactly.
-
-    The inner words of a quote, those between its first and its last, must stand
-    as whole consecutive words in every text that contains it. Up to
-    ``anchor_words`` of them are the join key: texts and quotes meet by hash
-    equality, and only those pairs are compared. Quotes without an inner word are
-    matched by character windows of their own length instead.
-    """
-    inner = F.size(_tokens(F.col(quote))) - 2
-    sized = quotes.select(
-        quote_id, F.col(quote).alias("_quote"), F.least(F.lit(anchor_words), inner).alias("_n")
-    ).where(F.length("_quote") > 0)
-    lengths = [r[0] for r in sized.select(F.greatest("_n", F.lit(0))).distinct().collect()]
-
-    pairs = None
-    for n in sorted(lengths):
-        if n > 0:
-            anchor = F.array_join(F.slice(_tokens(F.col("_quote")), 2, n), " ")
-            keyed = sized.where(F.col("_n") == n).select(quote_id, F.xxhash64(anchor).alias("_key"))
-            # The token list is its own column: inside a lambda it would be split anew per word.
-            tokens = docs.select(doc_id, _tokens(F.col(text)).alias("_t"))
-            keys = tokens.select(doc_id, _grams(F.col("_t"), n).alias("_keys"))
-        else:
-            short = sized.where(F.col("_n") <= 0)
-            width = short.agg(F.min(F.length("_quote"))).first()[0]
-            keyed = short.select(quote_id, F.xxhash64(F.substring("_quote", 1, width)).alias("_key"))
-            keys = docs.select(doc_id, _windows(F.col(text), width).alias("_keys"))
-        met = _meet(keys, keyed, quote_id, doc_id)
-        pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
-        none = T.StructType([quotes.schema[quote_id], docs.schema[doc_id]])
-        return docs.sparkSession.createDataFrame([], none)
-    return (
-        pairs.distinct()
-        .join(broadcast_if_small(sized.select(quote_id, "_quote")), quote_id)
-        .join(docs.select(doc_id, F.col(text).alias("_text")), doc_id)
-        .where(F.contains(F.col("_text"), F.col("_quote")))
-        .select(quote_id, doc_id)
-    )
-
-
 def _windows(text: Column, width: int) -> Column:
     return F.when(
         F.length(text) >= width,
         F.transform(
-            F.sequence(F.lit(1), F.length(text) - width + 1),
-            lambda i: F.xxhash64(F.substring(text, i, F.lit(width))),
+            F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: _key(-width, F.substring(text, i, F.lit(width)))
         ),
     )
 
 
-def _meet(keys: DataFrame, keyed: DataFrame, quote_id: str, doc_id: str) -> DataFrame:
-    """(quote, doc) candidates by equal key.
+def _key(kind: int, anchor: Column) -> Column:
+    """Hash of an anchor; anchors of another kind (words, or minus the characters) have other hashes."""
+    return F.xxhash64(F.lit(kind), anchor)
+
+
+def _slots(key: Column) -> tuple[Column, Column]:
+    """The two bits that a key sets."""
+    return F.pmod(key, F.lit(FILTER_BITS)), F.pmod(F.shiftright(key, 24), F.lit(FILTER_BITS))
+
+
+def _possible(keyed: DataFrame):
+    """A test that no key of ``keyed`` fails and few others pass: a bit map, whatever the number of keys.
 
-    Up to ``LISTED_KEYS`` quote keys become a hash set inside the scan, so only
-    keys that do meet a quote turn into rows. Beyond that all keys are rows and
-    the join decides; the result is the same.
+    Tasks set the bits and only the map's words come to the driver; it is a
+    constant of the plan then, consulted inside the scan.
     """
-    listed = [r[0] for r in keyed.select("_key").distinct().limit(LISTED_KEYS + 1).collect()]
-    if len(listed) <= LISTED_KEYS:
-        kept = F.filter("_keys", lambda k: k.isin(listed))
-    else:
-        kept = F.col("_keys")
-    rows = keys.select(doc_id, F.explode_outer(F.array_distinct(kept)).alias("_key"))
-    return rows.where(F.col("_key").isNotNull()).join(broadcast_if_small(keyed), "_key").select(quote_id, doc_id)
+    bits = keyed.select(F.explode(F.array(*_slots(F.col("_key")))).alias("b"))
+    one = F.expr("shiftleft(1L, cast(pmod(b, 64) as int))")
+    words = bits.groupBy(F.floor(F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(one).alias("v"))
+    table = [0] * (FILTER_BITS // 64)
+    for row in words.collect():  # at most FILTER_BITS / 64 numbers
+        table[row["w"]] = row["v"]
+    stored = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+    def holds(slot: Column) -> Column:
+        return F.getbit(F.get(stored, F.floor(slot / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+    def test(key: Column) -> Column:
+        first, second = _slots(key)
+        return holds(first) & holds(second)
+
+    return test
+
+
+def _anchored(quotes: DataFrame, quote_id: str, quote: str, anchor_words: int) -> DataFrame:
+    """(quote, _quote, _kind, _key): the anchor of every quote that is not empty."""
+    words = F.size(_tokens(F.col(quote))) - 2
+    rows = quotes.select(quote_id, F.col(quote).alias("_quote"), F.least(F.lit(anchor_words), words).alias("_n")).where(F.length("_quote") > 0)
+    # Without an inner word: its first characters, of a power of two that it has at least.
+    width = F.least(F.lit(LONGEST_WINDOW), F.pow(F.lit(2), F.floor(F.log2(F.length("_quote")))).cast("int"))
+    kinds = F.when(F.col("_n") > 0, F.col("_n")).otherwise(-width)
+    inner = F.array_join(F.slice(_tokens(F.col("_quote")), F.lit(2), F.greatest(F.col("_n"), F.lit(0))), " ")
+    rows = rows.withColumn("_kind", kinds)
+    anchor = F.when(F.col("_kind") > 0, inner).otherwise(F.substring(F.col("_quote"), F.lit(1), -F.col("_kind")))
+    return rows.select(quote_id, "_quote", "_kind", F.xxhash64("_kind", anchor).alias("_key"))
+
+
+def find_quotes(docs: DataFrame, quotes: DataFrame, doc_id: str, text: str, quote_id: str, quote: str, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """All (quote, doc) pairs where the text contains the quote exactly.
+
+    The inner words of a quote, those between its first and its last, must stand
+    as whole consecutive words in every text that contains it. Up to
+    ``anchor_words`` of them are its anchor; a quote without an inner word has its
+    first characters instead, in one of a few lengths. One scan of the texts makes the
+    anchors of all kinds, drops those that no quote can have by a bit map, and compares
+    what meets a quote's anchor in full, however many quotes there are and
+    however short they are.
+    """
+    keyed = cut_lineage(_anchored(quotes, quote_id, quote, anchor_words), "quotes")
+    kinds = sorted(r[0] for r in keyed.select("_kind").distinct().collect())  # a few lengths
+    if not kinds:
+        none = T.StructType([quotes.schema[quote_id], docs.schema[doc_id]])
+        return docs.sparkSession.createDataFrame([], none)
+    possible = _possible(keyed)
+    # The token list is its own column: inside a lambda it would be split anew per word.
+    rows = docs.select(doc_id, F.col(text).alias("_text"), *([_tokens(F.col(text)).alias("_t")] if kinds[-1] > 0 else []))
+    none = F.array().cast("array<bigint>")
+    made = [_grams(F.col("_t"), k) if k > 0 else _windows(F.col("_text"), -k) for k in kinds]
+    kept = [F.filter(F.coalesce(m, none), possible) for m in made]
+    met = rows.select(doc_id, "_text", F.explode(once(F.array_distinct(F.concat(*kept)))).alias("_key"))
+    wanted = keyed.select(quote_id, "_quote", "_key")
+    size = wanted.agg(F.sum(F.octet_length("_quote") + 64)).first()[0]
+    found = met.join(F.broadcast(wanted) if size <= BROADCAST_LIMIT_BYTES else wanted, "_key")
+    return found.where(F.contains(F.col("_text"), F.col("_quote"))).select(quote_id, doc_id).distinct()
