@@ -1,5 +1,6 @@
 """Quality rules, personal data, secrets, licenses and language."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -93,6 +94,67 @@ def test_disclosing_terms(spark):
     assert clean[0] == "filler0 [TERM] writes to [EMAIL] about thing0" and clean[10] == far[0][1]
 
 
+def test_scores_against_loops(spark):
+    """Terms and their disclosure by sets: entities in any writing and their classes, evidence in different texts."""
+    import random
+
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "so", "tu", "ve", "wi")]
+    people = [("Ann.Kara@Mail1.example.com", "xantho"), ("+1 (555) 010-9999", "yellow"), ("+1 555 010 9999", "yellow"), ("10.20.30.40", "zulu"), ("10.20.30.41", "zulu")]
+    rows = []
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(12)]
+        if k % 6 == 0:
+            value, mark = rng.choice(people)
+            words[5:5] = [mark, value] if rng.random() < 0.8 else [value]
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, rows[6][1]) for k in range(4)] + [(300, "zulu alone"), (301, None)]
+    texts, n = [t or "" for _, t in rows], len(rows)
+    term, settings = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[^\W\d_]|['-])+(?![^\W\d_'-])"), pii.Settings(generalise=0.8, evidence=0.5)
+
+    def classes(hit):
+        if "@" in hit:
+            local, domain = hit.lower().split("@")
+            return {"email", f"email:{hit.lower()}", f"domain:{domain}", *(f"name:{x}" for x in term.findall(local))}
+        if hit[0] == "+":
+            d = re.sub("[^0-9]", "", hit)
+            return {"phone", f"phone:{d}", f"area:{d[:4]}"}
+        return {"ip", f"ip:{hit}", f"net:{hit.rsplit('.', 1)[0]}"}
+
+    entity, held, both = {}, {}, {}
+    for d, t in enumerate(texts):
+        for w in set(term.findall(t.lower())):
+            held.setdefault(w, set()).add(d)
+        for m in re.finditer(r"\S+@\S+|\+1[ (][0-9 ()-]+[0-9]|10\.20\.30\.4\d", t):
+            before, after = t[max(0, m.start() - 96) : m.start()], t[m.end() : m.end() + 96]
+            near = set(term.findall((re.sub(r"^\S*", "", before) + " " + re.sub(r"\S*$", "", after)).lower()))
+            for e in classes(m.group()):
+                entity.setdefault(e, set()).add(d)
+                for w in near:
+                    both.setdefault((e, w), set()).add(d)
+    want = {}
+    for (e, w), docs in both.items():
+        info = -math.log2(len(entity[e]) / n)
+        share = (math.log2(min(1, len(docs) / len(held[w]))) + info) / info
+        shown = len({texts[d] for d in docs})
+        if share >= 0.8 and share * shown / (shown + 1) >= 0.5:
+            want[w] = max(share, want.get(w, 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.term: r.disclosure for r in pii.disclosing_terms(df, settings).collect()}
+    assert {"xantho", "yellow", "zulu"} <= set(want) and set(got) == set(want)
+    assert all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_terms_beyond_the_higher_threshold_are_removed(spark):
+    rows = [(k, f"by Pablo writes from p.pablo{k}@example.org unto mo{k}") for k in range(9)] + [(50 + k, f"nothing here {k}") for k in range(400)] + [(900, "so Pablo, again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    limits = pii.Settings(generalise=0.5, remove=0.9)
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs, limits).collect()}
+    assert clean[0] == "by    [EMAIL]  mo0" and clean[900] == "so , again" and clean[50] == "nothing here 0"
+    spans = {r.doc_id: r.s for r in pii.find(docs, limits).select("doc_id", pii.written("terms").alias("s")).collect()}
+    assert spans[900] == "removed:3:8" and spans[50] == ""
+
+
 def test_personal_data_odd_rows(odd_docs, no_docs):
     assert pii.find(odd_docs).count() == odd_docs.count() and pii.find(no_docs).count() == 0
 

@@ -1,10 +1,12 @@
 """Personal data: patterns, and terms that give protected entities away.
 
-Patterns find e-mail and IP addresses, card and phone numbers. Each such value
-is a protected entity. From the corpus it is estimated how much of an entity's
-information a term near it discloses: pointwise mutual information over the
-entity's information content. Terms beyond a threshold are personal data too,
-wherever they stand, and are generalised or, beyond a higher one, removed.
+Patterns find e-mail and IP addresses, card and phone numbers. Each such value is
+a protected entity, however it is written, and so are the classes it belongs to: its
+mail domain and name part, network, area, issuer, and its kind. From the corpus it
+is estimated how much of an entity's information a term near it discloses:
+pointwise mutual information over the entity's information content, weighed by the
+number of different texts that show it. Terms beyond a threshold are personal data
+too, wherever they stand, and are generalised or, beyond a higher one, removed.
 DataFrame functions only.
 """
 
@@ -28,16 +30,17 @@ CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-WORD = "[\\p{L}][\\p{L}'-]{3,40}"
-NEAR = 96  # characters on either side of an entity in which terms are looked for
+REMOVED = "removed"
+WORD = "[\\p{L}][\\p{L}'-]{2,}"  # two letters name nothing
 SPANS = "array<struct<start: int, kind: int, end: int>>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    least_texts: int = 3  # different texts in which a term stands near an entity
-    generalise: float = 0.97  # share of an entity's information that a term may disclose
-    remove: float = 0.99
+    generalise: float = 0.9  # share of an entity's information that a term may disclose
+    remove: float = 0.97
+    evidence: float = 0.6  # of that share times n / (n + 1), for n different texts in which the term stands near the entity
+    near: int = 96  # characters on either side of an entity in which terms are looked for
 
 
 # -------------------------------------------------------------- base patterns
@@ -101,34 +104,49 @@ def _text(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def _near(kind: str) -> Column:
+def _entities(kind: str, hit: Column) -> Column:
+    """The entity in one way of writing, and the classes that it shares with others."""
+    if kind == "email":
+        low = F.lower(hit)
+        names = F.regexp_extract_all(F.substring_index(low, "@", 1), F.lit(f"({WORD})"), F.lit(1))
+        classes = F.concat(F.array(F.concat(F.lit("domain:"), F.substring_index(low, "@", -1))), F.transform(names, lambda n: F.concat(F.lit("name:"), n)))
+    elif kind == "ip":
+        low = hit
+        classes = F.array(F.concat(F.lit("net:"), F.substring_index(hit, ".", 3)))
+    else:
+        low = _digits(hit)
+        classes = F.array(F.concat(F.lit("area:"), F.left(low, F.lit(4)))) if kind == "phone" else F.array(F.concat(F.lit("issuer:"), F.left(low, F.lit(6))))
+    return F.concat(F.array(F.lit(kind), F.concat_ws(":", F.lit(kind), low)), classes)
+
+
+def _near(kind: str, width: int) -> Column:
     """Every match of a kind with the terms around it."""
 
     def entity(k: Column) -> Column:
         hit = F.get(f"_{kind}_hits", k)
-        before = F.regexp_replace(F.right(F.get(f"_{kind}_gaps", k), F.lit(NEAR)), "^\\S*", "")
-        after = F.regexp_replace(F.left(F.get(f"_{kind}_gaps", k + 1), F.lit(NEAR)), "\\S*$", "")
+        before = F.regexp_replace(F.right(F.get(f"_{kind}_gaps", k), F.lit(width)), "^\\S*", "")
+        after = F.regexp_replace(F.left(F.get(f"_{kind}_gaps", k + 1), F.lit(width)), "\\S*$", "")
         terms = F.array_distinct(_terms(F.concat(before, F.lit(" "), after)))
-        return F.struct(F.concat_ws(":", F.lit(kind), hit).alias("entity"), terms.alias("terms"), _valid(kind, hit).alias("ok"))
+        return F.struct(_entities(kind, hit).alias("entities"), terms.alias("terms"), _valid(kind, hit).alias("ok"))
 
     order = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(f"_{kind}_hits") - 1))
     return F.when(F.size(f"_{kind}_hits") > 0, F.transform(order, entity))
 
 
 def disclosing_terms(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame | None:
-    """(term, disclosure) of all terms at or above ``generalise``; None if no term comes near an entity often enough.
+    """(term, disclosure) of all terms at or above ``generalise`` with ``evidence`` enough; None if there is none near any entity.
 
-    Entities and terms are counted over all documents. Support is counted in
-    different texts, so copies of one text are no evidence.
+    Entities, their classes and terms are counted over all documents. Evidence is
+    counted in different texts, so copies of one text are none.
     """
     rows = with_base(docs.select(_text(text_col).alias("_t"), F.xxhash64(_text(text_col)).alias("key")), "_t")
-    near = [_near(kind) for kind in KINDS]
-    empty = F.array().cast("array<struct<entity: string, terms: array<string>, ok: boolean>>")
+    near = [_near(kind, settings.near) for kind in KINDS]
+    empty = F.array().cast("array<struct<entities: array<string>, terms: array<string>, ok: boolean>>")
     rows = rows.where(F.size("_base") > 0).select("key", F.concat(*[F.coalesce(n, empty) for n in near]).alias("near"))
     # One row for each different text, with the number of documents that have it.
     texts = rows.groupBy("key").agg(F.count("*").alias("docs"), F.first("near").alias("near"))
     found = cut_lineage(
-        texts.select("key", "docs", F.explode("near").alias("n")).where("n.ok").select("key", "docs", "n.entity", "n.terms"), "entities"
+        texts.select("key", "docs", F.explode("near").alias("n")).where("n.ok").select("key", "docs", F.explode("n.entities").alias("entity"), "n.terms"), "entities"
     )
     each = found.select("key", "docs", "entity", F.explode("terms").alias("term")).distinct()
     with_entity = found.select("key", "docs", "entity").distinct().groupBy("entity").agg(F.sum("docs").alias("with_entity"))
@@ -142,11 +160,16 @@ def disclosing_terms(docs: DataFrame, settings: Settings = Settings(), text_col:
         gained = F.log2(F.least(F.lit(1.0), F.col("both") / F.col(of))) + information
         return F.when(information > 0, gained / F.when(information > 0, information)).otherwise(0.0)
 
-    # A term is in at least as many documents as it is near an entity in: most pairs fall below the threshold
-    # by that alone, and the corpus is only searched for the terms of the others.
+    shown = F.col("texts") / (F.col("texts") + 1)
+
+    def enough(share: Column) -> Column:
+        return (share >= settings.generalise) & (share * shown >= settings.evidence)
+
+    # No share is above one, which leaves out the pairs of too few texts before anything is joined. And a term is in
+    # at least as many documents as it is near an entity in: most other pairs fall below the threshold by that
+    # alone, and the corpus is only searched for the terms of the rest.
     pairs = cut_lineage(
-        both.where(F.col("texts") >= settings.least_texts).join(with_entity, "entity").join(near_any, "term")
-        .where(disclosed("near_any") >= settings.generalise),
+        both.where(shown >= settings.evidence).join(with_entity, "entity").join(near_any, "term").where(enough(disclosed("near_any"))),
         "pairs",
     )
     terms = cut_lineage(pairs.select("term").distinct(), "terms")
@@ -156,34 +179,37 @@ def disclosing_terms(docs: DataFrame, settings: Settings = Settings(), text_col:
     with_term = seen.join(broadcast_counted(terms), "term").groupBy("term").agg(F.count("*").alias("with_term"))
     scored = pairs.join(with_term, "term")
     share = disclosed("with_term")
-    flagged = scored.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= settings.generalise)
+    flagged = scored.where(enough(share)).groupBy("term").agg(F.max(share).alias("disclosure"))
     return cut_lineage(flagged, "disclosing")
 
 
 def find(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, base, terms) for every row: places of pattern matches and of disclosing terms, as code points.
 
-    ``kind`` numbers ``KINDS``; a term has the next number. A null text is an
-    empty one. Repeated rows, also with a null id, are answered alike; other
+    ``kind`` numbers ``KINDS``; a term to generalise has the next number and one to
+    remove the one after. A null text is an empty one. Repeated rows, also with a null id, are answered alike; other
     columns are ignored. The base matches do not depend on the corpus.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("_t"))
     flagged = disclosing_terms(docs, settings, text_col)
     number = len(KINDS)
     if flagged is None:
-        rows = rows.withColumn("_terms", F.lit(None).cast("array<string>"))
+        rows = rows.withColumns({"_terms": F.lit(None).cast("array<string>"), "_strong": F.lit(None).cast("array<string>")})
     else:
         key = F.xxhash64("_t").alias("_key")
         words = rows.select(key, F.explode(once(F.array_distinct(_terms(F.col("_t"))))).alias("term"))
         # A text has each term once here, so the set per text is bounded by the text.
-        here = words.join(broadcast_counted(flagged.select("term")), "term").groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+        here = words.join(broadcast_counted(flagged), "term").groupBy("_key").agg(
+            F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when(F.col("disclosure") >= settings.remove, F.col("term"))).alias("_strong")
+        )
         here = broadcast_counted(cut_lineage(here, "here"), 20_000)
         rows = rows.withColumn("_key", key).join(here, "_key", "left").drop("_key")
     rows = with_base(rows, "_t")
     pattern = F.concat(F.lit("(?iu)(?<![\\p{L}])(?:"), F.array_join("_terms", "|"), F.lit(")(?![\\p{L}'-])"))
     rows = rows.withColumn("_pattern", F.coalesce(pattern, F.lit("(?!)")))
     rows = with_matches(rows, "_t", F.col("_pattern"), "_term", F.size("_terms") > 0)
-    spans = F.zip_with("_term_starts", "_term_hits", lambda s, h: F.struct(s.alias("start"), F.lit(number).alias("kind"), (s + F.char_length(h)).alias("end")))
+    kind_of = lambda h: F.when(F.coalesce(F.array_contains("_strong", F.lower(h)), F.lit(False)), number + 1).otherwise(number)
+    spans = F.zip_with("_term_starts", "_term_hits", lambda s, h: F.struct(s.alias("start"), kind_of(h).alias("kind"), (s + F.char_length(h)).alias("end")))
     return rows.select("doc_id", F.col("_base").alias("base"), spans.cast(SPANS).alias("terms"), *(["_t"] if keep_text else []))
 
 
@@ -193,14 +219,17 @@ def number_of(spans: str, kind: int) -> Column:
 
 def written(spans: Column) -> Column:
     """kind:start:end of every span, comma-joined, in order of start and kind."""
-    names = F.array(*[F.lit(k) for k in (*KINDS, TERM)])
+    names = F.array(*[F.lit(k) for k in (*KINDS, TERM, REMOVED)])
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
 def sanitised(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): matches become their kind in brackets, disclosing terms the word [TERM]; overlaps go to the earlier span."""
+    """(doc_id, text): matches become their kind in brackets, disclosing terms [TERM] or, from ``remove`` on, nothing.
+
+    Overlaps go to the earlier span.
+    """
     rows = find(docs, settings, id_col, text_col, keep_text=True)
-    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)])
+    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)], F.lit(""))
     spans = F.sort_array(F.concat("base", "terms"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(
