@@ -11,14 +11,17 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tomeweave import schemas
 from tomeweave.constants import SERIES_FOLDERS, SERIES_ONTOLOGY
-from tomeweave.functions.text import slugify
-from tomeweave.scale import broadcast_if_small, row_index
+from tomeweave.functions.text import is_blank, slugify
+from tomeweave.scale import broadcast_if_small, once, row_index
+from tomeweave.sources.named_files import write_files
 
 BOOK_FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -109,6 +112,21 @@ def book_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
     )
 
 
+def book_listing(spark: SparkSession, folder: str, nested: bool = False) -> DataFrame:
+    """The ``.epub`` files of exactly one level: ``folder/*.epub``, or with ``nested`` ``folder/*/*.epub`` and no other.
+
+    An absent folder, and one without such files, has none.
+    """
+    pattern = f"{folder.rstrip('/')}/{'*/' if nested else ''}*.epub"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(target)
+    if found is None or not any(status.isFile() for status in found):
+        return spark.createDataFrame([], BOOK_FILES)
+    return spark.read.format("binaryFile").load(pattern)
+
+
 def series_files(spark: SparkSession, root: str, series: str) -> DataFrame:
     """All books of a series below its folder."""
     folder = SERIES_FOLDERS.get(series.lower())
@@ -140,6 +158,59 @@ def books(files: DataFrame, nested: bool = False) -> DataFrame:
     return files.select("path", name.alias("book_name"), extract("content").alias("text"))
 
 
+_KINDS = {"path": T.StringType(), "at": T.IntegerType(), "entry": T.StringType(), "html": T.BinaryType(), "error": T.StringType()}
+ENTRY = T.StructType([T.StructField(name, kind) for name, kind in _KINDS.items()])
+
+
+def book_entries(files: DataFrame) -> DataFrame:
+    """(path, at, entry, html, error): the documents of every archive as rows, in reading order.
+
+    An archive is opened once and gives its documents one by one, so what follows
+    can be spread over tasks however large one book is. One that cannot be opened, and a
+    document that cannot be read, is a row with the error instead.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for row in _entries(path, content.as_buffer()):
+                    yield pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(ENTRY))
+
+    return files.select("path", "content").mapInArrow(run, ENTRY)
+
+
+def _entries(path: str, content) -> Iterator[dict]:
+    row = {"path": path, "at": None, "entry": None, "html": None, "error": None}
+    try:
+        book = zipfile.ZipFile(pa.BufferReader(content))
+        names = _document_names(book)
+    except Exception as error:
+        yield row | {"error": f"{type(error).__name__}: {error}"}
+        return
+    for at, name in enumerate(names):
+        try:
+            yield row | {"at": at, "entry": name, "html": book.read(name)}
+        except Exception as error:
+            yield row | {"at": at, "entry": name, "error": f"{type(error).__name__}: {error}"}
+
+
+def entry_texts(entries: DataFrame) -> DataFrame:
+    """(path, at, entry, text): visible text of every document that could be read."""
+
+    @F.pandas_udf(T.StringType())
+    def visible(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in pages:
+            yield batch.map(lambda html: page_text(bytes(html).decode("utf-8", "replace")))
+
+    good = entries.where(F.col("error").isNull())
+    return good.repartition("path", "at").select("path", "at", "entry", visible("html").alias("text"))
+
+
+def rejected(entries: DataFrame) -> DataFrame:
+    """(path, entry, error) of archives and documents that could not be read."""
+    return entries.where(F.col("error").isNotNull()).select("path", "entry", "error")
+
+
 def unreadable(found: DataFrame) -> DataFrame:
     """(path, book_name) of books whose archive could not be read."""
     return found.where(F.col("text").isNull()).select("path", "book_name")
@@ -167,6 +238,40 @@ def write_sections(sections: DataFrame, folder: str) -> None:
     sections.write.mode("overwrite").partitionBy("series").json(folder)
 
 
+def write_section_files(sections: DataFrame, folder: str, context_window: int, safety_margin: float) -> None:
+    """A text file and a metadata file for every section that is not blank, all or none of them.
+
+    ``sections`` are rows of ``packing.sections``; the metadata has what a row of the
+    ``graph_chunks`` table needs.
+    """
+    kept = sections.where(~is_blank(F.col("text_content")))
+    meta = F.to_json(
+        F.struct(
+            "chunk_id", "series", "text_content", "token_count", "character_count", F.lit(context_window).cast("bigint").alias("context_window_used"),
+            F.lit(safety_margin).alias("safety_margin"), "included_books", F.current_timestamp().alias("created_at"),
+        )
+    )
+    file = lambda suffix, text: F.struct(F.concat("chunk_id", F.lit(suffix)).alias("name"), F.encode(text, "UTF-8").alias("content"))
+    both = F.array(file(".txt", F.col("text_content")), file(".meta.json", meta))
+    write_files(kept.select(F.explode(once(both)).alias("f")).select("f.name", "f.content"), folder)
+
+
+def section_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
+    """Rows of ``graph_chunks`` from section files, with ``status``: ``ok``, or what is missing or differs.
+
+    The text is that of the text file where there is one.
+    """
+    texts = section_texts(spark, folder, prefix).select(F.col("section_id").alias("chunk_id"), F.col("text").alias("_text"))
+    shape = T.StructType([f for f in schemas.struct_of("graph_chunks").fields if f.name != "updated_at"])
+    meta = spark.read.schema(shape).option("multiLine", True).option("pathGlobFilter", f"{prefix}_section_*.meta.json").json(folder)
+    joined = meta.join(texts, "chunk_id", "full_outer")
+    status = (
+        F.when(F.col("_text").isNull(), "no text file").when(F.col("series").isNull(), "no metadata file")
+        .when(F.col("_text") != F.col("text_content"), "texts differ").otherwise("ok")
+    )
+    return joined.withColumn("status", status).withColumn("text_content", F.coalesce("_text", "text_content")).drop("_text")
+
+
 def extracts(spark: SparkSession, folder: str) -> DataFrame:
     """Extraction result files, one row per file, with ``file_name`` and ``section_id``."""
     rows = spark.read.schema(T.StructType.fromDDL(schemas.EXTRACTION_FILE)).option("multiLine", True).option(
