@@ -27,10 +27,13 @@ def error_class(message: Column) -> Column:
     )
 
 
-def backoff_seconds(kind: Column, attempt: Column) -> Column:
-    """Doubling delay; never below the floor after a rate limit."""
-    delay = F.lit(EMBED_BACKOFF_SECONDS) * F.pow(F.lit(2.0), attempt - 1)
-    return F.when(kind == "rate_limit", F.greatest(delay, F.lit(RATE_LIMIT_FLOOR_SECONDS))).otherwise(delay)
+def backoff_seconds(
+    kind: Column, attempt: Column, base: float = EMBED_BACKOFF_SECONDS, least: float = 0.0, most: float | None = None, floor: float = RATE_LIMIT_FLOOR_SECONDS
+) -> Column:
+    """Doubling delay between ``least`` and ``most``; never below ``floor`` after a rate limit."""
+    delay = F.lit(base) * F.pow(F.lit(2.0), attempt - 1)
+    delay = F.greatest(F.lit(least), delay if most is None else F.least(F.lit(most), delay))
+    return F.when(kind == "rate_limit", F.greatest(delay, F.lit(floor))).otherwise(delay)
 
 
 def safe_limit(window: int, margin: float) -> int:

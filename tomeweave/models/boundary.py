@@ -76,9 +76,12 @@ def error_kind(message: str) -> str:
     return "transient" if any(m in text for m in TRANSIENT_MARKS) else "other"
 
 
-def retry_delay(attempt: int, kind: str, base: float = EMBED_BACKOFF_SECONDS) -> float:
-    delay = base * 2 ** (attempt - 1)
-    return max(delay, RATE_LIMIT_FLOOR_SECONDS) if kind == "rate_limit" else delay
+def retry_delay(
+    attempt: int, kind: str, base: float = EMBED_BACKOFF_SECONDS, least: float = 0.0, most: float = float("inf"), floor: float = RATE_LIMIT_FLOOR_SECONDS
+) -> float:
+    """Doubling delay between ``least`` and ``most``; never below ``floor`` after a rate limit."""
+    delay = max(least, min(most, base * 2 ** (attempt - 1)))
+    return max(delay, floor) if kind == "rate_limit" else delay
 
 
 @dataclass
@@ -88,6 +91,9 @@ class Retry:
     attempts: int = EMBED_RETRIES
     base: float = EMBED_BACKOFF_SECONDS
     sleep: Callable[[float], None] = time.sleep
+    least: float = 0.0
+    most: float = float("inf")
+    floor: float = RATE_LIMIT_FLOOR_SECONDS
 
     def __call__(self, call: Callable[[], Any]) -> Any:
         for attempt in range(1, self.attempts + 1):
@@ -96,13 +102,13 @@ class Retry:
             except Exception as error:
                 if attempt == self.attempts:
                     raise
-                self.sleep(retry_delay(attempt, error_kind(str(error)), self.base))
+                self.sleep(retry_delay(attempt, error_kind(str(error)), self.base, self.least, self.most, self.floor))
 
 
 # Attempts and waits of the three callers: embedding, category pairs, evaluation pairs.
 EMBED_RETRY = Retry()
-CATEGORY_RETRY = Retry(attempts=5, base=2.0)
-EVALUATION_RETRY = Retry(attempts=3, base=2.0)
+CATEGORY_RETRY = Retry(attempts=5, base=2.0, least=10.0, most=120.0, floor=0.0)
+EVALUATION_RETRY = Retry(attempts=3, base=2.0, least=4.0, most=60.0, floor=0.0)
 
 
 @dataclass

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomeweave.constants import PROPOSAL_TYPES
 from tomeweave.scale import broadcast_if_small, once
 from tomeweave.session import cut_lineage
 
@@ -56,6 +58,30 @@ def tally_proposals(proposals: DataFrame) -> DataFrame:
     )
 
 
+def extraction_faults(extracts: DataFrame, *carry: str) -> DataFrame:
+    """(carry, part, position, fault): what breaks the rules of an extraction result, a row for each fault.
+
+    Entities and relationships need their names and a confidence, if one is given, from 0 to 1;
+    proposals a known type and a confidence from 0 to 1.
+    """
+    outside = lambda score: ~F.coalesce(score.between(0.0, 1.0), F.lit(False))
+    missing = lambda item, names: [F.when(F.coalesce(F.length(item[n]), F.lit(0)) < 1, n) for n in names]
+    given = lambda item: F.when(item["confidence"].isNotNull() & outside(item["confidence"]["score"]), "score")
+    rules = {
+        "entities": lambda e: [*missing(e, ("id", "type", "name")), given(e)],
+        "relationships": lambda r: [*missing(r, ("source_id", "target_id", "type")), given(r)],
+        "schema_proposals": lambda p: [
+            F.when(~F.coalesce(p["proposal_type"].isin(PROPOSAL_TYPES), F.lit(False)), "proposal_type"), F.when(outside(p["confidence"]), "confidence"),
+        ],
+    }
+    found = []
+    for part, rule in rules.items():
+        items = extracts.select(*carry, F.posexplode(once(F.col(part))).alias("position", "_i"))
+        faults = F.array_compact(F.array(*rule(F.col("_i"))))
+        found.append(items.select(*carry, F.lit(part).alias("part"), "position", F.explode(once(faults)).alias("fault")))
+    return reduce(DataFrame.unionByName, found)
+
+
 # --------------------------------------------------------------------- merging
 def rename_canonical(name: Column, rules: Mapping[str, str]) -> Column:
     """Canonical name of an alias; names without a rule stay."""

@@ -98,6 +98,13 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: Sequence[str], right
     return numbered[0].join(numbered[1], "_at").drop("_at")
 
 
+def zip_all(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], position: str = "position") -> DataFrame:
+    """The same with the tail of the longer table: ``position`` and a ``status`` of ``both``, ``left`` or ``right``."""
+    numbered = [row_index(df, [], order, position).withColumn(mark, F.lit(True)) for df, order, mark in ((left, left_order, "_l"), (right, right_order, "_r"))]
+    status = F.when(F.col("_l").isNull(), "right").when(F.col("_r").isNull(), "left").otherwise("both")
+    return numbered[0].join(numbered[1], position, "full_outer").withColumn("status", status).drop("_l", "_r")
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

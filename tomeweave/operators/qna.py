@@ -280,17 +280,30 @@ def until_abort(runs: DataFrame, group: Sequence[str], order: Sequence[str], fai
     return seen.where(F.col("failures") - flag < limit)
 
 
-def progress(runs: DataFrame, group: Sequence[str], order: Sequence[str], failed: Column, pairs: Column) -> DataFrame:
-    """Counters of a resumable run: processed, failed, pairs and the last processed batch."""
+def progress(runs: DataFrame, group: Sequence[str], order: Sequence[str], failed: Column, pairs: Column, at: Column | None = None) -> DataFrame:
+    """Counters of a resumable run: processed, failed, pairs and the last processed batch.
+
+    With the time of each batch also when the run began and when it was last heard of. The
+    failed batches themselves are rows, see ``failed_batches``.
+    """
+    times = [] if at is None else [F.min(at).alias("started_at"), F.max(at).alias("updated_at")]
     return runs.groupBy(*group).agg(
         F.count("*").alias("total_batches"),
         F.count_if(~failed).alias("processed_batches"),
         F.count_if(failed).alias("failed_batches"),
         F.sum(F.when(~failed, pairs).otherwise(0)).cast("bigint").alias("total_qa_pairs"),
         F.max(F.when(~failed, F.col(order[0]))).alias("last_processed"),
+        *times,
     )
 
 
+def failed_batches(runs: DataFrame, group: Sequence[str], batch: str, failed: Column, at: Column) -> DataFrame:
+    """(group, batch, attempts, last_failed_at) of batches that failed and have not succeeded since."""
+    last = F.max(F.struct(at.alias("at"), failed.alias("failed")))
+    rows = runs.groupBy(*group, batch).agg(F.count_if(failed).alias("attempts"), last.alias("_l"), F.max(F.when(failed, at)).alias("last_failed_at"))
+    return rows.where("_l.failed").drop("_l")
+
+
 def effective_book(meta_book: Column, own_book: Column) -> Column:
     """The book named in the metadata, else the chunk's own field."""
     return or_default(meta_book, own_book)
