@@ -112,3 +112,50 @@ def test_ids_of_unlike_texts_do_not_join_groups(spark):
     df = spark.createDataFrame([(1, a), (1, b), (5, a), (6, b)], "doc_id bigint, text string")
     rows = simhash.near_duplicates(df).collect()
     assert {r.component_id for r in rows} == {1} and len({r.group_fp for r in rows}) == 2
+
+
+def jaccard(a, b, size=5):
+    sets = []
+    for t in (a, b):
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_similar_groups_are_those_of_exact_similarity(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"v{k}" for k in range(600)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 80, 200]))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.choice([1, 1, 2, 3, 8])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["", None, " \n", "one two", "One two", "one two three", texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    for tile in (20, 100_000):
+        got = {r.id: r.group for r in simhash.similar_groups(df, "id", tile_rows=tile).collect()}
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+        assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+        root = list(range(len(texts)))
+        for i, j in pairs:
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+        # Nothing is put together that exact similarity does not connect.
+        assert all(root[i] == root[g] for i, g in got.items()) and len(got) == len(texts)
+
+
+def test_pairs_of_a_large_group_are_a_forest():
+    fps = np.unique(near_numbers(900, 11))
+    found = simhash.pairs_of(fps, None, 13, 64)
+    assert len(found) < len(fps) and all((int(fps[a]) ^ int(fps[b])).bit_count() <= 13 for a, b in found)
+    want = plain_components([int(x) for x in fps], 13)
+    forest = simhash.Forest(len(fps))
+    for a, b in found:
+        forest.join(np.array([a]), np.array([b]))
+    assert forest.roots(np.arange(len(fps))).tolist() == want

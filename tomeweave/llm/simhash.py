@@ -17,16 +17,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm.base import map_batches, pieces, text_bytes
+from tomeweave.llm.base import ascii_lower, map_batches, pieces, text_bytes
 from tomeweave.operators.graph import components
 from tomeweave.session import cut_lineage
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
+STAGE_WORDS, SIMILARITY, STAGE_RADIUS = 5, 0.8, 13  # of near-duplicate texts, decided exactly
+SPACE, SPACE_CLASS = " \t\n\x0b\x0c\r", "\\x20\\x09-\\x0D"
 TILE_ROWS = 131_072
 BLOCK_ROWS = 512
 PIECE_BYTES = 1 << 20
@@ -91,35 +93,37 @@ class Forest:
                 return found
             found = above
 
-    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+    def join(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Link rows pairwise; returns those pairs that joined two trees."""
         a, b = self.roots(left), self.roots(right)
-        differ = a != b
-        if not differ.any():
-            return
-        for x, y in np.unique(np.stack([a[differ], b[differ]], 1), axis=0).tolist():
+        differ = np.flatnonzero(a != b)
+        if not len(differ):
+            return []
+        joined = []
+        trees, first = np.unique(np.stack([a[differ], b[differ]], 1), axis=0, return_index=True)
+        for (x, y), at in zip(trees.tolist(), differ[first].tolist(), strict=True):
             while self.parent[x] != x:
                 x = int(self.parent[x])
             while self.parent[y] != y:
                 y = int(self.parent[y])
             if x != y:
                 self.parent[max(x, y)] = min(x, y)
+                joined.append((int(left[at]), int(right[at])))
         touched = np.concatenate([left, right])
         self.parent[touched] = self.roots(touched)
+        return joined
 
 
 def quarter_counts(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
-def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, root) of a spanning forest over the links of one tile, or of one tile with another.
-
-    Rows of ``right`` are numbered after those of ``left``.
-    """
+def _link_blocks(forest: Forest, left: np.ndarray, right: np.ndarray | None, radius: int, block: int, levels: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Join all rows within ``radius``, in each pair of blocks those within smaller ``levels`` first; the pairs that joined trees."""
     same = right is None
+    joined: list[tuple[int, int]] = []
     every = left if same else np.concatenate([left, right])
     sides = [(0, len(left)), (0, len(left)) if same else (len(left), len(every))]
-    forest = Forest(len(every))
     counts = quarter_counts(every)
     blocks = []
     for first, last in sides:
@@ -135,22 +139,47 @@ def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS,
         gap = np.maximum(0, np.maximum(low_b[start:] - high_a[i], low_a[i] - high_b[start:])).sum(1)
         mine = every[rows]
         for j in (start + np.flatnonzero(gap <= radius)).tolist():
-            near = np.bitwise_count(mine[:, None] ^ every[cut_b[j]][None, :]) <= radius
-            x, y = np.nonzero(near)
-            if not same or i != j or len(x) > len(rows):
-                forest.join(rows[x], cut_b[j][y])
-    roots = forest.roots(np.arange(len(every)))
-    linked = np.flatnonzero(roots != np.arange(len(every)))
+            bits = np.bitwise_count(mine[:, None] ^ every[cut_b[j]][None, :])
+            x, y = np.nonzero(bits <= radius)
+            if same and i == j and len(x) <= len(rows):
+                continue
+            far = bits[x, y] if len(levels) > 1 else None
+            for level in levels:
+                at = slice(None) if far is None else far <= level
+                joined += forest.join(rows[x[at]], cut_b[j][y[at]])
+    return joined
+
+
+def pairs_of(left: np.ndarray, right: np.ndarray | None, radius: int, block: int = BLOCK_ROWS) -> list[tuple[int, int]]:
+    """Linked pairs of rows that make a spanning forest, nearer pairs preferred: first all within ``RADIUS``, then the others."""
+    forest = Forest(len(left) if right is None else len(left) + len(right))
+    found = _link_blocks(forest, left, right, min(RADIUS, radius), block, (min(RADIUS, radius),))
+    if radius > RADIUS:
+        found += _link_blocks(forest, left, right, radius, block, tuple(range(RADIUS + 2, radius, 2)) + (radius,))
+    return found
+
+
+def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, root) of a spanning forest over the links of one tile, or of one tile with another.
+
+    Rows of ``right`` are numbered after those of ``left``.
+    """
+    forest = Forest(len(left) if right is None else len(left) + len(right))
+    _link_blocks(forest, left, right, radius, block, (radius,))
+    every = np.arange(len(forest.parent))
+    roots = forest.roots(every)
+    linked = np.flatnonzero(roots != every)
     return linked, roots[linked]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, as_pairs: bool = False) -> DataFrame:
     """(src, dst) edges whose components are those of all links between distinct fingerprints.
 
     ``nodes`` is a written table (node, fp) with each fingerprint once. What
     reaches the driver are the 65 numbers of fingerprints by population count;
     they give the number of tiles of each count. A tile number is a hash of the
-    fingerprint, so a lost task makes the same tiles again.
+    fingerprint, so a lost task makes the same tiles again. With ``as_pairs`` every
+    edge is a link itself, for which ``pairs_of`` prefers near fingerprints.
     """
     size = dict(nodes.groupBy(F.bit_count("fp").cast("int")).count().collect())
     if not size:
@@ -186,6 +215,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
         itself = frame["pa"].iat[0] == frame["pb"].iat[0] and frame["ta"].iat[0] == frame["tb"].iat[0]
         if not len(left) or not (itself or len(right)):
             return pd.DataFrame({"src": ids[:0], "dst": ids[:0]})
+        if as_pairs:
+            found = np.array(pairs_of(left, None if itself else right, radius), np.int64).reshape(-1, 2)
+            return pd.DataFrame({"src": ids[found[:, 0]], "dst": ids[found[:, 1]]})
         rows, roots = forest_of(left, None if itself else right, radius)
         return pd.DataFrame({"src": ids[rows], "dst": ids[roots]})
 
@@ -215,3 +247,46 @@ def near_duplicates(
     least = placed.groupBy("group_fp").agg(F.min("first").alias("component_id"))
     classes = placed.join(least, "group_fp").select("fp", "group_fp", "component_id")
     return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id", "group_fp")
+
+
+# ------------------------------------------------------- groups of similar texts
+def _shingles(text: Column, size: int) -> Column:
+    """Distinct hashes of a text's shingles of ``size`` words; all words are one where there are fewer."""
+    trimmed = F.btrim(ascii_lower(text), F.lit(SPACE))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
+    run = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1))
+    return F.when(F.size(words) > 0, F.array_distinct(F.transform(run, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = STAGE_WORDS,
+    radius: int = STAGE_RADIUS, tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """(id, group): rows whose texts are near-duplicates by the exact Jaccard similarity of their shingles, in classes.
+
+    ``id_col`` must be unique; ``group`` is the smallest id of the class. Fingerprints within
+    ``radius`` bits propose links, as a spanning forest in which near fingerprints
+    come first, so a group of m texts proposes about m pairs and not m squared. Every
+    proposal is then decided by the exact similarity of the two texts. Equal texts are
+    one node; texts without words are all equal, null ones too. Texts whose fingerprints are
+    farther apart than ``radius`` are not compared: the README has the share of pairs that this misses.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, size).join(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha")), "doc_id"), "fingerprints")
+    nodes = cut_lineage(rows.groupBy("sha", "fp").agg(F.min("doc_id").alias("node")), "texts")
+    prints = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
+    proposed = links(prints, radius, tile_rows, as_pairs=True)
+    # Texts of one fingerprint are proposed to its first one.
+    equal = nodes.join(prints.withColumnRenamed("node", "dst"), "fp").where(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
+    proposed = cut_lineage(proposed.select("src", "dst").unionByName(equal).distinct(), "proposed")
+    asked = proposed.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = cut_lineage(docs.select(F.col(id_col).alias("node"), text.alias("_text")).join(asked, "node").select("node", _shingles(F.col("_text"), size).alias("s")), "shingles")
+    both = proposed.join(sets.withColumnsRenamed({"node": "src", "s": "a"}), "src").join(sets.withColumnsRenamed({"node": "dst", "s": "b"}), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    every = F.size("a") + F.size("b") - shared
+    kept = both.where((every == 0) | (shared >= similarity * every)).select("src", "dst")
+    classes = components(cut_lineage(kept, "similar"))
+    placed = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("sha", F.coalesce("component", "node").alias("group"))
+    return rows.select("doc_id", "sha").join(placed, "sha").select(F.col("doc_id").alias(id_col), "group")
