@@ -250,10 +250,16 @@ def near_duplicates(
 
 
 # ------------------------------------------------------- groups of similar texts
-def _shingles(text: Column, size: int) -> Column:
-    """Distinct hashes of a text's shingles of ``size`` words; all words are one where there are fewer."""
+def _words(text: Column) -> Column:
     trimmed = F.btrim(ascii_lower(text), F.lit(SPACE))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
+
+
+def _shingles(words: str, size: int) -> Column:
+    """Distinct hashes of the shingles of ``size`` words; all words are one where there are fewer.
+
+    ``words`` must be a column of its own: within the lambda an expression would be computed for every shingle.
+    """
     run = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1))
     return F.when(F.size(words) > 0, F.array_distinct(F.transform(run, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))))).otherwise(
         F.array().cast("array<bigint>")
@@ -282,7 +288,8 @@ def similar_groups(
     equal = nodes.join(prints.withColumnRenamed("node", "dst"), "fp").where(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
     proposed = cut_lineage(proposed.select("src", "dst").unionByName(equal).distinct(), "proposed")
     asked = proposed.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = cut_lineage(docs.select(F.col(id_col).alias("node"), text.alias("_text")).join(asked, "node").select("node", _shingles(F.col("_text"), size).alias("s")), "shingles")
+    texts = docs.select(F.col(id_col).alias("node"), text.alias("_text")).join(asked, "node").select("node", _words(F.col("_text")).alias("_w"))
+    sets = cut_lineage(texts.select("node", _shingles("_w", size).alias("s")), "shingles")
     both = proposed.join(sets.withColumnsRenamed({"node": "src", "s": "a"}), "src").join(sets.withColumnsRenamed({"node": "dst", "s": "b"}), "dst")
     shared = F.size(F.array_intersect("a", "b"))
     every = F.size("a") + F.size("b") - shared
