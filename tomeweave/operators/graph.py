@@ -224,40 +224,36 @@ def coverage(sections: DataFrame, processed: DataFrame, book: str, section: str)
 def components(edges_df: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest vertex id each vertex is connected to.
 
-    Alternating large-star and small-star rounds on the edge list: every round
-    links vertices to the smallest neighbour seen, so chains shrink by halves.
-    The minimum per vertex is a map-side combined aggregate and is joined back by
-    vertex, never collecting a hub's neighbours. Lineage is cut every round.
+    Every round points each vertex to the first of its neighbours and itself, and the
+    edges between what is pointed to are the next round's: vertices and edges that are
+    finished leave. First is the smallest in the first round, later the first in an order
+    that is new each round, so chains shrink by a share too. The first neighbour is a map-side
+    combined aggregate, never a hub's list. At the end the pointers are followed
+    back from the last round and the smallest id of each class is taken. Lineage is cut every round.
     """
-    typed = edges_df.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    # Self loops keep lone endpoints in the result.
-    every = typed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    pairs = cut_lineage(typed.where("a <> b").distinct(), "pairs")
-    last = None
-    for _ in range(max_rounds):
-        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # Large star: every larger neighbour of a vertex points to the vertex's minimum.
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # Small star: of the smaller neighbours, all point to the smallest one.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        floor = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            down.join(floor, "a")
-            .select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        pairs = cut_lineage(small, "pairs")
-        mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last:
+    pairs = cut_lineage(edges_df.select(F.col(src).alias("a"), F.col(dst).alias("b")), "pairs")
+    rounds = []
+    for turn in range(max_rounds):
+        rank = lambda v: F.struct(*([F.xxhash64(v, F.lit(turn)).alias("r")] if turn else []), F.col(v).alias("v"))  # noqa: B023, E731
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A vertex beside a null stands alone; a null has no component.
+        known = F.when(F.col("b").isNotNull(), rank("b"))
+        first = both.groupBy("a").agg(F.min(known).alias("m"))
+        up = F.when(F.col("a").isNotNull(), F.least("m", rank("a"))["v"])
+        rounds.append(cut_lineage(first.select(F.col("a").alias("id"), up.alias("up")), "pointers"))
+        ends = [rounds[-1].select(F.col("id").alias(end), F.col("up").alias(f"_{end}")) for end in ("a", "b")]
+        moved = pairs.join(ends[0], "a").join(ends[1], "b").where("_a <> _b")
+        pairs = cut_lineage(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "pairs")
+        if pairs.isEmpty():
             break
-        last = mark
     else:
         raise RuntimeError("components did not settle")
-    labels = pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return every.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    found = rounds.pop()
+    while rounds:
+        above = found.select(F.col("id").alias("up"), F.col("up").alias("_top"))
+        found = cut_lineage(rounds.pop().join(above, "up", "left").select("id", F.coalesce("_top", "up").alias("up")), "pointers")
+    least = found.groupBy("up").agg(F.min("id").alias("component"))
+    return found.join(least, "up", "left").select("id", "component")
 
 
 # --------------------------------------------------------------------- walking
