@@ -138,7 +138,8 @@ def reference(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text"
     totals = {ALL: every["w"] or 0} | {r["lang"]: r["w"] for r in top}
     short = F.filter(_words(F.col("t")), lambda w: F.char_length(w) <= limits.common_length)
     counts = rows.select("lang", F.explode(once(short)).alias("w")).groupBy("lang", "w").count()
-    counts = counts.where(F.col("w").rlike("^\\p{L}+$"))
+    # Both uses below would split every text anew.
+    counts = cut_lineage(counts.where(F.col("w").rlike("^\\p{L}+$")), "short-words")
     named = counts.where(F.col("lang").isin([r["lang"] for r in top]))
     both = named.unionByName(counts.groupBy("w").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(ALL)))
     place = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
