@@ -159,3 +159,42 @@ def test_pairs_of_a_large_group_are_a_forest():
     for a, b in found:
         forest.join(np.array([a]), np.array([b]))
     assert forest.roots(np.arange(len(fps))).tolist() == want
+
+
+def test_similar_groups_miss_no_pair(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"v{k}" for k in range(2_000)]
+    common = [rng.choice(words) for _ in range(12)]
+    base = [rng.choice(words) for _ in range(24)]
+    texts = []
+    for _ in range(120):
+        # Short texts whose fingerprints lie far apart, many with one passage, at just the similarity or just below.
+        own = [rng.choice(words) for _ in range(rng.choice([4, 9, 14, 24]))] + (common if rng.random() < 0.5 else [])
+        for cut in (0, 1, 2, 3):
+            texts.append(" ".join(own[cut:]))
+    texts += [" ".join(base[:k]) for k in range(8, 25)] + ["", None, "\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    root = list(range(len(texts)))
+    for i, j in pairs:
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if r == old else r for r in root]
+    prints = [plain_fingerprint(t, 5) for t in texts]
+    assert any((prints[i] ^ prints[j]).bit_count() > 13 for i, j in pairs)
+    got = {r.id: r.group for r in simhash.similar_groups(df, "id").collect()}
+    root = {i: min(j for j in range(len(texts)) if root[j] == root[i]) for i in range(len(texts))}
+    assert got == root
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    hashes = np.arange(0, 60, 3)
+    ranks = rng.permutation(len(hashes))
+    for _ in range(2_000):
+        a = np.unique(rng.integers(0, 60, rng.integers(1, 40)))
+        b = np.unique(np.concatenate([rng.permutation(a)[: rng.integers(1, len(a) + 1)], rng.integers(0, 60, rng.integers(0, 3))]))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            both = len(np.intersect1d(*(simhash.prefix_of(x, 0.8, hashes, ranks) for x in (a, b))))
+            assert both >= min(simhash._least(min(len(a), len(b))), len(np.intersect1d(a, b)))

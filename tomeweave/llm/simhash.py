@@ -11,24 +11,26 @@ themselves: a group of m copies leaves at most m - 1 edges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm.base import ascii_lower, map_batches, pieces, text_bytes
+from tomeweave.llm.base import broadcast_counted, map_batches, pieces, text_bytes
 from tomeweave.operators.graph import components
-from tomeweave.session import cut_lineage
+from tomeweave.session import cut_lineage, ship_package
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-STAGE_WORDS, SIMILARITY, STAGE_RADIUS = 5, 0.8, 13  # of near-duplicate texts, decided exactly
-SPACE, SPACE_CLASS = " \t\n\x0b\x0c\r", "\\x20\\x09-\\x0D"
+STAGE_WORDS, SIMILARITY = 5, 0.8  # of near-duplicate texts, decided exactly
+COUNTED, COMMON_LEAST, COMMON_ROWS = 1 << 21, 8, 100_000  # of shingles that are compared last
+LEAST, LEAST_PER = 3, 64  # shingles that prefixes share
 TILE_ROWS = 131_072
 BLOCK_ROWS = 512
 PIECE_BYTES = 1 << 20
@@ -250,36 +252,135 @@ def near_duplicates(
 
 
 # ------------------------------------------------------- groups of similar texts
-def _words(text: Column) -> Column:
-    trimmed = F.btrim(ascii_lower(text), F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
+def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of every text; texts without words all have the one set of zero."""
+    ends, raw = text_bytes(column)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        found = np.unique(np.array(shingle_hashes(raw[a:b].tobytes(), size), np.uint64)).view(np.int64)
+        yield found if len(found) else np.zeros(1, np.int64)
 
 
-def _shingles(words: str, size: int) -> Column:
-    """Distinct hashes of the shingles of ``size`` words; all words are one where there are fewer.
+def _common_shingles(docs: DataFrame, text: Column, size: int) -> dict[int, int]:
+    """Ranks of shingles that many texts have, the most common last: what ``similar_groups`` compares last.
 
-    ``words`` must be a column of its own: within the lambda an expression would be computed for every shingle.
+    Every text is read. A shingle counts where ``COMMON_LEAST`` of so many texts in a row as have
+    ``COUNTED`` shingles hold it, and the ``COMMON_ROWS`` highest counts come to the driver. Any ranks give the same groups.
     """
-    run = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1))
-    return F.when(F.size(words) > 0, F.array_distinct(F.transform(run, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " "))))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
+        for batch in batches:
+            for found in _sets(batch.column(0), size):
+                held.append(found)
+                total += len(found)
+                if total >= COUNTED:
+                    yield counted(held)
+                    held, total = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        many = times >= COMMON_LEAST
+        return pa.record_batch([pa.array(found[many]), pa.array(times[many].astype(np.int64))], ["h", "n"])
+
+    ship_package(docs.sparkSession)
+    each = docs.select(text.alias("text")).mapInArrow(count, "h bigint, n bigint")
+    top = each.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON_ROWS).collect()
+    return {row.h: rank for rank, row in enumerate(reversed(top))}
+
+
+def _least(n: int | Column) -> int | Column:
+    """How many shingles the prefixes of similar sets share at least, if the smaller set has ``n`` and the overlap is not less."""
+    return LEAST + n // LEAST_PER if isinstance(n, int) else F.lit(LEAST) + F.floor(n / LEAST_PER)
+
+
+def prefix_of(found: np.ndarray, similarity: float, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, common ones last: two sets of at least this similarity share ``_least`` of them.
+
+    Their overlap is at least ``similarity`` times the size of either, and the k-th shingle of
+    the overlap has all of it but k behind it, so a set may leave out all but k of that.
+    """
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        order = np.where(hashes[at] == found, ranks[at], -1)
+        found = found[np.argsort(order, kind="stable")]
+    return found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + _least(len(found))]
+
+
+def _postings(texts: DataFrame, similarity: float, size: int, common: dict[int, int]) -> DataFrame:
+    """(h, node, group, n): the prefix of every text of ``texts`` (node, group, text), and how many shingles it has."""
+    hashes = np.array(sorted(common), np.int64)
+    ranks = np.array([common[h] for h in hashes.tolist()], np.int64)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every = [(prefix_of(s, similarity, hashes, ranks), len(s)) for s in _sets(batch.column(2), size)]
+        counts = np.array([len(p) for p, _ in every])
+        rows = pa.array(np.repeat(np.arange(len(every)), counts))
+        sizes = np.repeat(np.array([n for _, n in every], np.int32), counts)
+        return pa.record_batch(
+            [pa.array(np.concatenate([p for p, _ in every])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes)],
+            ["h", "node", "group", "n"],
+        )
+
+    return map_batches(texts, work, "h bigint, node bigint, group bigint, n int")
+
+
+def _across(shared: DataFrame, similarity: float, star: bool) -> DataFrame:
+    """(src, dst): pairs of texts of different groups that may be of this similarity by their sizes and the postings they share.
+
+    All of them, or with ``star`` only pairs with the first text of a posting.
+    """
+    other = F.struct("group", "node", "n")
+    if star:
+        both = shared.join(shared.groupBy("h").agg(F.min(other).alias("o")), "h").where(F.col("group") != F.col("o.group"))
+    else:
+        both = shared.join(shared.select("h", other.alias("o")), "h").where(F.col("group") < F.col("o.group"))
+    fits = F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-6
+    pairs = both.where(fits).groupBy(F.col("node").alias("src"), F.col("o.node").alias("dst"), F.least("n", "o.n").alias("less"), F.greatest("n", "o.n").alias("more"))
+    enough = F.least(_least(F.col("less")), F.ceil(similarity * F.col("more") - 1e-6))
+    return pairs.agg(F.count("*").alias("hits")).where(F.col("hits") >= enough).select("src", "dst")
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Those of the written ``pairs`` whose texts have the similarity, exactly; ``texts`` is (node, text)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(0), pa.array(list(_sets(batch.column(1), size)), pa.list_(pa.int64()))], ["node", "s"])
+
+    asked = cut_lineage(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "asked")
+    sets = cut_lineage(map_batches(texts.join(broadcast_counted(asked), "node").select("node", "text"), work, "node bigint, s array<bigint>"), "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "src", "s": "a"}), "src").join(sets.withColumnsRenamed({"node": "dst", "s": "b"}), "dst")
+    overlap = F.size(F.array_intersect("a", "b"))
+    return both.where(overlap >= similarity * (F.size("a") + F.size("b") - overlap)).select("src", "dst")
+
+
+def _merged(known: DataFrame, found: DataFrame) -> DataFrame:
+    """``known`` (node, group) after the links of ``found`` have joined groups; a group is its smallest node."""
+    ends = [known.select(F.col("node").alias(end), F.col("group").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
+    moved = components(found.join(ends[0], "src").join(ends[1], "dst").select("a", "b"), "a", "b")
+    joined = known.join(moved.withColumnRenamed("id", "group"), "group", "left")
+    return cut_lineage(joined.select("node", F.coalesce("component", "group").alias("group")), "groups")
 
 
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = STAGE_WORDS,
-    radius: int = STAGE_RADIUS, tile_rows: int = TILE_ROWS,
+    radius: int = RADIUS, tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """(id, group): rows whose texts are near-duplicates by the exact Jaccard similarity of their shingles, in classes.
 
-    ``id_col`` must be unique; ``group`` is the smallest id of the class. Fingerprints within
-    ``radius`` bits propose links, as a spanning forest in which near fingerprints
-    come first, so a group of m texts proposes about m pairs and not m squared. Every
-    proposal is then decided by the exact similarity of the two texts. Equal texts are
-    one node; texts without words are all equal, null ones too. Texts whose fingerprints are
-    farther apart than ``radius`` are not compared: the README has the share of pairs that this misses.
+    ``id_col`` must be unique; ``group`` is the smallest id of the class. Classes are those of all pairs
+    of texts that reach the similarity. Equal texts are one node; texts without words are all equal, null ones too.
+
+    First, fingerprints within ``radius`` bits propose links as a spanning forest, each decided by the
+    exact similarity of its texts: this joins most near copies at about one comparison a text. What these
+    leave apart is found by prefixes: texts of the similarity share some of the first shingles of
+    their sets in any common order, here rarer ones first. Of these only pairs of texts in different groups are
+    compared, twice with the first text of each shingle, so that a large group is not all its pairs, then every pair left.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), text.alias("text"))
     rows = cut_lineage(fingerprints(docs, id_col, text_col, size).join(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha")), "doc_id"), "fingerprints")
     nodes = cut_lineage(rows.groupBy("sha", "fp").agg(F.min("doc_id").alias("node")), "texts")
     prints = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
@@ -287,13 +388,22 @@ def similar_groups(
     # Texts of one fingerprint are proposed to its first one.
     equal = nodes.join(prints.withColumnRenamed("node", "dst"), "fp").where(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
     proposed = cut_lineage(proposed.select("src", "dst").unionByName(equal).distinct(), "proposed")
-    asked = proposed.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).alias("node"), text.alias("_text")).join(asked, "node").select("node", _words(F.col("_text")).alias("_w"))
-    sets = cut_lineage(texts.select("node", _shingles("_w", size).alias("s")), "shingles")
-    both = proposed.join(sets.withColumnsRenamed({"node": "src", "s": "a"}), "src").join(sets.withColumnsRenamed({"node": "dst", "s": "b"}), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    every = F.size("a") + F.size("b") - shared
-    kept = both.where((every == 0) | (shared >= similarity * every)).select("src", "dst")
-    classes = components(cut_lineage(kept, "similar"))
-    placed = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("sha", F.coalesce("component", "node").alias("group"))
-    return rows.select("doc_id", "sha").join(placed, "sha").select(F.col("doc_id").alias(id_col), "group")
+    known = _merged(nodes.select("node", F.col("node").alias("group")), _similar(texts, proposed, similarity, size))
+
+    common = _common_shingles(docs, text, size)
+    held = _postings(texts.join(broadcast_counted(known), "node").select("node", "group", "text"), similarity, size, common)
+    same = Window.partitionBy("h")
+    ends = held.withColumns({"_low": F.min("group").over(same), "_high": F.max("group").over(same)})
+    shared = cut_lineage(ends.where("_low <> _high").drop("_low", "_high"), "shared-shingles")
+    star = 2
+    while star >= 0:
+        pairs = cut_lineage(_across(shared, similarity, star > 0), "proposed")
+        found = cut_lineage(_similar(texts, pairs, similarity, size), "similar")
+        some = not found.isEmpty()
+        if some:
+            known = _merged(known, found)
+        if some and star:
+            shared = cut_lineage(shared.drop("group").join(known, "node"), "shared-shingles")
+        # Where first texts bring nothing more, all pairs that are left are next.
+        star = star - 1 if some or not star else 0
+    return rows.select("doc_id", "sha").join(nodes.join(known, "node").select("sha", "group"), "sha").select(F.col("doc_id").alias(id_col), "group")
