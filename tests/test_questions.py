@@ -111,3 +111,22 @@ def test_very_many_quotes_of_any_length_in_one_scan(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 1  # the texts; the quotes come from a written table
     assert grounding.find_quotes(docs, asked.limit(0), "doc_id", "text", "quote_id", "quote").count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_terms_are_counted_without_a_shuffle(spark, tmp_path):
+    rows = [(1, "b a  A b c", "en"), (2, None, "en"), (3, "", "fr"), (4, "one", None), (None, "x y", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = retrieval.postings(docs, "doc_id", "text", 4)
+    assert exchanges(found) == 0
+    want = {(1, 5, "a", 2), (1, 5, "b", 2), (1, 5, "c", 1), (4, 1, "one", 1), (None, 2, "x", 1), (None, 2, "y", 1)}
+    assert {(r.doc_id, r.doc_length, r.term, r.tf) for r in found.collect()} == want
+    # Rows of one id and length are one document, others of this id are not.
+    again = docs.unionByName(docs).unionByName(spark.createDataFrame([(1, "a", "en")], docs.schema))
+    twice = retrieval.postings(again, "doc_id", "text", 4).collect()
+    assert {(r.doc_id, r.doc_length, r.term, r.tf) for r in twice} == {(i, n, t, 2 * k) for i, n, t, k in want} | {(1, 1, "a", 1)} and len(twice) == 7
+    index = fulltext.build(again, str(tmp_path / "index"), "doc_id", carry=("lang",))
+    assert (index.n_docs, round(index.mean_length * 6, 6)) == (6, 9.0)

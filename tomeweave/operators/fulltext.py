@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from tomeweave.constants import BM25_B, BM25_K1, DENSE_WEIGHT, RRF_K, SPARSE_WEIGHT, TOP_K
 from tomeweave.functions.text import terms
-from tomeweave.operators.retrieval import dense_search_batch, index_layout
-from tomeweave.scale import once
+from tomeweave.operators.retrieval import by_bucket, dense_search_batch, flat_terms, index_layout, repeated_ids, term_counts
 from tomeweave.session import cut_lineage, scratch_path
 
 DIGITS = 9  # scores are compared to so many decimals, so that the order of summing decides no tie
-HEADER = ""  # stands as the term of a row that a document has whatever its text is
 
 
 @dataclass(frozen=True)
@@ -43,21 +41,19 @@ def build(docs: DataFrame, path: str, id_col: str = "chunk_id", text_col: str =
     score before the term's weight, so that it needs not be computed per question.
     """
     spark = docs.sparkSession
-    raw = docs.select(id_col, *carry, terms(F.col(text_col)).alias("_t"))
-    each = F.concat(F.array(F.lit(HEADER)), F.coalesce("_t", F.array().cast("array<string>")))
-    length = F.coalesce(F.size("_t"), F.lit(0)).cast("bigint")
-    flat = raw.select(id_col, *carry, F.when(F.col("_t").isNotNull(), length).otherwise(0).alias("doc_length"), F.explode(once(each)).alias("term"))
-    counted = cut_lineage(flat.groupBy(id_col, *carry, "doc_length", "term").agg(F.count("*").alias("tf")), "postings")
-    n_docs, mean = counted.where(F.col("term") == HEADER).agg(F.count("*"), F.avg("doc_length")).first()
+    length = F.greatest(F.coalesce("doc_length", F.lit(0)), F.lit(0)).cast("bigint")
+    counted = cut_lineage(term_counts(docs, id_col, text_col, carry).withColumn("doc_length", length), "terms")
+    repeated = repeated_ids(counted, id_col)
+    sizes = counted.select(id_col, *carry, "doc_length")
+    n_docs, mean = (sizes if repeated is None else sizes.distinct()).agg(F.count("*"), F.avg("doc_length")).first()
     buckets, shards = index_layout(n_docs)
     norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("doc_length") / F.lit(mean or 1.0))
     tf = F.col("tf").cast("double")
-    placed = counted.where(F.col("term") != HEADER).withColumns({
-        "impact": tf * F.lit(BM25_K1 + 1) / (tf + norm),
-        "shard": F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"),
-        "term_bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"),
-    })
-    placed.repartition("term_bucket", "shard").sortWithinPartitions("term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
+    # What follows from the other columns is not shuffled.
+    bucket, shard = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
+    dealt = by_bucket(flat_terms(counted, repeated, id_col), bucket, shard, n_docs, buckets, shards)
+    placed = dealt.withColumns({"impact": tf * F.lit(BM25_K1 + 1) / (tf + norm), "shard": shard, "term_bucket": bucket})
+    placed.sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     stored.groupBy("term_bucket", "term").agg(F.count("*").alias("df"), F.max("impact").alias("top")).write.mode("overwrite").parquet(f"{path}/vocabulary")
     about = spark.range(1).select(F.lit(n_docs).cast("bigint").alias("n_docs"), F.lit(float(mean or 0.0)).alias("mean_length"), F.lit(shards).alias("shards"), F.lit(id_col).alias("id_col"))

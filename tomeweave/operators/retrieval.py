@@ -18,6 +18,7 @@ from tomeweave.scale import once, plan_blocks
 from tomeweave.session import cut_lineage, scratch_path
 
 QUERIES_PER_SCAN = 1_024
+DOCS_PER_TASK = 10_000  # when an index is written
 
 
 # ------------------------------------------------------------------- dense leg
@@ -227,6 +228,37 @@ def bm25_search(
     return found.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(top_k)
 
 
+def term_counts(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, carried columns, doc_length, terms): each row's own terms with their counts, in one array; nothing is shuffled."""
+    rows = docs.select(id_col, *carry, F.sort_array(terms(F.col(text_col))).alias("_t"))
+    # The last places of runs of equal terms.
+    last = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t"), F.lit(1))), lambda i: ~F.get("_t", i - 1).eqNullSafe(F.get("_t", i)))
+    rows = rows.select("*", F.when(F.size("_t") > 0, last).otherwise(F.array().cast("array<int>")).alias("_e"))
+    each = F.transform("_e", lambda e, k: F.struct(F.get("_t", e - 1).alias("term"), (e - F.coalesce(F.get("_e", k - 1), F.lit(0))).cast("bigint").alias("tf")))
+    return rows.select(id_col, *carry, F.size("_t").cast("bigint").alias("doc_length"), each.alias("terms"))
+
+
+def flat_terms(counted: DataFrame, repeated: DataFrame | None, id_col: str) -> DataFrame:
+    """(id, carried columns, doc_length, term, tf) of ``term_counts``; only rows whose id is ``repeated`` are shuffled, to be one."""
+    about = [c for c in counted.columns if c != "terms"]
+
+    def flat(rows: DataFrame) -> DataFrame:
+        return rows.select(*about, F.explode(once(F.col("terms"))).alias("_x")).select(*about, "_x.term", "_x.tf")
+
+    if repeated is None:
+        return flat(counted)
+    ids = repeated.select(F.col(id_col).alias("_id"))
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    folded = flat(counted.join(ids, same, "left_semi")).groupBy(*about, "term").agg(F.sum("tf").alias("tf"))
+    return flat(counted.join(ids, same, "left_anti")).unionByName(folded)
+
+
+def repeated_ids(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """Ids that several rows have, null too; None if there are none."""
+    found = cut_lineage(docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "repeated-ids")
+    return None if found.isEmpty() else found
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, buckets: int = 8) -> DataFrame:
     """(id, doc_length, term, tf, term_bucket, buckets): the inverted index as a table.
 
@@ -235,13 +267,8 @@ def postings(docs: DataFrame, id_col: str, text_col: str, buckets: int = 8) -> D
     Write it ``partitionBy("term_bucket")``: a search then reads only the folders
     of its terms and pushes the term filter into the Parquet scan.
     """
-    tokens = docs.select(id_col, terms(F.col(text_col)).alias("_t"))
-    flat = tokens.select(id_col, F.size("_t").cast("bigint").alias("doc_length"), F.explode(once(F.col("_t"))).alias("term"))
-    return (
-        flat.groupBy(id_col, "doc_length", "term")
-        .agg(F.count("*").alias("tf"))
-        .withColumns({"term_bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "buckets": F.lit(buckets)})
-    )
+    flat = flat_terms(term_counts(docs, id_col, text_col), repeated_ids(docs, id_col), id_col)
+    return flat.withColumns({"term_bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "buckets": F.lit(buckets)})
 
 
 def index_layout(n_docs: int) -> tuple[int, int]:
@@ -249,15 +276,22 @@ def index_layout(n_docs: int) -> tuple[int, int]:
     return min(max(n_docs // 1_000_000, 8), 4_096), min(max(n_docs // 50_000_000, 1), 64)
 
 
-def write_postings(index: DataFrame, label: str, shards: int = 1, path: str | None = None) -> DataFrame:
+def by_bucket(index: DataFrame, bucket: Column, shard: Column, n_docs: int, buckets: int, shards: int) -> DataFrame:
+    """Postings dealt by term bucket and shard, and each of these by term into tasks of some ``DOCS_PER_TASK`` documents' postings."""
+    slices = max(1, n_docs // DOCS_PER_TASK // (buckets * shards))
+    part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(slices))
+    return index.repartition(bucket, shard, part) if slices == 1 else index.repartition(buckets * shards * slices, bucket, shard, part)
+
+
+def write_postings(index: DataFrame, label: str, shards: int = 1, path: str | None = None, n_docs: int = 0, buckets: int = 8) -> DataFrame:
     """Store an index by term bucket and read it back; a scratch place unless ``path`` is given.
 
     Rows are spread by term bucket and document shard, so the files of a bucket
-    with a very common term are several instead of one.
+    with a very common term are several instead of one; with ``n_docs``, a bucket of many is written by several tasks.
     """
     spark = index.sparkSession
     target = path or scratch_path(spark, label)
-    spread = index.repartition("term_bucket", F.pmod(F.xxhash64(index.columns[0]), F.lit(shards)))
+    spread = by_bucket(index, F.col("term_bucket"), F.pmod(F.xxhash64(index.columns[0]), F.lit(shards)), n_docs, buckets, shards)
     spread.write.mode("overwrite").partitionBy("term_bucket").parquet(target)
     return spark.read.schema(index.schema).parquet(target)
 

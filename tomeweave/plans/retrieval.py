@@ -175,7 +175,7 @@ def bm25_postings(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     size = docs.select(F.size(retrieval.terms(F.col("text"))).alias("n")).agg(F.count("*"), F.avg("n")).first()
     buckets, shards = retrieval.index_layout(size[0])
-    index = retrieval.write_postings(retrieval.postings(docs, "doc_id", "text", buckets), "postings", shards)
+    index = retrieval.write_postings(retrieval.postings(docs, "doc_id", "text", buckets), "postings", shards, None, size[0], buckets)
     found = retrieval.search_postings(index, size[0], size[1], _query_text(spark, sf), "doc_id")
     return _rounded(found)
 
