@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeweave.operators import graph
+from tomeweave.session import cut_lineage
 from tomeweave.sources import files
 
 
@@ -127,3 +128,21 @@ def test_vertices_listed_in_many_places(spark):
     ontology = spark.createDataFrame([("knows", "person", "person"), ("eats", "person", "thing"), ("eats", "place", "thing")], "type string, source_type string, target_type string")
     got = sorted(tuple(r) for r in graph.nonconforming(edges, vertices, ontology).collect())
     assert got == [("a", "knows", "c", "person|place", "thing"), ("a", "knows", "gone", "person|place", None)]
+
+
+def test_finished_edges_leave_the_list(spark, monkeypatch):
+    written = []
+
+    def cut(df, label):
+        out = cut_lineage(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", cut)
+    # Stars, a chain whose ids rise, and ends that are null.
+    pairs = [(f"c{k % 20:02d}", f"o{k:04d}") for k in range(400)] + [(f"p{k:04d}", f"p{k + 1:04d}") for k in range(200)] + [("x", None), (None, "y"), ("z", "z")]
+    found = {r.id: r.component for r in graph.components(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    want = {f"o{k:04d}": f"c{k % 20:02d}" for k in range(400)} | {f"c{k:02d}": f"c{k:02d}" for k in range(20)}
+    assert found == want | {f"p{k:04d}": "p0000" for k in range(201)} | {"x": "x", "y": "y", "z": "z", None: None}
+    left = [n for label, n in written if label == "pairs"]
+    assert left[0] == len(pairs) and left[1] < 200 and left[-1] == 0 and len(left) < 30
