@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.functions.text import strip
-from tomeweave.session import cut_lineage
+
+# JSON as Spark writes it, in pieces: the colon and string of a field whose text may be an object, and whatever stands between these.
+# An object opens with a brace and a quote or another brace, which a failing parse of other text would find at a higher cost.
+_SPACE = r'(?:\x20|\\[tnr]|\\u00(?:09|20|0[aAdD]))*+'
+_OPENS = rf'"{_SPACE}\{{{_SPACE}(?:\\"|\}})'
+_REST = r'[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_PIECE = f'(?s):{_OPENS}{_REST}|(?:[^":]++|"{_REST}|:(?!{_OPENS}))++'
 
 
 def looks_like_object(text: Column) -> Column:
@@ -27,68 +33,22 @@ def parse_status(text: Column) -> Column:
     )
 
 
-
-def _quoted(name: Column) -> Column:
-    """A field's name as it stands in JSON; null for null."""
-    written = F.to_json(F.struct(name.alias("k")))
-    return F.when(name.isNotNull(), F.substring(written, F.lit(6), F.length(written) - 6))
-
-
-def _members(level: DataFrame, key: str) -> DataFrame:
-    """(key, path, kind, up, pos, name, value): the members of every object and array of a level."""
-    spark = level.sparkSession
-    found = level.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("pos", "name", "member")).where("pos is not null")
-    step = F.coalesce(F.concat(F.lit("."), _quoted(F.col("name"))), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-    return found.select(
-        key, F.concat("path", step).alias("path"), F.col("path").alias("up"), F.col("kind").alias("inside"), "pos", "name", F.col("member").alias("value"),
-    )
-
-
-def _kind(value: Column) -> Column:
-    shape = F.schema_of_variant(value)
-    return F.when(F.startswith(shape, F.lit("OBJECT")), "object").when(F.startswith(shape, F.lit("ARRAY")), "array").otherwise("value")
-
-
 def parse_nested(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value VARIANT, n_parsed): every object field that is a string holding an object becomes that object.
 
     Fields are looked for at any depth, in objects inside arrays too; a string that
     stands in an array itself, one that does not parse, and whatever is inside a
-    parsed string stay as they are. ``key`` must be unique, rows with a null value stay null.
+    parsed string stay as they are. Rows with a null value stay null.
 
-    The value is taken apart level by level, so its depth is the number of rounds
-    and not of the plan, and put together again from the deepest level up.
+    A row is written as JSON once and cut into strings and what stands between them. A string
+    behind a colon is a field's value at whatever depth, so nothing is taken apart level by
+    level, nothing is shuffled, and the plan does not grow with the depth.
     """
-    rows = df.select(key, F.col(value).alias("value")).where(F.col("value").isNotNull())
-    level = cut_lineage(rows.select(key, F.lit("$").alias("path"), _kind(F.col("value")).alias("kind"), "value"), "json-level")
-    levels = []
-    while not level.isEmpty():
-        text = F.try_variant_get("value", "$", "string")
-        members = _members(level.where("kind <> 'value'"), key)
-        tried = F.when((F.col("inside") == "object") & (_kind(F.col("value")) == "value") & F.startswith(F.to_json("value"), F.lit('"')), parsed_object(text))
-        members = members.withColumn("_new", tried)
-        members = members.select(
-            key, "path", "up", "inside", "pos", "name", F.coalesce("_new", "value").alias("value"), F.col("_new").isNotNull().alias("parsed"),
-        )
-        # What a string turned into is left as it is: it counts as a plain value from here on.
-        members = members.withColumn("kind", F.when(F.col("parsed"), "value").otherwise(_kind(F.col("value"))))
-        levels.append(cut_lineage(members, "json-level"))
-        level = levels[-1].select(key, "path", "kind", "value")
-    done = None
-    for members in reversed(levels):
-        own = members.select(key, "path", "up", "inside", "pos", "name", F.to_json("value").alias("_own"), F.col("parsed").cast("int").alias("_n"))
-        if done is not None:
-            # An empty object or array has no members; it stays as it is written.
-            own = own.join(done, [key, "path"], "left").withColumns({"_own": F.coalesce("_text", "_own"), "_n": F.col("_n") + F.coalesce("_more", F.lit(0))})
-        part = F.when(F.col("inside") == "object", F.concat(_quoted(F.col("name")), F.lit(":"), F.col("_own"))).otherwise(F.col("_own"))
-        # The members of one value: as many as it has, in their own order.
-        listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("t")))), lambda s: s["t"])
-        grouped = own.groupBy(key, F.col("up").alias("path"), "inside").agg(F.array_join(listed, ",").alias("_parts"), F.sum("_n").cast("int").alias("_more"))
-        text = F.when(F.col("inside") == "object", F.concat(F.lit("{"), "_parts", F.lit("}"))).otherwise(F.concat(F.lit("["), "_parts", F.lit("]")))
-        done = cut_lineage(grouped.select(key, "path", text.alias("_text"), "_more"), "json-text")
-    if done is None:
-        return df.select(key, F.col(value).alias("value"), F.lit(0).alias("n_parsed"))
-    whole = done.where(F.col("path") == "$").select(key, "_text", "_more")
-    return df.select(key, F.col(value).alias("value")).join(whole, key, "left").select(
-        key, F.coalesce(F.parse_json("_text"), "value").alias("value"), F.coalesce("_more", F.lit(0)).alias("n_parsed")
-    )
+    pieces = F.regexp_extract_all(F.to_json("value"), F.lit(_PIECE), F.lit(0))
+    # A field's string that parses is an object, as nothing else opens like one.
+    text = lambda p: F.when(F.startswith(p, F.lit(":")), F.get_json_object(F.concat(F.lit('{"v"'), p, F.lit("}")), "$.v"))
+    read = F.transform("_pieces", lambda p: F.struct(p.alias("p"), F.to_json(F.try_parse_json(text(p))).alias("new")))
+    rows = df.select(key, F.col(value).alias("value")).withColumn("_pieces", pieces).withColumn("_read", read)
+    rows = rows.withColumn("n_parsed", F.coalesce(F.size(F.filter("_read", lambda r: r["new"].isNotNull())), F.lit(0)))
+    whole = F.array_join(F.transform("_read", lambda r: F.coalesce(F.concat(F.lit(":"), r["new"]), r["p"])), "")
+    return rows.select(key, F.when(F.col("n_parsed") > 0, F.parse_json(whole)).otherwise(F.col("value")).alias("value"), "n_parsed")
