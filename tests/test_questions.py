@@ -130,3 +130,19 @@ def test_terms_are_counted_without_a_shuffle(spark, tmp_path):
     assert {(r.doc_id, r.doc_length, r.term, r.tf) for r in twice} == {(i, n, t, 2 * k) for i, n, t, k in want} | {(1, 1, "a", 1)} and len(twice) == 7
     index = fulltext.build(again, str(tmp_path / "index"), "doc_id", carry=("lang",))
     assert (index.n_docs, round(index.mean_length * 6, 6)) == (6, 9.0)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_aliases_that_nobody_says_are_dropped_where_they_are_read(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(questions, "broadcast_counted", lambda written: written)
+    aliases = spark.range(3000).selectExpr("if(id % 50 = 0, null, concat('e', id % 700)) as entity", "concat(' Name  ', id % 400, if(id % 2 = 0, ' ', '')) as alias")
+    aliases = aliases.unionByName(spark.createDataFrame([("e1", None), ("e2", " "), (None, "name 7")], aliases.schema))
+    asked = spark.createDataFrame([(1, ["NAME 7", "name\t7", None, ""]), (1, ["name 11"]), (None, ["name 11"]), (2, ["nobody"]), (3, None)], "question_id int, said array<string>")
+    found = questions.named_entities(asked, F.col("said"), aliases, "question_id")
+    # The plan before has no such filter.
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+    names = {k: {f"e{i % 700}" for i in range(3000) if i % 50 and i % 400 == k} for k in (7, 11)}
+    want = {(1, e) for e in names[7] | names[11]} | {(None, e) for e in names[11]}
+    got = [(r.question_id, r.id) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want

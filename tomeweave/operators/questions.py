@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tomeweave.constants import TOP_K
 from tomeweave.operators.entities import alias_key
 from tomeweave.operators.retrieval import dense_search_batch
-from tomeweave.scale import once
+from tomeweave.scale import broadcast_counted, once
 from tomeweave.session import cut_lineage
 
 STEP = " > "
@@ -21,12 +21,17 @@ STEP = " > "
 def named_entities(questions: DataFrame, phrases: Column, aliases: DataFrame, question_id: str, entity: str = "entity", alias: str = "alias") -> DataFrame:
     """(question, id): entities one of whose aliases is a phrase of the question, in any case and spacing.
 
-    ``phrases`` is an array of what may be a name in a question. The join is on the
-    alias; a very common one is split by adaptive execution, and the pairs are made distinct.
+    ``phrases`` is an array of what may be a name in a question. Aliases that no question says are
+    dropped where they are read, by the hashes of what is said, so neither a shuffle nor a task's
+    table of distinct rows holds them. The join is on the alias itself; a very common one is split
+    by adaptive execution, and the pairs are made distinct.
     """
     said = questions.select(question_id, F.explode(once(phrases)).alias("_p")).select(question_id, alias_key(F.col("_p")).alias("_key"))
-    known = aliases.select(F.col(entity).alias("id"), alias_key(F.col(alias)).alias("_key")).where("id is not null and _key is not null").distinct()
-    return said.where("_key is not null").distinct().join(known, "_key").select(question_id, "id").distinct()
+    said = cut_lineage(said.where("_key is not null").distinct(), "phrases")
+    hashes = cut_lineage(said.select(F.xxhash64("_key").alias("_hash")).distinct(), "phrase-hashes")
+    every = aliases.select(F.col(entity).alias("id"), alias_key(F.col(alias)).alias("_key")).where("id is not null and _key is not null")
+    known = every.withColumn("_hash", F.xxhash64("_key")).join(broadcast_counted(hashes), "_hash", "left_semi").select("id", "_key").distinct()
+    return said.join(known, "_key").select(question_id, "id").distinct()
 
 
 def walk(edges: DataFrame, starts: DataFrame, hops: int, question_id: str, src: str = "src", dst: str = "dst") -> DataFrame:
