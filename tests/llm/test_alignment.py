@@ -136,3 +136,25 @@ def test_groups_with_very_many_links(monkeypatch, spark):
             i, j = i + x, j + y
     row, code, times = alignment.Groups(alignment._records(rows)).pairs()
     assert dict(zip(zip(row.tolist(), code.tolist(), strict=True), times.tolist(), strict=True)) == want
+
+
+def test_pairs_are_told_some_rows_at_a_time(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(alignment, "BLOCK_LINKS", 64)
+    codes = [list(range(k, k + 5)) for k in range(40)] + [[], list(range(30))]
+    ints = pa.array(range(len(codes)), pa.int64())
+    lists = [pa.array(codes, pa.list_(pa.int64())), pa.array([[2] * len(c) for c in codes], pa.list_(pa.int32()))]
+    names = [*alignment.KEPT, "codes", "times"]
+    batch = pa.RecordBatch.from_arrays([ints if n != "groups_sha256" else ints.cast(pa.string()) for n in names[:-2]] + lists, names)
+    table = SimpleNamespace(value=(np.arange(0, 20), np.arange(0, 20) + 1, np.arange(20) % 2 == 0))
+    parts = list(alignment._told(table)(iter([batch, batch.slice(0, 0)])))
+    # A batch holds 64 MB of pairs: no more than a few rows of them may be expanded at once.
+    assert all(p.num_rows == 1 or len(p.column("_codes").flatten()) <= 8 for p in parts)
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(codes)))
+    for row, own in zip(rows, codes, strict=True):
+        assert row["count_sum"] == sum(2 * (c + 1) for c in own if c < 20) and row["n_best"] == sum(2 for c in own if c < 20 and c % 2 == 0)
+        assert row["_codes"] == [c for c in own if c >= 20] and row["_times"] == [2] * len(row["_codes"])

@@ -443,14 +443,15 @@ def _digits(size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     return _DIGITS[size]
 
 
-def _row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Some rows of a batch at a time, so that what is expanded stays small."""
-    ends = batch.column("a").offsets.to_numpy().astype(np.int64)
+def _row_slices(batch: pa.RecordBatch, column: str = "a") -> Iterator[pa.RecordBatch]:
+    """Some rows of a batch at a time, by the lists of ``column``, so that what is made of them stays small."""
+    ends = batch.column(column).offsets.to_numpy().astype(np.int64)
     for i, j in pieces(ends, BLOCK_LINKS // 8):
         yield batch.slice(i, j - i)
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+KEPT = ("doc_id", "_row", *FIGURES, "groups_sha256")
 LINKED = ", ".join([*(f"{f} bigint" for f in FIGURES), "groups_sha256 string", "codes array<bigint>", "times array<int>"])
 
 
@@ -500,6 +501,29 @@ def _hot_threshold(counts: DataFrame, limit: int) -> int:
     return lowest if lowest is not None else (1 << 62)
 
 
+def _told(table):
+    """Rows of pairs to their sums over the hot pairs of ``table``, with the pairs that are left, some rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, numbers, best = table.value
+        for batch in (part for whole in batches for part in _row_slices(whole, "codes")):
+            (code, ends), (times, _) = _flat(batch, "codes"), _flat(batch, "times")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+            seen = known[at] == code if len(known) else np.zeros(len(code), bool)
+            sums, bests = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            np.add.at(sums, row[seen], times[seen] * numbers[at[seen]])
+            np.add.at(bests, row[seen], times[seen] * best[at[seen]])
+            rest = pa.array(np.searchsorted(row[~seen], np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(rest, pa.array(v[~seen], pa.int64())) for v in (code, times)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in KEPT] + [pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), *lists],
+                [*KEPT, "n_best", "count_sum", "_codes", "_times"],
+            )
+
+    return run
+
+
 def align(linked: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """Groups, links and corpus-wide counts of every row of ``link``'s result.
 
@@ -522,29 +546,11 @@ def align(linked: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
         (codes[order], hot["n"].to_numpy()[order], hot["best"].to_numpy()[order].astype(bool))
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, numbers, best = table.value
-        for batch in batches:
-            (code, ends), (times, _) = _flat(batch, "codes"), _flat(batch, "times")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
-            seen = known[at] == code if len(known) else np.zeros(len(code), bool)
-            sums, bests = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            np.add.at(sums, row[seen], times[seen] * numbers[at[seen]])
-            np.add.at(bests, row[seen], times[seen] * best[at[seen]])
-            rest = pa.array(np.searchsorted(row[~seen], np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(rest, pa.array(v[~seen], pa.int64())) for v in (code, times)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), *lists],
-                [*kept, "n_best", "count_sum", "_codes", "_times"],
-            )
-
-    kept = ["doc_id", "_row", *FIGURES, "groups_sha256"]
     schema = (
         f"doc_id {kind}, _row bigint, {', '.join(f'{f} bigint' for f in FIGURES)}, groups_sha256 string, n_best bigint, count_sum bigint, "
         "_codes array<bigint>, _times array<bigint>"
     )
-    found = cut_lineage(written.select(*kept, "codes", "times").mapInArrow(run, schema), "aligned")
+    found = cut_lineage(written.select(*KEPT, "codes", "times").mapInArrow(_told(table), schema), "aligned")
     # Pairs below the threshold: none of them is in a large share of the rows.
     asked = found.where(F.size("_codes") > 0).select("_row", F.explode(once(F.arrays_zip("_codes", "_times"))).alias("p"))
     rare = counts.where(F.col("n") < threshold)
