@@ -198,3 +198,43 @@ def test_prefixes_of_similar_sets_meet():
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
             both = len(np.intersect1d(*(simhash.prefix_of(x, 0.8, hashes, ranks) for x in (a, b))))
             assert both >= min(simhash._least(min(len(a), len(b))), len(np.intersect1d(a, b)))
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a = np.unique(rng.integers(-(2**63), 2**63, rng.integers(1, 500)))
+        b = np.unique(np.concatenate([rng.permutation(a)[: rng.integers(1, len(a) + 1)], rng.integers(-(2**63), 2**63, rng.integers(0, 60))]))
+        x, y = (simhash.parities(s) for s in (a, b))
+        while len(x) != len(y):
+            x, y = (z[: len(z) // 2] ^ z[len(z) // 2 :] if len(z) > min(len(x), len(y)) else z for z in (x, y))
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+    assert (simhash.parities(np.zeros(1, np.int64)) == [1]).all()
+
+
+def test_sets_travel_only_for_possible_pairs(spark):
+    import random
+
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(10_000)}" for _ in range(300)]
+    texts = [" ".join(base), " ".join(base[:-20]), " ".join(base[:150] + [f"w{k}" for k in range(150)]), " ".join(f"x{k}" for k in range(300)), " ".join(base[:20])]
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    pairs = spark.createDataFrame([(i, j) for j in range(5) for i in range(j)], "src bigint, dst bigint")
+    assert [tuple(r) for r in simhash._possible(df, pairs, 0.8, 5).collect()] == [(0, 1)]
+    assert [tuple(r) for r in simhash._similar(df, pairs, 0.8, 5).collect()] == [(0, 1)]
+
+
+def test_late_postings_do_not_meet(spark):
+    # Two texts of 100 shingles each need an overlap of 89, so of 4 shared ones none stands behind place 15.
+    rows = [(h, node, node, at, 100) for node in (1, 2) for h, at in zip(range(4), (1, 2, 3, 15))]
+    rows += [(h, node, node, at, 100) for node in (3, 4) for h, at in zip(range(10, 14), (1, 2, 3, 16))]
+    shared = spark.createDataFrame(rows, "h bigint, node bigint, group bigint, at int, n int")
+    for star in (True, False):
+        got = {tuple(sorted(r)) for r in simhash._across(shared, 0.8, star).collect()}
+        assert got == {(1, 2)}
+
+
+def test_shingles_of_few_texts_in_a_row_are_compared_last(spark):
+    docs = spark.createDataFrame([(k, f"one two three four five own{k}") for k in range(3)], "id int, text string").coalesce(1)
+    hashes, ranks = simhash._common_shingles(docs, docs["text"], 5)
+    assert hashes.view(np.uint64).tolist() == [xxhash.xxh64_intdigest(b"one two three four five", 42)] and ranks.tolist() == [0]

@@ -29,7 +29,7 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 STAGE_WORDS, SIMILARITY = 5, 0.8  # of near-duplicate texts, decided exactly
-COUNTED, COMMON_LEAST, COMMON_ROWS = 1 << 21, 8, 100_000  # of shingles that are compared last
+COUNTED, COMMON_LEAST, COMMON_ROWS = 1 << 21, 2, 1 << 18  # of shingles that are compared last
 LEAST, LEAST_PER = 3, 64  # shingles that prefixes share
 TILE_ROWS = 131_072
 BLOCK_ROWS = 512
@@ -260,8 +260,8 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield found if len(found) else np.zeros(1, np.int64)
 
 
-def _common_shingles(docs: DataFrame, text: Column, size: int) -> dict[int, int]:
-    """Ranks of shingles that many texts have, the most common last: what ``similar_groups`` compares last.
+def _common_shingles(docs: DataFrame, text: Column, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rising hashes and ranks of shingles that many texts have, the most common last: what ``similar_groups`` compares last.
 
     Every text is read. A shingle counts where ``COMMON_LEAST`` of so many texts in a row as have
     ``COUNTED`` shingles hold it, and the ``COMMON_ROWS`` highest counts come to the driver. Any ranks give the same groups.
@@ -287,8 +287,9 @@ def _common_shingles(docs: DataFrame, text: Column, size: int) -> dict[int, int]
 
     ship_package(docs.sparkSession)
     each = docs.select(text.alias("text")).mapInArrow(count, "h bigint, n bigint")
-    top = each.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON_ROWS).collect()
-    return {row.h: rank for rank, row in enumerate(reversed(top))}
+    top = each.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON_ROWS).toArrow()["h"].to_numpy()
+    order = np.argsort(top)
+    return top[order], (len(top) - 1 - order).astype(np.int32)
 
 
 def _least(n: int | Column) -> int | Column:
@@ -309,53 +310,115 @@ def prefix_of(found: np.ndarray, similarity: float, hashes: np.ndarray, ranks: n
     return found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + _least(len(found))]
 
 
-def _postings(texts: DataFrame, similarity: float, size: int, common: dict[int, int]) -> DataFrame:
-    """(h, node, group, n): the prefix of every text of ``texts`` (node, group, text), and how many shingles it has."""
-    hashes = np.array(sorted(common), np.int64)
-    ranks = np.array([common[h] for h in hashes.tolist()], np.int64)
+def _postings(texts: DataFrame, similarity: float, size: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, node, at, n): the prefix of every text of ``texts`` (node, text), each shingle's place in it from 1 on, and how many shingles the text has."""
+    hashes, ranks = common
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        every = [(prefix_of(s, similarity, hashes, ranks), len(s)) for s in _sets(batch.column(2), size)]
+        every = [(prefix_of(s, similarity, hashes, ranks), len(s)) for s in _sets(batch.column(1), size)]
         counts = np.array([len(p) for p, _ in every])
         rows = pa.array(np.repeat(np.arange(len(every)), counts))
+        places = np.concatenate([np.arange(1, c + 1, dtype=np.int32) for c in counts])
         sizes = np.repeat(np.array([n for _, n in every], np.int32), counts)
         return pa.record_batch(
-            [pa.array(np.concatenate([p for p, _ in every])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes)],
-            ["h", "node", "group", "n"],
+            [pa.array(np.concatenate([p for p, _ in every])), batch.column(0).take(rows), pa.array(places), pa.array(sizes)],
+            ["h", "node", "at", "n"],
         )
 
-    return map_batches(texts, work, "h bigint, node bigint, group bigint, n int")
+    return map_batches(texts, work, "h bigint, node bigint, at int, n int")
 
 
 def _across(shared: DataFrame, similarity: float, star: bool) -> DataFrame:
     """(src, dst): pairs of texts of different groups that may be of this similarity by their sizes and the postings they share.
 
-    All of them, or with ``star`` only pairs with the first text of a posting.
+    All of them, or with ``star`` only pairs with the first text of a posting. Of a pair that must share k
+    of an overlap of at least m, the k-th shared shingle has m - k others behind it in either text, so
+    postings that stand later do not meet.
     """
-    other = F.struct("group", "node", "n")
+    other = F.struct("group", "node", "n", "at")
     if star:
-        both = shared.join(shared.groupBy("h").agg(F.min(other).alias("o")), "h").where(F.col("group") != F.col("o.group"))
+        both = shared.withColumn("o", F.min(other).over(Window.partitionBy("h"))).where(F.col("group") != F.col("o.group"))
     else:
         both = shared.join(shared.select("h", other.alias("o")), "h").where(F.col("group") < F.col("o.group"))
-    fits = F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-6
-    pairs = both.where(fits).groupBy(F.col("node").alias("src"), F.col("o.node").alias("dst"), F.least("n", "o.n").alias("less"), F.greatest("n", "o.n").alias("more"))
-    enough = F.least(_least(F.col("less")), F.ceil(similarity * F.col("more") - 1e-6))
-    return pairs.agg(F.count("*").alias("hits")).where(F.col("hits") >= enough).select("src", "dst")
+    less, more = F.least("n", "o.n"), F.greatest("n", "o.n")
+    overlap = F.ceil(similarity / (1 + similarity) * (less + more) - 1e-6)
+    enough = F.least(_least(less), overlap)
+    fits = (less >= similarity * more - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("o.n") - F.col("o.at")) >= overlap - enough)
+    pairs = both.where(fits).groupBy(F.col("node").alias("src"), F.col("o.node").alias("dst"), enough.alias("enough"))
+    return pairs.agg(F.count("*").alias("hits")).where(F.col("hits") >= F.col("enough")).select("src", "dst")
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Bits that say of a set's shingles, dealt out by hash, whether their number is odd; two to four bits a shingle, a power of two, 64 at least.
+
+    Two sets differ in at least as many shingles as bits. The halves of the bits, put together by exclusive-or, are those of half as many.
+    """
+    size = max(64, 1 << (2 * len(found) - 1).bit_length())
+    odd = (np.bincount(found.view(np.uint64) & np.uint64(size - 1), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _halved(bits: Column, size: Column) -> Column:
+    """``bits`` as ``size`` numbers, if they are twice as many."""
+    half = F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > size, half).otherwise(bits)
+
+
+def _possible(texts: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Those of the written ``pairs`` whose texts may have the similarity by their ``parities``, none of those that have it left out."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every = list(_sets(batch.column(1), size))
+        lists = pa.array([parities(s) for s in every], pa.list_(pa.int64()))
+        return pa.record_batch([batch.column(0), pa.array([len(s) for s in every], pa.int32()), lists], ["node", "n", "p"])
+
+    bits = cut_lineage(map_batches(_ends_of(texts, pairs), work, "node bigint, n int, p array<bigint>"), "parities")
+    sides = [bits.select(F.col("node").alias(end), F.struct("n", "p").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
+    both = pairs.join(sides[0], "src").join(sides[1], "dst")
+    words = F.least(F.size("a.p"), F.size("b.p"))
+    # Sizes that fit are nearer than one to two, so bits are at most halved once.
+    differ = F.zip_with(_halved(F.col("a.p"), words), _halved(F.col("b.p"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    near = F.aggregate(differ, F.lit(0), lambda t, x: t + x) <= (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
+    fits = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-6
+    return both.where(F.when(fits, near).otherwise(False)).select("src", "dst")
+
+
+def _ends_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (node, text) that the written ``pairs`` name."""
+    asked = cut_lineage(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "asked")
+    return texts.join(broadcast_counted(asked), "node").select("node", "text")
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Those of the written ``pairs`` whose texts have the similarity, exactly; ``texts`` is (node, text)."""
+    """Those of the written ``pairs`` whose texts have the similarity, exactly; ``texts`` is (node, text).
+
+    Sets of shingles travel only for pairs that their parities, a thirtieth of that size, leave possible.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), pa.array(list(_sets(batch.column(1), size)), pa.list_(pa.int64()))], ["node", "s"])
 
-    asked = cut_lineage(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "asked")
-    sets = cut_lineage(map_batches(texts.join(broadcast_counted(asked), "node").select("node", "text"), work, "node bigint, s array<bigint>"), "shingles")
+    pairs = cut_lineage(_possible(texts, pairs, similarity, size), "possible")
+    sets = cut_lineage(map_batches(_ends_of(texts, pairs), work, "node bigint, s array<bigint>"), "shingles")
     both = pairs.join(sets.withColumnsRenamed({"node": "src", "s": "a"}), "src").join(sets.withColumnsRenamed({"node": "dst", "s": "b"}), "dst")
     overlap = F.size(F.array_intersect("a", "b"))
     return both.where(overlap >= similarity * (F.size("a") + F.size("b") - overlap)).select("src", "dst")
 
 
+def _shared(held: DataFrame, by: str) -> DataFrame:
+    """Postings whose shingle more than one ``by`` holds."""
+    same = Window.partitionBy("h")
+    ends = held.withColumns({"_low": F.min(by).over(same), "_high": F.max(by).over(same)})
+    return ends.where("_low <> _high").drop("_low", "_high")
+
+
+def _several(shared: DataFrame, similarity: float) -> DataFrame:
+    """Postings of texts that have as many of them as any pair they could be in must share."""
+    smallest = F.ceil(similarity * F.col("n") - 1e-6)
+    enough = shared.groupBy("node", "n").count().where(F.col("count") >= F.least(_least(smallest), smallest))
+    return shared.join(enough.select("node"), "node", "left_semi")
+
+
 def _merged(known: DataFrame, found: DataFrame) -> DataFrame:
     """``known`` (node, group) after the links of ``found`` have joined groups; a group is its smallest node."""
     ends = [known.select(F.col("node").alias(end), F.col("group").alias(name)) for end, name in (("src", "a"), ("dst", "b"))]
@@ -391,10 +454,9 @@ def similar_groups(
     known = _merged(nodes.select("node", F.col("node").alias("group")), _similar(texts, proposed, similarity, size))
 
     common = _common_shingles(docs, text, size)
-    held = _postings(texts.join(broadcast_counted(known), "node").select("node", "group", "text"), similarity, size, common)
-    same = Window.partitionBy("h")
-    ends = held.withColumns({"_low": F.min("group").over(same), "_high": F.max("group").over(same)})
-    shared = cut_lineage(ends.where("_low <> _high").drop("_low", "_high"), "shared-shingles")
+    held = _postings(texts.join(broadcast_counted(known.select("node")), "node").select("node", "text"), similarity, size, common)
+    shared = cut_lineage(_shared(held, "node"), "shared-shingles")
+    shared = cut_lineage(_shared(_several(shared, similarity).join(known, "node"), "group"), "shared-shingles")
     star = 2
     while star >= 0:
         pairs = cut_lineage(_across(shared, similarity, star > 0), "proposed")
@@ -403,7 +465,7 @@ def similar_groups(
         if some:
             known = _merged(known, found)
         if some and star:
-            shared = cut_lineage(shared.drop("group").join(known, "node"), "shared-shingles")
+            shared = cut_lineage(_shared(shared.drop("group").join(known, "node"), "group"), "shared-shingles")
         # Where first texts bring nothing more, all pairs that are left are next.
         star = star - 1 if some or not star else 0
     return rows.select("doc_id", "sha").join(nodes.join(known, "node").select("sha", "group"), "sha").select(F.col("doc_id").alias(id_col), "group")
