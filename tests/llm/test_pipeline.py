@@ -31,3 +31,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert masked.exceptAll(plain).count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs.select(*plain.columns), SF).count() == 0
+
+
+def test_near_duplicates_leave_whole_texts_where_they_are(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(2, text, None, "s", 1), (1, text, None, "s", 1), (None, "other words", None, "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = corpus_pipeline.near_duplicate_stage(spark, df, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.doc_id for r in out.collect()} == {1, None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
