@@ -74,3 +74,27 @@ def test_rows_that_share_an_id_are_judged_alone(spark):
     kept = decontaminate.removed(docs, items, 3)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(7, "also clean"), (8, None), (None, "a clean one")]
+
+
+def test_rows_pass_through_the_search_without_a_shuffle(spark):
+    rows = [(None, "a clean one"), (7, "x aa bb cc dd y"), (7, "also clean"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "text", "doc_id", "named_struct('a b', 1, 'c', array(doc_id, null)) as `s.t`", "timestamp'2020-01-01 10:00:00' as spans", "X'00ff' as best", "cast(null as decimal(9,2)) as doc_id_"
+    )
+    items = spark.createDataFrame([("i", "aa bb cc dd")], "item_id string, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = decontaminate.removed(docs, items, 3)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        assert kept.dtypes == docs.dtypes
+        want = docs.where("coalesce(text, '') not like '%aa%'")
+        assert sorted(map(str, kept.collect())) == sorted(map(str, want.collect()))
+        # A text that is no string, and a table of texts alone.
+        numbers = spark.createDataFrame([(1, 5), (2, None), (3, 6)], "doc_id bigint, text int")
+        five = spark.createDataFrame([("i", "5")], "item_id string, text string")
+        assert sorted(map(tuple, decontaminate.removed(numbers, five).collect())) == [(2, None), (3, 6)]
+        assert {r.text for r in decontaminate.removed(docs.select("text"), items, 3).collect()} == {"a clean one", "also clean", None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

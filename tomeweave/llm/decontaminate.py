@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tomeweave.llm.base import free_name, pieces, text_bytes
+from tomeweave.llm.base import pieces, text_bytes
 from tomeweave.llm.bytewords import Words
 from tomeweave.session import cut_lineage, ship_package
 
@@ -254,10 +255,19 @@ def matches(
     other columns are ignored. A benchmark of more than ``block_bytes`` is taken
     in several passes over each task's rows, within one stage.
     """
+    return _searched(docs, benchmark, window, id_col, text_col, item_col, item_text_col, block_bytes, id_type).drop("text")
+
+
+def _searched(
+    docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, id_type: str | None = None,
+) -> DataFrame:
+    """``matches`` with the text; without ``id_type`` an id is of any type and comes back as it is."""
     spark = docs.sparkSession
     ship_package(spark)
+    own = F.col(id_col) if id_type is None else F.col(id_col).cast(id_type)
     rows = docs.select(
-        F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(-1).cast("bigint").alias("n_words"),
+        own.alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(-1).cast("bigint").alias("n_words"),
         F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"),
         F.array().cast(BEST).alias("best"),
     )
@@ -265,7 +275,7 @@ def matches(
     rows = _one_pass(spark, rows, next(blocks, []), window)
     for block in blocks:
         rows = _one_pass(spark, rows, block, window)
-    return rows.drop("text")
+    return rows
 
 
 def longest_matches(found: DataFrame) -> DataFrame:
@@ -284,7 +294,7 @@ def _one_pass(spark: SparkSession, rows: DataFrame, block: list[tuple[str, str]]
             if batch.num_rows:
                 yield _scan(batch, bench)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+    return rows.mapInArrow(run, StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL(SCHEMA).fields]))
 
 
 def _scan(batch: pa.RecordBatch, bench: Benchmark) -> pa.RecordBatch:
@@ -349,13 +359,14 @@ def _union(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
 def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose own text holds no window of an item, with all their columns.
 
-    A verdict depends on the text alone and is joined back by the text's SHA-256,
-    so null and repeated ids do not matter: of rows that share an id only those
-    with an affected text go. Rows with a null text stay.
+    Whole rows pass through the search, so no text is shuffled, and null and repeated ids
+    do not matter: of rows that share an id only those with an affected text go. Rows with a null text stay.
     """
-    key = F.sha2(F.col(text_col).cast("string"), 256)
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("text"))
-    found = matches(keyed, benchmark, window, "_key", id_type="string")
-    name = free_name(docs, "contaminated")
-    bad = cut_lineage(found.where(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
-    return docs.join(bad, key == F.col(name), "left_anti")
+    # A string comes back as the text itself; a text of another type travels beside its string.
+    held = text_col in docs.columns and isinstance(docs.schema[text_col].dataType, StringType)
+    others = [c for c in docs.columns if not held or c != text_col]
+    fields = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)] or [F.lit(True).alias("_0")]
+    rows = docs.select(F.struct(*fields).alias("_row"), F.col(text_col).alias("text"))
+    kept = _searched(rows, benchmark, window, "_row").where(F.size("spans") == 0)
+    own = {c: F.col("doc_id")[f"_{k}"] for k, c in enumerate(others)}
+    return kept.select(*[own.get(c, F.col("text")).alias(c) for c in docs.columns])
