@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.llm import decontaminate, quality, secrets, sentencepieces, simhash
-from tomeweave.llm.base import broadcast_counted
+from tomeweave.llm.base import rows_named
 from tomeweave.llm.queries import VOCABULARY
 from tomeweave.session import cut_lineage, scratch_path, ship_package
 
@@ -36,9 +36,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Partial minima fold a large group before it is shuffled.
     first = found.join(rows.select(ROW, ORDER), ROW).groupBy("group").agg(F.min(ORDER).alias("_first"))
     keep = cut_lineage(first.select(F.col(f"_first.{ROW}").alias(ROW)), "kept")
-    # Those that go are few, and so are sent to the texts while they can be.
+    # Those that go are few, and so are sent to the texts, as ids or bits.
     gone = cut_lineage(rows.select(ROW).join(keep, ROW, "left_anti"), "dropped")
-    return rows.join(broadcast_counted(gone), ROW, "left_anti").select(*docs.columns)
+    return rows_named(rows, gone, ROW, named=False).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

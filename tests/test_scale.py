@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tomeweave.scale import OrderBlocks, broadcast_if_small, forward_fill, plan_blocks, row_index, running_sums, spread
+from tomeweave.scale import OrderBlocks, broadcast_if_small, forward_fill, plan_blocks, row_index, rows_named, running_sums, spread
 
 
 @pytest.fixture(scope="module")
@@ -112,3 +112,23 @@ def test_one_value_with_half_of_all_rows_is_several_blocks(spark, kind):
         assert {r.id: r.total for r in got.collect()} == want
         numbered = row_index(df, [], ["at", "id"], "pos", rows_per_block=per_block).orderBy("pos").collect()
         assert [r.id for r in numbered] == [i for _, _, i, _ in sorted(rows, key=lambda r: (r[1], r[2]))]
+
+
+def test_rows_named_by_many_ids_are_not_shuffled(spark):
+    far = [0, 1, 7, 8, 9, 32_767, 32_768, 32_769, 65_536, 1 << 33, (1 << 33) + 5, (1 << 40) + 32_768, -1, -32_768]
+    asked = [*far[::2], far[0], *range(100_000, 100_600, 3)]
+    rows = [(k, f"t{k}") for k in [*far, *far[:3], *range(99_990, 100_610), None]]
+    df = spark.createDataFrame(rows, "node bigint, text string")
+    ids = spark.createDataFrame([(k,) for k in asked], "node bigint")
+    want = sorted(r for r in rows if r[0] in set(asked))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for limit, bitmaps, shuffled in ((10**6, 0, False), (10, 100, False), (10, 2, True)):
+            for named in (True, False):
+                out = rows_named(df, ids, "node", named, limit, bitmaps)
+                got = sorted(map(tuple, out.collect()), key=str)
+                assert got == sorted(want if named else [r for r in rows if r[0] not in set(asked)], key=str)
+                assert out.columns == df.columns and ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == shuffled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

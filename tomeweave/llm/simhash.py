@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm.base import broadcast_counted, map_batches, pieces, text_bytes
+from tomeweave.llm.base import map_batches, pieces, rows_named, text_bytes
 from tomeweave.operators.graph import components
 from tomeweave.session import cut_lineage, ship_package
 
@@ -386,7 +386,7 @@ def _possible(texts: DataFrame, pairs: DataFrame, similarity: float, size: int)
 def _ends_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``texts`` (node, text) that the written ``pairs`` name."""
     asked = cut_lineage(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "asked")
-    return texts.join(broadcast_counted(asked), "node").select("node", "text")
+    return rows_named(texts, asked, "node").select("node", "text")
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -454,18 +454,17 @@ def similar_groups(
     known = _merged(nodes.select("node", F.col("node").alias("group")), _similar(texts, proposed, similarity, size))
 
     common = _common_shingles(docs, text, size)
-    held = _postings(texts.join(broadcast_counted(known.select("node")), "node").select("node", "text"), similarity, size, common)
+    held = _postings(rows_named(texts, known.select("node"), "node").select("node", "text"), similarity, size, common)
     shared = cut_lineage(_shared(held, "node"), "shared-shingles")
-    shared = cut_lineage(_shared(_several(shared, similarity).join(known, "node"), "group"), "shared-shingles")
+    shared = cut_lineage(_several(shared, similarity), "shared-shingles")
     star = 2
     while star >= 0:
-        pairs = cut_lineage(_across(shared, similarity, star > 0), "proposed")
+        # Postings that groups share meet where they are dealt by shingle: they are not written and dealt once more.
+        pairs = cut_lineage(_across(_shared(shared.join(known, "node"), "group"), similarity, star > 0), "proposed")
         found = cut_lineage(_similar(texts, pairs, similarity, size), "similar")
         some = not found.isEmpty()
         if some:
             known = _merged(known, found)
-        if some and star:
-            shared = cut_lineage(_shared(shared.drop("group").join(known, "node"), "group"), "shared-shingles")
         # Where first texts bring nothing more, all pairs that are left are next.
         star = star - 1 if some or not star else 0
     return rows.select("doc_id", "sha").join(nodes.join(known, "node").select("sha", "group"), "sha").select(F.col("doc_id").alias(id_col), "group")

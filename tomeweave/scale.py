@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tomeweave.session import cut_lineage
+
 ROWS_PER_BLOCK = 250_000
 MAX_BLOCKS = 65_536
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 # Rows of a written table that may be broadcast: counted, not estimated, before the hint is given.
 BROADCAST_ROWS = 200_000
+# Bitmaps that may be broadcast, of 4 KB and 32,768 ids in a row each.
+BROADCAST_BITMAPS = 8_192
 USUAL_SPLIT_BYTES = 128 * 1024 * 1024
 BLOCK = "_block"
 LEAD = "_lead"
@@ -234,6 +238,27 @@ def broadcast_counted(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(written) if written.limit(limit + 1).count() <= limit else written
 
 
+def rows_named(df: DataFrame, written: DataFrame, key: str, named: bool = True, limit: int = BROADCAST_ROWS, bitmaps: int = BROADCAST_BITMAPS) -> DataFrame:
+    """The wide rows of ``df`` whose long ``key`` is (or, if not ``named``, is not) in the written one-column table of ids, without a shuffle of ``df`` while that can be.
+
+    A few ids are broadcast themselves. More are broadcast as bitmaps, counted too, which ids that run on,
+    as ``monotonically_increasing_id`` gives them, fill at about a bit each. Only ids beyond both limits meet ``df`` in a shuffle.
+    """
+    how = "left_semi" if named else "left_anti"
+    if written.limit(limit + 1).count() <= limit:
+        return df.join(F.broadcast(written), key, how)
+    # One id table's rows of a bitmap come together first, so that no task makes a bitmap of a few ids for every other one.
+    dealt = written.where(F.col(key).isNotNull()).select(F.bitmap_bucket_number(key).alias("_bucket"), F.bitmap_bit_position(key).alias("_at"))
+    bits = cut_lineage(dealt.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")), "bitmaps")
+    if bits.limit(bitmaps + 1).count() > bitmaps:
+        return df.join(written, key, how)
+    at = F.bitmap_bit_position(key).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))
+    met = df.join(F.broadcast(bits), F.bitmap_bucket_number(key) == F.col("_bucket"), "inner" if named else "left")
+    return met.where(there if named else ~there).select(*df.columns)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a part of a small, badly split input before heavy per-row work.
 
